@@ -204,21 +204,24 @@ def search(items: Items, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int,
     return [(t, i, s, d) for (t, i), (d, s) in best.items()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, distance): every (document, item) match."""
+def _item_blocks(benchmark: DataFrame):
+    """Items of the benchmark in blocks of about ITEM_BLOCK."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.count()
-    blocks = max(1, -(-total // ITEM_BLOCK))
-    out = None
+    blocks = max(1, -(-items.count() // ITEM_BLOCK))
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = part.toArrow()
-        buf, offsets = text_buffer(rows.column("text"))
-        hashes, at = word_sequence(buf, offsets)
+        hashes, at = word_sequence(*text_buffer(rows.column("text")))
         seqs = [hashes[at[i] : at[i + 1]] for i in range(len(at) - 1)]
         ids = rows.column("item_id").to_pylist()
         use = sorted((i for i in range(len(seqs)) if 0 < len(seqs[i]) <= MAX_WORDS), key=lambda i: (ids[i] is None, ids[i] or 0))
-        held = Items([ids[i] for i in use], [seqs[i] for i in use])
+        yield Items([ids[i] for i in use], [seqs[i] for i in use])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, distance): every (document, item) match."""
+    out = None
+    for held in _item_blocks(benchmark):
 
         def run(batches, held=held):
             for batch in chunks(batches):
@@ -233,6 +236,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, in which no benchmark item is found."""
+    for held in _item_blocks(benchmark):
+
+        def run(batches, held=held):
+            for batch in chunks(batches):
+                clean = np.ones(batch.num_rows, bool)
+                for text, *_ in search(held, *word_sequence(*text_buffer(batch.column("text")))):
+                    clean[text] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import table, texts
 

@@ -138,23 +138,28 @@ def mix(
     share: float = 1.5,
     epochs: int = 2,
     seed: int = 8,
-    keep: Sequence[str] = ("doc_id",),
+    key: Sequence[str] = ("doc_id",),
     scratch: Scratch | None = None,
+    from_sizes: bool = False,
 ) -> DataFrame:
-    """Each document with `size`, its first source's `source_size` and `target`, and `copies` (0 to epochs).
+    """docs with `members`, `size`, its first source's `source_size` and `target`, and `copies` (0 to epochs).
 
     members: array of the sources a document belongs to (non-empty; may hold null).
-    The texts are read once; the sizes are written to the shared folder and all
-    later steps work on them. The sum of copies*size in each source comes within
-    one document of what the flow routes there.
+    key: columns that name a document; rows equal in key and size share one decision.
+    Sizes are written to the shared folder and planned on; the decision of all but
+    the documents of one seeded bucket a pattern is a function of the row, so texts
+    are never shuffled. from_sizes: return only the key's columns, from the sizes.
+    The tokens taken from each pattern come within one document of the flow.
     """
     scratch = scratch or Scratch(spark, "mix")
-    taken_names = list(keep)
-    base = docs.select(*[F.col(c) for c in taken_names], members.alias("__m"), size.alias("__n"))
-    base = base.withColumn("__m", F.array_sort("__m"))
-    base = base.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(c) for c in taken_names], F.col("__n")))
-    base = scratch.save("sizes", base.withColumn("__b", F.pmod("__h", F.lit(SEED_BUCKETS)).cast("int")))
-    rows = base.groupBy("__m").agg(F.sum("__n").alias("n")).collect()
+    frame = docs.withColumns({"__m": F.array_sort(members), "__n": size.cast("long")})
+    frame = frame.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(c) for c in key], F.col("__n")))
+    frame = frame.withColumn("__b", F.pmod("__h", F.lit(SEED_BUCKETS)).cast("int"))
+    base = scratch.save("sizes", frame.select(*key, "__m", "__n", "__h", "__b"))
+    if from_sizes:
+        frame = base
+    bucket = scratch.save("buckets", base.groupBy("__m", "__b").agg(F.sum("__n").alias("n")))
+    rows = bucket.groupBy("__m").agg(F.sum("n").alias("n")).collect()
     rows.sort(key=lambda r: tuple((s is None, s or "") for s in r["__m"]))
     sources, targets, sizes, tokens = mix_plan([(tuple(r["__m"]), int(r["n"])) for r in rows], weights, share, epochs)
     at = {s: i for i, s in enumerate(sources)}
@@ -166,27 +171,24 @@ def mix(
     schema = pa.schema([("__m", pa.list_(pa.string())), ("source_size", pa.int64()), ("target", pa.float64()), ("__whole", pa.int32()), ("__rest", pa.float64())])
     plan_df = spark.createDataFrame(pa.table([list(c) for c in zip(*plan, strict=True)] if plan else [[]] * 5, schema=schema))
     hint = F.broadcast if len(plan) <= BROADCAST_PATTERNS else (lambda d: d)
-    # where in the seeded order each pattern's remainder ends
-    bucket = base.groupBy("__m", "__b").agg(F.sum("__n").alias("n"))
+    # the bucket of the seeded order in which each pattern's remainder ends
     w = Window.partitionBy("__m").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = bucket.withColumn("__before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    edge = before.join(hint(plan_df.select("__m", "__rest")), "__m").filter((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("n")))
-    edge = edge.select("__m", F.col("__b").alias("__edge"), "__before")
-    full = base.join(hint(plan_df), "__m").join(hint(edge), "__m", "left")
-    # only documents of the one bucket a quota ends in are ordered one by one
-    inside = F.col("__b") < F.coalesce(F.col("__edge"), F.when(F.col("__rest") > 0, F.lit(SEED_BUCKETS)).otherwise(F.lit(0)))
+    edge = bucket.withColumn("__before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(hint(plan_df.select("__m", "__rest")), "__m")
+    edge = edge.filter((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("n"))).select("__m", F.col("__b").alias("__edge"), "__before", "__rest")
+    edge = scratch.save("edge", edge)
+    # in that bucket alone documents are ordered one by one
+    units = base.join(hint(edge), "__m").filter("__b = __edge").groupBy("__m", "__h", "__before", "__rest").agg(F.sum("__n").alias("__u"))
+    order = Window.partitionBy("__m").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.col("__before") + F.coalesce(F.sum("__u").over(order), F.lit(0))
+    cut = scratch.save("cut", units.select("__m", "__h", (run + F.col("__u") / 2 <= F.col("__rest")).alias("__cut")))
+    full = frame.join(hint(plan_df), "__m").join(hint(edge.select("__m", "__edge")), "__m", "left")
     on_edge = F.coalesce(F.col("__b") == F.col("__edge"), F.lit(False))
-    order = Window.partitionBy("__m").orderBy("__h", *taken_names).rowsBetween(Window.unboundedPreceding, -1)
-    cut = full.filter(on_edge).withColumn("__run", F.col("__before") + F.coalesce(F.sum("__n").over(order), F.lit(0)))
-    cut = cut.withColumn("__extra", F.col("__run") + F.col("__n") / 2 <= F.col("__rest")).drop("__run")
-    rest = full.filter(~on_edge).withColumn("__extra", inside)
-    return rest.unionByName(cut).select(
-        *taken_names,
-        F.col("__m").alias("members"),
-        F.col("__n").alias("size"),
-        "source_size",
-        "target",
-        (F.col("__whole") + F.col("__extra").cast("int")).cast("int").alias("copies"),
+    inside = F.when(F.col("__edge").isNull(), F.col("__rest") > 0).otherwise(F.col("__b") < F.col("__edge"))
+    sure = full.filter(~on_edge).withColumn("__extra", inside)
+    split = full.filter(on_edge).join(cut, ["__m", "__h"]).withColumn("__extra", F.col("__cut")).drop("__cut")
+    out = sure.unionByName(split)
+    return out.withColumns({"members": F.col("__m"), "size": F.col("__n"), "copies": F.col("__whole") + F.col("__extra").cast("int")}).drop(
+        "__m", "__n", "__h", "__b", "__whole", "__rest", "__edge", "__extra"
     )
 
 
@@ -194,5 +196,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import table
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    out = mix(spark, docs, F.array("source"), word_count(F.col("text")))
+    out = mix(spark, docs, F.array("source"), word_count(F.col("text")), from_sizes=True)
     return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("members")[0].alias("source"))

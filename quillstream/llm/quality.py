@@ -165,6 +165,16 @@ def score_quality(docs: DataFrame, model: PairwiseGam, threshold: float = 0.3) -
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_quality(docs: DataFrame, model: PairwiseGam, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least the threshold."""
+
+    def run(batches):
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(model.score(features(*text_buffer(batch.column("text")))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import table, texts
 

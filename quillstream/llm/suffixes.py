@@ -13,8 +13,9 @@ doc_id, or further left in the same document. Documents are UTF-8 bytes.
 4. What is left of each anchor goes into one suffix array, built by the linear
    grouping construction below; neighbours that share WINDOW bytes are one string,
    and all its windows but the earliest lose their bytes.
-   Anchors with more than GROUP contexts, which no task should hold, are resolved
-   instead by an aggregation over their windows' 64-bit hashes.
+   Anchors with more than GROUP contexts, which no task should hold, are salted and
+   resolved instead by their windows' 64-bit hashes: within each salted part first,
+   then by an aggregation over what the parts have left.
 
 Null texts are empty. Documents without an id count as the smallest. Rows of one id
 are ordered by a hash of their texts; rows that repeat id and text are one document,
@@ -304,16 +305,30 @@ def _runs(found: list[tuple[int, int]]):
         i = j + 1
 
 
-def _hot_windows(batches):
-    """Rows (d, th, i0, bytes) to a row for each window: (d, th, i, wh)."""
-    for batch in chunks(batches, "bytes", 1 << 18):
+def _hot(batches):
+    """Rows (g, salt, d, th, i0, bytes), sorted by g and salt, to windows.
+
+    Within a piece of a salted group each distinct window leaves one row (wh, its
+    earliest place); the others are spans (wh null) that are known to go.
+    """
+    for batch in chunks(batches, "bytes", 1 << 20):
         buf, offsets = text_buffer(batch.column("bytes"))
         counts = np.diff(offsets) - WINDOW + 1
         hashes = _window_hashes(buf, offsets[:-1], counts)
         row = np.repeat(np.arange(len(counts)), counts)
         d, th, i0 = (batch.column(c).to_numpy() for c in ("d", "th", "i0"))
         i = i0[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(th[row]), pa.array(i), pa.array(hashes.view(np.int64))], names=["d", "th", "i", "wh"])
+        order = np.lexsort((i, th[row], d[row], hashes))
+        first = np.ones(len(order), bool)
+        first[1:] = hashes[order][1:] != hashes[order][:-1]
+        one = order[first]
+        known = np.sort(order[~first])
+        edge = np.ones(len(known), bool)
+        edge[1:] = (known[1:] != known[:-1] + 1) | (row[known[1:]] != row[known[:-1]])
+        run = known[edge]
+        length = np.diff(np.concatenate([np.flatnonzero(edge), [len(known)]]))
+        for wh, at, n in ((pa.array(hashes[one].view(np.int64)), one, np.ones(len(one), np.int64)), (pa.nulls(len(run), pa.int64()), run, length)):
+            yield pa.RecordBatch.from_arrays([wh, pa.array(d[row[at]]), pa.array(th[row[at]]), pa.array(i[at]), pa.array(n)], names=["wh", "d", "th", "i0", "n"])
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -363,10 +378,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Da
     rows = scratch.save("bodies", mixed.join(bodies, "c").select("g", "m", "d", "th", "i0", "bytes"))
     usual = rows.filter(F.col("m") <= GROUP).select("g", "d", "th", "i0", "bytes")
     usual = usual.repartition("g").sortWithinPartitions("g").mapInArrow(_resolve, "d long, th long, i0 long, n long")
-    hot = rows.filter(F.col("m") > GROUP).select("d", "th", "i0", "bytes").mapInArrow(_hot_windows, "d long, th long, i long, wh long")
+    hot = rows.filter(F.col("m") > GROUP).withColumn("salt", F.pmod(F.xxhash64("d", "th", "i0"), F.ceil(F.col("m") / GROUP)))
+    hot = hot.repartition("g", "salt").sortWithinPartitions("g", "salt").select("d", "th", "i0", "bytes").mapInArrow(_hot, "wh long, d long, th long, i0 long, n long")
     hot = scratch.save("hot", hot)
-    owner = hot.groupBy("wh").agg(F.min(F.struct("d", "th", "i")).alias("f"), F.count("*").alias("k")).filter("k > 1").select("wh", "f")
-    hot = hot.join(owner, "wh").filter(F.struct("d", "th", "i") != F.col("f")).select("d", "th", F.col("i").alias("i0"), F.lit(1).cast("long").alias("n"))
+    single = hot.filter("wh is not null")
+    owner = single.groupBy("wh").agg(F.min(F.struct("d", "th", "i0")).alias("f"), F.count("*").alias("k")).filter("k > 1").select("wh", "f")
+    single = single.join(owner, "wh").filter(F.struct("d", "th", "i0") != F.col("f")).select("d", "th", "i0", "n")
+    hot = hot.filter("wh is null").select("d", "th", "i0", "n").unionByName(single)
     spans = late.unionByName(usual).unionByName(hot)
     return spans.groupBy("d", "th").agg(F.collect_list(F.struct("i0", "n")).alias("spans"))
 

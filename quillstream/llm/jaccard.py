@@ -14,8 +14,11 @@ Jaccard similarity of their sets reaches num/den. Result: connected components.
    join copies of one text into components, in a number of pairs linear in the
    postings.
 4. Then the rest: pairs of classes that share a prefix shingle but are not yet in one
-   component, if size and position filters let them reach the threshold. So no link
-   between different components is lost, and no group is expanded into all pairs.
+   component, each at their first shared one, if size, position and parity let them
+   reach the threshold. The parity of the hashes in each of PARITY bits differs
+   between two sets in at most as many bits as there are shingles in one set only.
+   So no link between different components is lost, and no group is expanded into
+   all its pairs.
 5. Candidates are verified on the whole sets of their texts.
 
 Null or empty texts have an empty set and link with nothing (their component is their
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
@@ -38,6 +41,9 @@ from .textkit import _COMBINE, Tally, chunks, mix, shingle_hashes, signed, text_
 BITS = 24
 #: A shingle in this many prefixes is frequent; the count is raised until 1/8 of the bitmap holds them all.
 FREQUENT = 32
+#: Bits of a set's parity sketch.
+PARITY = 512
+_SKETCH = [f"p{i}" for i in range(PARITY // 64)]
 U64 = np.uint64
 
 
@@ -68,6 +74,17 @@ def _list_hash(part: np.ndarray, n: int) -> int:
         return int(mix(np.array([total], U64)).view(np.int64)[0])
 
 
+def _parity(part: np.ndarray) -> np.ndarray:
+    odd = np.bincount((part >> U64(64 - 9)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near(num: int, den: int) -> Column:
+    """Whether the parities of sets 1 and 2 leave room for the threshold."""
+    apart = sum((F.bit_count(F.col(f"{p}1").bitwiseXOR(F.col(f"{p}2"))) for p in _SKETCH), F.lit(0))
+    return F.lit(num + den) * apart <= F.lit(den - num) * (F.col("n1") + F.col("n2"))
+
+
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """A bitmap of 2**BITS bits with the low bits of every key set; built by a bounded aggregation."""
     at = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
@@ -103,7 +120,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
 
     def signatures(batches):
         for batch in chunks(batches):
-            size, cls, group, prefix = [], [], [], []
+            size, cls, group, prefix, parity = [], [], [], [], []
             for part in text_sets(batch, k):
                 n = len(part)
                 late = in_bitmap(frequent.value, part)
@@ -112,50 +129,58 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
                 cls.append(_set_hash(part))
                 group.append(_list_hash(ordered, n))
                 prefix.append(ordered)
+                parity.append(_parity(part))
+            sketch = np.stack(parity, axis=1) if parity else np.zeros((len(_SKETCH), 0), np.int64)
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = signed(np.concatenate(prefix)) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "n", "cls", "grp", "prefix"]
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *[pa.array(p) for p in sketch]],
+                names=["doc_id", "n", "cls", "grp", "prefix", *_SKETCH],
             )
 
-    sig = scratch.save("signatures", docs.mapInArrow(signatures, "doc_id long, n long, cls long, grp long, prefix array<long>"))
+    sig = scratch.save("signatures", docs.mapInArrow(signatures, "doc_id long, n long, cls long, grp long, prefix array<long>, " + ", ".join(f"{p} long" for p in _SKETCH)))
     full = sig.filter("n > 0")
     # a group is named by its least class
     groups = full.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posts = groups.select(F.posexplode("prefix").alias("pos", "h"), "rep", F.col("n").cast("int").alias("n"))
     shared = posts.groupBy("h").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).filter("center < other").select("h", "center")
     posts = scratch.save("postings", posts.join(shared, "h").select("h", "rep", "n", "pos", "center"))
-    classes = full.select("cls", "grp", "n").distinct()
+    classes = full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("grp", "n", *_SKETCH)])
     least_class = full.groupBy("grp").agg(F.min("cls").alias("rep"))
-    classes = scratch.save("classes", classes.join(least_class, "grp").select("cls", "rep", "n"))
-    stars = posts.filter("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b"), F.col("n").alias("na")).distinct()
-    stars = stars.join(classes.filter("cls = rep").select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    fits = F.lit(num) * F.greatest("na", "nb") <= F.lit(den) * F.least("na", "nb")
-    stars = stars.filter(fits).select("a", "b").unionByName(classes.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")))
-    stars = scratch.save("stars", stars)
+    classes = scratch.save("classes", classes.join(least_class, "grp").select("cls", "rep", "n", *_SKETCH))
+    side = lambda k, name: classes.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}{k}") for c in ("n", *_SKETCH)])
+    fits = (F.lit(num) * F.greatest("n1", "n2") <= F.lit(den) * F.least("n1", "n2")) & _near(num, den)
+    stars = posts.filter("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+    stars = stars.unionByName(classes.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")))
+    stars = scratch.save("stars", stars.join(side(1, "a"), "a").join(side(2, "b"), "b").filter(fits).select("a", "b"))
     links = scratch.save("links", _verify(spark, docs, stars, k, num, den, scratch, "first"))
     joined = connected_components(links, scratch, "star")
     # what stars left apart
-    named = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "n", F.coalesce("component", "cls").alias("comp"))
-    apart = posts.select("h", "rep", "pos").join(named, "rep")
-    inside = apart.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    lone = named.join(named.groupBy("rep").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("rep"), "rep")
-    apart = scratch.save("apart", apart.join(inside, "h").select("h", "cls", "n", "pos", "comp").unionByName(lone.select(F.col("rep").alias("h"), "cls", "n", F.lit(0).alias("pos"), "comp")))
-    x = apart.select("h", *[F.col(c).alias(f"{c}1") for c in ("cls", "n", "pos", "comp")])
-    y = apart.select("h", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "pos", "comp")])
+    named = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "n", F.coalesce("component", "cls").alias("comp"), *_SKETCH)
+    named = scratch.save("named", named)
+    spread = lambda d, key: d.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(key)
+    inside = spread(posts.select("h", "rep").join(named.select("rep", "comp"), "rep"), "h")
+    # each posting with the group's shared shingles before it, by which a pair knows its first shared one
+    shingles = F.expr("transform(sort_array(l), x -> x.h)")
+    before = posts.groupBy("rep").agg(F.collect_list(F.struct("pos", "h")).alias("l")).select("rep", F.expr("sort_array(l)").alias("l"), shingles.alias("s"))
+    before = before.select("rep", "s", F.posexplode("l").alias("i", "x")).select("rep", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), F.expr("slice(s, 1, i)").alias("before"))
+    apart = before.join(inside, "h").join(named, "rep").withColumn("lone", F.lit(False))
+    lone = named.join(spread(named, "rep"), "rep").withColumns({"h": F.col("rep"), "pos": F.lit(0), "before": F.array().cast("array<bigint>"), "lone": F.lit(True)})
+    apart = scratch.save("apart", apart.unionByName(lone))
+    own = ("cls", "rep", "n", "pos", "comp", "before", *_SKETCH)
+    x, y = (apart.select("h", "lone", *[F.col(c).alias(f"{c}{k}") for c in own]) for k in (1, 2))
     need = F.ceil(F.lit(num) * (F.col("n1") + F.col("n2")) / F.lit(num + den))
-    rest = x.join(y, "h").filter(
-        (F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2"))
-        & (F.lit(num) * F.greatest("n1", "n2") <= F.lit(den) * F.least("n1", "n2"))
-        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
+    rest = x.join(y, ["h", "lone"]).filter(
+        (F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & ((F.col("rep1") == F.col("rep2")) == F.col("lone"))
+        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need) & fits & ~F.arrays_overlap("before1", "before2")
     )
-    rest = scratch.save("rest", rest.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct())
+    rest = scratch.save("rest", rest.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")))
     if not rest.isEmpty():
         more = scratch.save("more", _verify(spark, docs, rest, k, num, den, scratch, "second"))
         joined = connected_components(links.unionByName(more), scratch, "all")
     of = sig.select("doc_id", "n", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp"))
     of = scratch.save("members", of)
-    scratch.drop("counts", "signatures", "postings", "classes", "stars", "links", "apart", "rest", "texts-first", "texts-second")
+    scratch.drop("counts", "signatures", "postings", "classes", "stars", "links", "named", "apart", "rest", "texts-first", "texts-second")
     least_id = of.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = of.join(least_id, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
@@ -58,12 +58,21 @@ def _count_words(batches):
     yield from tally.flush()
 
 
-def _threshold(counts: DataFrame, most: int, floor: int) -> int:
-    """The least t >= floor such that at most `most` keys have a count of t or more."""
-    steps = sorted({floor, *range(floor, 64), *(int(64 * 1.25**k) for k in range(150))})
-    steps = [t for t in steps if t >= floor]
-    row = counts.agg(*[F.sum((F.col("n") >= t).cast("long")).alias(f"t{i}") for i, t in enumerate(steps)]).first()
-    return next((t for i, t in enumerate(steps) if (row[i] or 0) <= most), steps[-1])
+def _level() -> Column:
+    """A count on a scale of few steps: itself below 64, then a step for every quarter more."""
+    return F.when(F.col("n") < 64, F.col("n")).otherwise(64 + F.floor(F.log(F.col("n") / 64.0) / float(np.log(1.25)))).cast("int")
+
+
+def _at_least(counts: DataFrame, most: int, floor: int) -> DataFrame:
+    """The most common keys: all from the least level (floor or more) from which there are at most `most`."""
+    rows = counts.groupBy(_level().alias("l")).agg(F.count("*").alias("k")).collect()  # at most 64 levels and one for each quarter
+    left, level = most, max((r["l"] for r in rows), default=floor) + 1
+    for r in sorted(rows, key=lambda r: -r["l"]):
+        left -= r["k"]
+        if left < 0 or r["l"] < floor:
+            break
+        level = r["l"]
+    return counts.filter(_level() >= level)
 
 
 class Automaton:
@@ -71,8 +80,8 @@ class Automaton:
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, core_from: int):
         order = np.lexsort((words, -counts))
-        self.words, counts = words[order], counts[order]
-        self.index = KeyIndex(self.words)
+        counts = counts[order]
+        self.index = KeyIndex(words[order])
         self.unit = total + 0.5 * (distinct + 1)
         self.log_base = np.log10((counts + 0.5) / self.unit)
         self.log_unknown = float(np.log10(0.5 / self.unit))
@@ -142,14 +151,14 @@ class Automaton:
             keys.append(key)
             logp.append(np.log10(p))
             # the longest histories are not extended: the arc leads to the suffix state
-            nxt.append(state if k + 2 < ORDER else self.fail[state])
+            nxt.append((state if k + 2 < ORDER else self.fail[state]).astype(np.int32))
         if self.grams and len(self.grams) == ORDER - 1:
             n = self.first_state[-2]
             self.fail, self.log_left = self.fail[:n], self.log_left[:n]
         self.arc_index = KeyIndex(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         self.arc_logp = np.concatenate(logp) if logp else np.zeros(0)
-        self.arc_next = np.concatenate(nxt) if nxt else np.zeros(0, np.int64)
-        del self.grams, self.indexes
+        self.arc_next = np.concatenate(nxt) if nxt else np.zeros(0, np.int32)
+        del self.grams, self.indexes, self.counts
         return self
 
     def traverse(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -201,7 +210,7 @@ def _keep(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float]:
     """The most common keys (count 2 or more, at most `most`) and the absolute discount of their order."""
     row = counts.agg(F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
     n1, n2 = (row[0] or 0), (row[1] or 0)
-    found = counts.filter(F.col("n") >= _threshold(counts, most, 2)).toArrow()
+    found = _at_least(counts, most, 2).toArrow()
     return found["h"].to_numpy(), found["n"].to_numpy(), (n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
 
 
@@ -211,7 +220,7 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Autom
     vocab = scratch.save("words", count(_count_words))
     row = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = int(row[0]), int(row[1])
-    head = vocab.filter(F.col("n") >= _threshold(vocab, HEAD, 1)).toArrow()
+    head = _at_least(vocab, HEAD, 1).toArrow()
     words, n = head["h"].to_numpy().view(np.uint64), head["n"].to_numpy()
     core_from = max(2, int(np.partition(n, len(n) - CORE)[len(n) - CORE]) + 1 if len(n) > CORE else 2)
     model = Automaton(words, n, total, distinct, core_from)
@@ -244,7 +253,7 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Autom
         model.add_order(keys, n)
         discounts.append(discount)
         scratch.drop(f"grams{order}")
-        shared.unpersist()
+        shared.destroy()
     return model.build(discounts), vocab, total
 
 
@@ -281,6 +290,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Automaton, vocab: DataFra
 
     fields = "key long, doc_id long, held_out boolean, n_tokens long, head long, base double, walk double, tail array<long>, reps array<int>"
     walked = scratch.save("walked", docs.mapInArrow(run, fields))
+    shared.destroy()
     rare = walked.filter(F.size("tail") > 0).select("key", F.explode(F.arrays_zip("tail", "reps")).alias("t")).select("key", F.col("t.tail").alias("h"), F.col("t.reps").alias("r"))
     rare = rare.join(vocab, "h", "left")
     c = F.coalesce(F.col("n"), F.lit(0))

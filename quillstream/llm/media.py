@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .textkit import chunks, ragged, text_buffer
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 FPS, SIDE = 10, 32
 FRAME_BLOCKS = (SIDE // 8) ** 2
 #: Shot cuts: histogram bins, frames that the adaptive threshold looks back on, its spread factor and its least value.

@@ -176,6 +176,19 @@ class KeyIndex:
             self.keys[at[placed]] = keys[left[placed]]
             left, at = left[~placed], (at[~placed] + 1) & self.mask
 
+    def __getstate__(self):
+        """Only the keys travel; the table is built again where it is used."""
+        return self.in_order()
+
+    def __setstate__(self, keys):
+        self.__init__(keys)
+
+    def in_order(self) -> np.ndarray:
+        used = self.slots >= 0
+        out = np.zeros(int(used.sum()), U64)
+        out[self.slots[used]] = self.keys[used]
+        return out
+
     def find(self, queries: np.ndarray) -> np.ndarray:
         queries = np.ascontiguousarray(queries).view(U64)
         at = (mix(queries) >> self.shift).astype(np.int64)

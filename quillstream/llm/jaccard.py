@@ -120,12 +120,13 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
 
     def signatures(batches):
         for batch in chunks(batches):
-            size, cls, group, prefix, parity = [], [], [], [], []
+            size, early, cls, group, prefix, parity = [], [], [], [], [], []
             for part in text_sets(batch, k):
                 n = len(part)
                 late = in_bitmap(frequent.value, part)
                 ordered = np.concatenate([part[~late], part[late]])[: prefix_length(n, num, den)]
                 size.append(n)
+                early.append(len(part) - int(late.sum()))
                 cls.append(_set_hash(part))
                 group.append(_list_hash(ordered, n))
                 prefix.append(ordered)
@@ -134,53 +135,65 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = signed(np.concatenate(prefix)) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *[pa.array(p) for p in sketch]],
-                names=["doc_id", "n", "cls", "grp", "prefix", *_SKETCH],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(early, pa.int64()), pa.array(cls, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *[pa.array(p) for p in sketch]],
+                names=["doc_id", "n", "early", "cls", "grp", "prefix", *_SKETCH],
             )
 
-    sig = scratch.save("signatures", docs.mapInArrow(signatures, "doc_id long, n long, cls long, grp long, prefix array<long>, " + ", ".join(f"{p} long" for p in _SKETCH)))
+    sig = scratch.save("signatures", docs.mapInArrow(signatures, "doc_id long, n long, early long, cls long, grp long, prefix array<long>, " + ", ".join(f"{p} long" for p in _SKETCH)))
     full = sig.filter("n > 0")
     # a group is named by its least class
-    groups = full.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = groups.select(F.posexplode("prefix").alias("pos", "h"), "rep", F.col("n").cast("int").alias("n"))
+    groups = full.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("early").alias("early"), F.first("prefix").alias("prefix"))
+    posts = groups.select(F.posexplode("prefix").alias("pos", "h"), "rep", "early").select("pos", "h", "rep", (F.col("pos") >= F.col("early")).alias("late"))
     shared = posts.groupBy("h").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).filter("center < other").select("h", "center")
-    posts = scratch.save("postings", posts.join(shared, "h").select("h", "rep", "n", "pos", "center"))
+    posts = scratch.save("postings", posts.join(shared, "h").select("h", "rep", "pos", "late", "center"))
     classes = full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("grp", "n", *_SKETCH)])
     least_class = full.groupBy("grp").agg(F.min("cls").alias("rep"))
     classes = scratch.save("classes", classes.join(least_class, "grp").select("cls", "rep", "n", *_SKETCH))
+    ids = scratch.save("ids", sig.select("doc_id", "n", "cls"))
+    del sig, full, groups, shared, least_class
+    scratch.drop("counts", "signatures")
+    scratch.release()
     side = lambda k, name: classes.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}{k}") for c in ("n", *_SKETCH)])
     fits = (F.lit(num) * F.greatest("n1", "n2") <= F.lit(den) * F.least("n1", "n2")) & _near(num, den)
     stars = posts.filter("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     stars = stars.unionByName(classes.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")))
     stars = scratch.save("stars", stars.join(side(1, "a"), "a").join(side(2, "b"), "b").filter(fits).select("a", "b"))
     links = scratch.save("links", _verify(spark, docs, stars, k, num, den, scratch, "first"))
+    scratch.drop("texts-first", "stars")
+    scratch.release()
     joined = connected_components(links, scratch, "star")
     # what stars left apart
     named = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "n", F.coalesce("component", "cls").alias("comp"), *_SKETCH)
     named = scratch.save("named", named)
     spread = lambda d, key: d.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(key)
     inside = spread(posts.select("h", "rep").join(named.select("rep", "comp"), "rep"), "h")
-    # each posting with the group's shared shingles before it, by which a pair knows its first shared one
-    shingles = F.expr("transform(sort_array(l), x -> x.h)")
-    before = posts.groupBy("rep").agg(F.collect_list(F.struct("pos", "h")).alias("l")).select("rep", F.expr("sort_array(l)").alias("l"), shingles.alias("s"))
-    before = before.select("rep", "s", F.posexplode("l").alias("i", "x")).select("rep", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), F.expr("slice(s, 1, i)").alias("before"))
-    apart = before.join(inside, "h").join(named, "rep").withColumn("lone", F.lit(False))
-    lone = named.join(spread(named, "rep"), "rep").withColumns({"h": F.col("rep"), "pos": F.lit(0), "before": F.array().cast("array<bigint>"), "lone": F.lit(True)})
+    apart = posts.join(inside, "h").select("h", "rep", "pos", "late")
+    # each posting of a frequent shingle with the group's frequent ones before it, by which a pair knows its first
+    none = F.lit(None).cast("array<bigint>")
+    late = apart.filter("late").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("l"))
+    late = late.select("rep", F.expr("transform(l, x -> x.h)").alias("s"), F.posexplode("l").alias("i", "x"))
+    late = late.select(F.col("x.h").alias("h"), "rep", F.col("x.pos").alias("pos"), F.expr("slice(s, 1, i)").alias("before"))
+    apart = apart.filter("not late").select("h", "rep", "pos", none.alias("before")).unionByName(late)
+    apart = apart.join(named, "rep").withColumn("lone", F.lit(False))
+    lone = named.join(spread(named, "rep"), "rep").withColumns({"h": F.col("rep"), "pos": F.lit(0), "before": none, "lone": F.lit(True)})
     apart = scratch.save("apart", apart.unionByName(lone))
     own = ("cls", "rep", "n", "pos", "comp", "before", *_SKETCH)
     x, y = (apart.select("h", "lone", *[F.col(c).alias(f"{c}{k}") for c in own]) for k in (1, 2))
     need = F.ceil(F.lit(num) * (F.col("n1") + F.col("n2")) / F.lit(num + den))
     rest = x.join(y, ["h", "lone"]).filter(
         (F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & ((F.col("rep1") == F.col("rep2")) == F.col("lone"))
-        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need) & fits & ~F.arrays_overlap("before1", "before2")
+        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need) & fits & F.coalesce(~F.arrays_overlap("before1", "before2"), F.lit(True))
     )
-    rest = scratch.save("rest", rest.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")))
+    rest = scratch.save("rest", rest.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct())
+    del apart, late, x, y, inside, lone
+    scratch.drop("postings", "apart")
+    scratch.release()
     if not rest.isEmpty():
         more = scratch.save("more", _verify(spark, docs, rest, k, num, den, scratch, "second"))
         joined = connected_components(links.unionByName(more), scratch, "all")
-    of = sig.select("doc_id", "n", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp"))
+    of = ids.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp"))
     of = scratch.save("members", of)
-    scratch.drop("counts", "signatures", "postings", "classes", "stars", "links", "named", "apart", "rest", "texts-first", "texts-second")
+    scratch.drop("ids", "classes", "links", "named", "rest", "texts-second")
     least_id = of.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = of.join(least_id, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

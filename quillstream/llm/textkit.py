@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once: bounds the numpy temporaries of a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -207,7 +207,7 @@ class KeyIndex:
 class Tally:
     """Counts of 64-bit keys, merged in memory and handed out when there are more than `limit` of them."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 800_000):
         self.limit, self.held, self.size = limit, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None):

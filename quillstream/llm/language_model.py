@@ -16,7 +16,7 @@ so the probabilities of all words and one unknown word sum to 1 in every state.
 
 Null text counts as empty: its only token is the end. Repeated rows are scored
 (and counted) each. With no training documents N = V = 0 and every token is
-unknown. HEAD, CORE and ARCS bound what is broadcast: about 120 MB.
+unknown. HEAD, CORE and ARCS bound what is broadcast: about 60 MB.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch
 from .textkit import KeyIndex, Tally, chunks, crc32_mod, mix, text_buffer, word_hashes
 
-HEAD, CORE, ARCS, ORDER = 1 << 20, 1 << 15, 1 << 20, 3
+HEAD, CORE, ARCS, ORDER = 1 << 19, 1 << 15, 1 << 19, 3
 #: The hash that stands for the end of a text.
 END = mix(np.array([0x656E64], np.uint64))[0]
 #: Texts are read in lanes of so many tokens; a lane starts ORDER-1 tokens early, which fixes its state.

@@ -40,7 +40,7 @@ from .textkit import _COMBINE, Tally, chunks, mix, shingle_hashes, signed, text_
 #: Bits of the bitmaps of frequent shingles and of wanted classes (2 MB each).
 BITS = 24
 #: A shingle in this many prefixes is frequent; the count is raised until 1/8 of the bitmap holds them all.
-FREQUENT = 32
+FREQUENT = 4
 #: Bits of a set's parity sketch.
 PARITY = 512
 _SKETCH = [f"p{i}" for i in range(PARITY // 64)]

@@ -37,7 +37,7 @@ BLOCK_IDS = 1 << 16
 MAGIC = b"QSRANS1\0"
 HEADER = struct.Struct("<8sQIIIII")
 #: Distinct word pieces an executor's Python process remembers.
-MEMORY = 3_000_000
+MEMORY = 2_000_000
 
 # ---------------------------------------------------------------- tokenizing
 
@@ -73,9 +73,9 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes and their slots
         self.pool = np.array([END_ID], np.uint32)
-        self.at, self.n = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.at, self.n = np.zeros(1, np.int32), np.ones(1, np.int32)
 
     def pieces(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, at = words(buf, offsets)
@@ -105,24 +105,28 @@ class WordEncoder:
         distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
             self._clear()
-        keys = distinct.tolist()
-        slot = [self.known.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(slot) if s < 0]
-        if new:
+        spot = np.searchsorted(self.known, distinct)
+        old = np.zeros(len(distinct), bool)
+        if len(self.known):
+            old = self.known[np.minimum(spot, len(self.known) - 1)] == distinct
+        slot = np.zeros(len(distinct), np.int32)
+        slot[old] = self.slots[spot[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
             raw = buf.tobytes()
             texts = [raw[first[e] : last[e]].decode("utf-8", "replace") for e in example[new].tolist()]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            n = np.array([len(f) for f in found], np.int64)
-            base = len(self.n)
-            for j, i in enumerate(new):
-                slot[i] = self.known[keys[i]] = base + j
-            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
+            n = np.array([len(f) for f in found], np.int32)
+            slot[new] = len(self.n) + np.arange(len(new), dtype=np.int32)
+            self.known = np.insert(self.known, spot[new], distinct[new])
+            self.slots = np.insert(self.slots, spot[new], slot[new])
+            self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
             self.n = np.concatenate([self.n, n])
             self.pool = np.concatenate([self.pool, np.array([x for f in found for x in f], np.uint32)])
-        which = np.array(slot, np.int64)[which] if len(keys) else np.zeros(0, np.int64)
+        which = slot[which].astype(np.int64)
         which = np.insert(which, at[1:], 0)  # slot 0 is the end
-        n = self.n[which]
-        ids = self.pool[ragged(self.at[which], n)]
+        n = self.n[which].astype(np.int64)
+        ids = self.pool[ragged(self.at[which].astype(np.int64), n)]
         total = np.concatenate([[0], np.cumsum(n)])
         return ids, total[np.concatenate([[0], at[1:] + np.arange(1, len(at))])]
 

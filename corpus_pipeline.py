@@ -38,11 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     found = similar_components(spark, texts(docs), SHINGLE, *SIMILAR)
     found = Scratch(spark, "near").save("found", found)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
+    # ids of which no row stays: fewer than those that stay, so often small enough for Spark to broadcast
+    gone = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stay")).filter("not stay").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from .folds import fold, sample_ids
 from .textkit import chunks, crc32_mod, mix, range_hashes, text_buffer, words
 
 POSITIVES, UNLABELLED = 4_000, 12_000
-DIM_BITS, EPOCHS, BATCH, RATE, L1 = 22, 30, 512, 0.05, 6e-4
+DIM_BITS, EPOCHS, BATCH, RATE, L1 = 22, 30, 512, 0.05, 2e-4
 #: A feature is learnt if it is in this many positives and its rate there differs from the unlabelled rate by so many standard errors.
 MIN_POSITIVES, MIN_Z = 3, 4.0
 PREFIXES = (4, 5)

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
@@ -142,16 +142,21 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
     sig = scratch.save("signatures", docs.mapInArrow(signatures, "doc_id long, n long, early long, cls long, grp long, prefix array<long>, " + ", ".join(f"{p} long" for p in _SKETCH)))
     full = sig.filter("n > 0")
     # a group is named by its least class
-    groups = full.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("early").alias("early"), F.first("prefix").alias("prefix"))
-    posts = groups.select(F.posexplode("prefix").alias("pos", "h"), "rep", "early").select("pos", "h", "rep", (F.col("pos") >= F.col("early")).alias("late"))
-    shared = posts.groupBy("h").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).filter("center < other").select("h", "center")
-    posts = scratch.save("postings", posts.join(shared, "h").select("h", "rep", "pos", "late", "center"))
+    groups = scratch.save("groups", full.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("early").alias("early"), F.first("prefix").alias("prefix")))
+    posts = groups.select(F.posexplode("prefix").alias("pos", "h"), "rep", "early").select("h", "rep", "pos", (F.col("pos") >= F.col("early")).alias("late"))
+    # a shingle is frequent everywhere or nowhere; one that is not has few postings, which one shuffle settles
+    ends = (F.min("rep").alias("center"), F.max("rep").alias("other"))
+    few = Window.partitionBy("h")
+    rare = posts.filter("not late").withColumns({"center": F.min("rep").over(few), "other": F.max("rep").over(few)}).filter("center < other")
+    common = posts.filter("late")
+    common = common.join(common.groupBy("h").agg(*ends).filter("center < other"), "h")
+    posts = scratch.save("postings", rare.unionByName(common).select("h", "rep", "pos", "late", "center"))
     classes = full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("grp", "n", *_SKETCH)])
     least_class = full.groupBy("grp").agg(F.min("cls").alias("rep"))
     classes = scratch.save("classes", classes.join(least_class, "grp").select("cls", "rep", "n", *_SKETCH))
     ids = scratch.save("ids", sig.select("doc_id", "n", "cls"))
-    del sig, full, groups, shared, least_class
-    scratch.drop("counts", "signatures")
+    del sig, full, groups, rare, common, least_class
+    scratch.drop("counts", "signatures", "groups")
     scratch.release()
     side = lambda k, name: classes.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}{k}") for c in ("n", *_SKETCH)])
     fits = (F.lit(num) * F.greatest("n1", "n2") <= F.lit(den) * F.least("n1", "n2")) & _near(num, den)

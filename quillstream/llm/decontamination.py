@@ -5,8 +5,9 @@ A document is searched for windows within word edit distance floor(MAX_EDITS * n
 of an item of n words.
 
 1. Windows. By the q-gram lemma a window that close to the item shares at least
-   n-2-3k of its word trigrams (k edits) with offsets that differ by at most k;
-   only item-sized windows with that many hits are looked at. This loses nothing.
+   n-2-3k of its word trigrams (k edits; of its word pairs n-1-2k where that leaves
+   no trigram) with offsets that differ by at most k; only item-sized windows with
+   that many hits are looked at. This loses nothing.
 2. CGK. Each window and item is embedded by WALKS random walks over shared random
    bits: the walk copies the current word and moves on if the bit says so. Edit
    distance k becomes Hamming distance of O(k*k) with constant probability.
@@ -19,8 +20,8 @@ of an item of n words.
 
 Null or empty texts and items match nothing; items of fewer than 5 words must occur
 exactly. Repeated rows each count; of several windows for one (document, item) the
-nearest, then the first, is returned. Items are handled in blocks of ITEM_BLOCK, so
-what is broadcast is bounded.
+nearest, then the first, is returned. Items of any length are handled in blocks of
+ITEM_BLOCK and ITEM_BYTES, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from .textkit import _COMBINE, KeyIndex, chunks, mix, range_hashes, text_buffer, words
 
 MAX_EDITS, WALKS, TABLES, SAMPLES, RECALL = 0.2, 6, 8, 2, 0.95
-ITEM_BLOCK = 20_000
-MAX_WORDS = 4_096
+#: Items, and bytes of their texts, in one broadcast block; a longer item is a block of its own.
+ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
+#: Numbers held at a time while windows are embedded or compared.
+CELLS = 1 << 22
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 U64 = np.uint64
@@ -49,6 +52,14 @@ def edits_allowed(n: np.ndarray) -> np.ndarray:
     return np.where(n < 5, 0, np.floor(MAX_EDITS * n)).astype(np.int64)
 
 
+def gram_size(n: np.ndarray) -> np.ndarray:
+    """Words of a gram of items of n words: 3, or what still leaves a shared gram after the edits."""
+    q, k = np.minimum(3, n), edits_allowed(n)
+    for _ in range(2):
+        q = np.where((q > 1) & (n - (q - 1) - q * k < 1), q - 1, q)
+    return q
+
+
 def _grams(hashes: np.ndarray, q: int) -> np.ndarray:
     """Hash of the q words from each position (fewer positions than words by q-1)."""
     n = len(hashes) - q + 1
@@ -78,6 +89,9 @@ def cgk(rows: np.ndarray, walk: int) -> np.ndarray:
 def lsh_keys(rows: np.ndarray) -> np.ndarray:
     """One key for each row, walk and table."""
     width = rows.shape[1]
+    most = max(1, CELLS // (3 * width))
+    if len(rows) > most:
+        return np.concatenate([lsh_keys(rows[a : a + most]) for a in range(0, len(rows), most)])
     keys = []
     for walk in range(WALKS):
         rng = np.random.default_rng(1000 * width + walk)
@@ -113,7 +127,8 @@ class Items:
         self.ids, self.seqs = ids, seqs
         n = np.array([len(s) for s in seqs], np.int64)
         self.n, self.k = n, edits_allowed(n)
-        self.q = np.minimum(3, n)
+        self.q = gram_size(n)
+        self.longest = int(n.max(initial=1))
         self.gates = {}
         for q in (1, 2, 3):
             own = [i for i in range(len(seqs)) if self.q[i] == q]
@@ -151,8 +166,8 @@ def _windows(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
         pos, it, text, rows = pos[inside], it[inside], text[inside], rows[inside]
         start = pos - offset[rows]
         # hits of one item by start; those within k starts of each other may be one occurrence
-        span = len(hashes) + 4 * MAX_WORDS
-        key = it * span + start + 2 * MAX_WORDS
+        span = len(hashes) + 4 * items.longest
+        key = it * span + start + 2 * items.longest
         order = np.argsort(key, kind="stable")
         key, it, start, text = key[order], it[order], start[order], text[order]
         k = items.k[it]
@@ -182,16 +197,17 @@ def search(items: Items, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int,
     for n in np.unique(width).tolist():
         where = start[width == n]
         text = np.searchsorted(at, where, "right") - 1
-        rows = _slice(hashes, where, at[text + 1], n)
         own, sorted_keys, owner = items.lsh[n]
-        keys = lsh_keys(rows)
+        most = max(1, CELLS // n)
+        keys = np.concatenate([lsh_keys(_slice(hashes, where[a : a + most], at[text[a : a + most] + 1], n)) for a in range(0, len(where), most)])
         lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
         m = (hi - lo).reshape(-1)
-        r = np.repeat(np.repeat(np.arange(len(rows)), keys.shape[1]), m)
+        r = np.repeat(np.repeat(np.arange(len(where)), keys.shape[1]), m)
         cell = np.repeat(lo.reshape(-1), m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         pairs = np.unique(np.stack([r, owner[cell]], 1), axis=0)
-        for a in range(0, len(pairs), 20_000):
-            part = pairs[a : a + 20_000]
+        some = max(1, CELLS // (2 * n))
+        for a in range(0, len(pairs), some):
+            part = pairs[a : a + some]
             target = np.stack([items.seqs[own[i]] for i in part[:, 1]])
             k = int(items.k[own[0]])
             low = np.maximum(where[part[:, 0]] - k, at[text[part[:, 0]]])
@@ -205,16 +221,17 @@ def search(items: Items, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int,
 
 
 def _item_blocks(benchmark: DataFrame):
-    """Items of the benchmark in blocks of about ITEM_BLOCK."""
+    """Items of the benchmark in blocks of about ITEM_BLOCK and ITEM_BYTES."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    row = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-row[0] // ITEM_BLOCK), -(-(row[1] or 0) // ITEM_BYTES))
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = part.toArrow()
         hashes, at = word_sequence(*text_buffer(rows.column("text")))
         seqs = [hashes[at[i] : at[i + 1]] for i in range(len(at) - 1)]
         ids = rows.column("item_id").to_pylist()
-        use = sorted((i for i in range(len(seqs)) if 0 < len(seqs[i]) <= MAX_WORDS), key=lambda i: (ids[i] is None, ids[i] or 0))
+        use = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: (ids[i] is None, ids[i] or 0))
         yield Items([ids[i] for i in use], [seqs[i] for i in use])
 
 

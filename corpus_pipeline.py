@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
-of `documents`.
+of `documents`, also extra ones under any name. Null texts are empty texts; a null
+source is a source; rows that repeat are documents of their own but for near_duplicates;
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = Scratch(spark, "near").save("found", found)
     # ids of which no row stays: fewer than those that stay, so often small enough for Spark to broadcast
     gone = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stay")).filter("not stay").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
     return kept
@@ -55,8 +57,10 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it (0, 1 or 2)."""
     ship(spark)
-    out = mix(spark, docs, F.array(F.col("source").cast("string")), word_count(F.col("text").cast("string")))
-    return out.filter("copies > 0").withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs clashes with the mix's
+    doc_id, source, text = (names[docs.columns.index(c)] for c in ("doc_id", "source", "text"))
+    out = mix(spark, docs.toDF(*names), F.array(F.col(source).cast("string")), word_count(F.col(text).cast("string")), key=(doc_id,))
+    return out.filter("copies > 0").withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*names).toDF(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

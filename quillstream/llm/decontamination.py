@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import keep_rows, table, texts
 from .textkit import _COMBINE, KeyIndex, chunks, mix, range_hashes, text_buffer, words
 
 MAX_EDITS, WALKS, TABLES, SAMPLES, RECALL = 0.2, 6, 8, 2, 0.95
-#: Items, and bytes of their texts, in one broadcast block; a longer item is a block of its own.
+#: Items, and bytes of their texts, in one broadcast block, about.
 ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
 #: Numbers held at a time while windows are embedded or compared.
 CELLS = 1 << 22
@@ -257,18 +258,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark item is found."""
     for held in _item_blocks(benchmark):
 
-        def run(batches, held=held):
-            for batch in chunks(batches):
-                clean = np.ones(batch.num_rows, bool)
-                for text, *_ in search(held, *word_sequence(*text_buffer(batch.column("text")))):
-                    clean[text] = False
-                yield batch.filter(pa.array(clean))
+        def clean(texts, held=held):
+            out = np.ones(len(texts), bool)
+            out[[t for t, *_ in search(held, *word_sequence(*text_buffer(texts)))]] = False
+            return out
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = keep_rows(docs, clean)
     return docs
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tables import table, texts
-
     return contaminated(texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .features import NAMES, features
 from .folds import fold, sample_ids
 from .textkit import chunks, crc32_mod, text_buffer
+from .tables import keep_rows, table, texts
 
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 20_000
@@ -167,16 +168,9 @@ def score_quality(docs: DataFrame, model: PairwiseGam, threshold: float = 0.3) -
 
 def keep_quality(docs: DataFrame, model: PairwiseGam, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose text scores at least the threshold."""
-
-    def run(batches):
-        for batch in chunks(batches):
-            yield batch.filter(pa.array(model.score(features(*text_buffer(batch.column("text")))) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, lambda texts: model.score(features(*text_buffer(texts))) >= threshold)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tables import table, texts
-
     docs = texts(table(spark, sf_dir, "documents"))
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))

@@ -37,8 +37,8 @@ from .textkit import _BYTE, _COMBINE, Tally, chunks, mix, powers, ragged, text_b
 WINDOW, KGRAM, GROUP = 100, 40, 256
 #: Bits of the bitmaps of repeated anchors and wanted contexts (8 MB each): false hits only cost work.
 BITS = 26
-#: Longer texts are searched in parts of so many window starts.
-PART = 3 << 20
+#: Bytes of text held at a time (a task needs about 80 bytes for each); longer texts are searched in parts of so many window starts.
+PART = 1 << 19
 _POS = np.uint64((1 << 22) - 1)
 U64 = np.uint64
 
@@ -336,7 +336,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Da
 
     def count_anchors(batches):
         tally = Tally()
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=PART):
             yield from tally.add(contexts(*text_buffer(batch.column("text")))[0])
         yield from tally.flush()
 
@@ -344,7 +344,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Da
     twice = spark.sparkContext.broadcast(_bits(counted.filter("n > 1"), "h"))
 
     def occurrences(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=PART):
             buf, offsets = text_buffer(batch.column("text"))
             g, c, text, i0, n = contexts(buf, offsets)
             keep = np.flatnonzero(_has(twice.value, g))
@@ -362,7 +362,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Da
     wanted = spark.sparkContext.broadcast(_bits(mixed, "c"))
 
     def fetch(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=PART):
             buf, offsets = text_buffer(batch.column("text"))
             g, c, text, i0, n = contexts(buf, offsets)
             keep = np.flatnonzero(_has(wanted.value, c))
@@ -398,7 +398,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, scratch: Scratch | No
     scratch.drop("occurrences", "first", "mixed", "bodies", "hot")
 
     def remove(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=PART):
             buf, offsets = text_buffer(batch.column("text"))
             gone = np.zeros(len(buf) + 1, np.int32)
             spans = batch.column("spans")

@@ -153,6 +153,16 @@ def crc32_mod(ids, m: int) -> np.ndarray:
     return np.fromiter((-1 if i is None else zlib.crc32(str(i).encode()) % m for i in ids), np.int64, len(ids))
 
 
+def trim() -> None:
+    """Give freed memory back, so that a Python worker that waits for its next task holds little."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if give is not None:
+        give(0)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

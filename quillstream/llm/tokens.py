@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .textkit import chunks, ragged, range_hashes, text_buffer, words
+from .textkit import chunks, ragged, range_hashes, text_buffer, trim, words
 
 END_ID = 2
 LANES, CHECK_STEPS, PRECISION, LOW = 64, 256, 20, 1 << 31
@@ -37,7 +37,9 @@ BLOCK_IDS = 1 << 16
 MAGIC = b"QSRANS1\0"
 HEADER = struct.Struct("<8sQIIIII")
 #: Distinct word pieces an executor's Python process remembers.
-MEMORY = 2_000_000
+MEMORY = 1_000_000
+#: New pieces given to the library at a time, and bytes of text held at a time.
+SOME, PART = 2_000, 1 << 19
 
 # ---------------------------------------------------------------- tokenizing
 
@@ -115,14 +117,15 @@ class WordEncoder:
         if len(new):
             raw = buf.tobytes()
             texts = [raw[first[e] : last[e]].decode("utf-8", "replace") for e in example[new].tolist()]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            # the library's results are large: only the ids of a few at a time are kept
+            found = [np.array(e.ids, np.uint32) for a in range(0, len(texts), SOME) for e in self.tokenizer.encode_batch_fast(texts[a : a + SOME], add_special_tokens=False)]
             n = np.array([len(f) for f in found], np.int32)
             slot[new] = len(self.n) + np.arange(len(new), dtype=np.int32)
             self.known = np.insert(self.known, spot[new], distinct[new])
             self.slots = np.insert(self.slots, spot[new], slot[new])
             self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
             self.n = np.concatenate([self.n, n])
-            self.pool = np.concatenate([self.pool, np.array([x for f in found for x in f], np.uint32)])
+            self.pool = np.concatenate([self.pool, *found])
         which = slot[which].astype(np.int64)
         which = np.insert(which, at[1:], 0)  # slot 0 is the end
         n = self.n[which].astype(np.int64)
@@ -286,7 +289,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, path: st
                 names=["shard", "block", "at", "n", "docs", "lengths", "ids"],
             )
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=PART):
             ids, offsets = tool.encode(*text_buffer(batch.column("text")))
             names, a = batch.column("doc_id").to_pylist(), 0
             while a < len(names):
@@ -300,6 +303,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, path: st
                     block, at, held, size = block + 1, at + size, [], 0
         if held:
             yield close()
+        held = []
+        trim()
 
     sorted_docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     raw = scratch.save("raw", sorted_docs.mapInArrow(tokenise, "shard int, block long, at long, n long, docs array<long>, lengths array<int>, ids binary"), "lz4")

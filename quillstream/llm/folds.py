@@ -17,6 +17,7 @@ def sample_ids(ids: DataFrame, limit: int, seed: int) -> DataFrame:
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     if total > limit:
         # a threshold leaves slightly more than needed, so that the order below sees a bounded number of rows
-        share = min(1.0, 1.3 * limit / total + 0.001)
-        ids = ids.filter(h < F.lit(int(-(2**63) + share * (2**64 - 1))))
+        share = 1.3 * limit / total + 0.001
+        if share < 1:  # at 1 the bound would be 2**63, which is no long
+            ids = ids.filter(h < F.lit(int(-(2**63) + share * (2**64 - 1))))
     return ids.orderBy(h, "doc_id").limit(limit)

@@ -85,17 +85,17 @@ def _near(num: int, den: int) -> Column:
     return F.lit(num + den) * apart <= F.lit(den - num) * (F.col("n1") + F.col("n2"))
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**BITS bits with the low bits of every key set; built by a bounded aggregation."""
-    at = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
+def bitmap(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+    """A bitmap of 2**bits bits with the low bits of every key set; built by a bounded aggregation."""
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     rows = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (BITS - 6), U64)
+    out = np.zeros(1 << (bits - 6), U64)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(U64)
     return out
 
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    low = hashes & U64((1 << BITS) - 1)
+    low = hashes & U64(64 * len(bits) - 1)
     return (bits[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1) > 0
 
 

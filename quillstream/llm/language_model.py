@@ -1,22 +1,26 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with backoff weights of all n-grams that occur twice.
 
-Counts cover every training document. Words with enough occurrences (the head, at
-most HEAD of them) are broadcast; rarer words, the unbounded tail, are looked up
-by a shuffled join. The most common head words (the core) span n-grams of up to
-ORDER words; an n-gram is kept if its own prefix and suffix are, it occurs twice,
-and the ARCS most common of its order hold it. Kept n-grams are states and arcs of
-an automaton whose failure arcs carry backoff weights; one left-to-right pass per
-text carries the state and adds log10 probabilities.
+Counts cover every training document. An n-gram of up to ORDER words is kept if it
+occurs twice and its own prefix and suffix are kept; no number bounds how many are.
 
     p(w | h) = (c(hw) - D) / c(h)  [kept]  +  left(h) * p(w | shorter h)
     left(h)  = 1 - sum over kept w of (c(hw) - D) / c(h)
     p(w)     = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-so the probabilities of all words and one unknown word sum to 1 in every state.
+so the probabilities of all words and one unknown word sum to 1 after every history.
+D of an order is n1 / (n1 + 2 n2) over the n-grams whose prefix and suffix are kept.
+
+A text's score is a sum over the n-grams that occur in it: with
+gain(hw) = log10 p(w | h) - log10 left(h) - log10 p(w | shorter h), each word adds
+log10 p(w) + log10 left(w), each kept longer n-gram its gain + log10 left, and others
+nothing. So scoring is an equi-join on the hashes of n-grams. The HEAD most common
+words and GRAMS most common longer n-grams are broadcast and looked up in place; what
+is not among them is looked up by a shuffled join. These bounds and the bitmaps of
+kept n-grams (false hits find nothing in the join) change the cost, not the result.
 
 Null text counts as empty: its only token is the end. Repeated rows are scored
 (and counted) each. With no training documents N = V = 0 and every token is
-unknown. HEAD, CORE and ARCS bound what is broadcast: about 60 MB.
+unknown.
 """
 
 from __future__ import annotations
@@ -24,18 +28,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .textkit import KeyIndex, Tally, chunks, crc32_mod, mix, text_buffer, word_hashes
+from .folds import fold
+from .jaccard import bitmap, in_bitmap
+from .textkit import _COMBINE, KeyIndex, Tally, chunks, crc32_mod, mix, text_buffer, trim, word_hashes
 
-HEAD, CORE, ARCS, ORDER = 1 << 19, 1 << 15, 1 << 19, 3
+HEAD, GRAMS, ORDER = 1 << 18, 1 << 19, 3
+#: Bits of the bitmaps of kept n-grams (8 MB each).
+BITS = 26
 #: The hash that stands for the end of a text.
 END = mix(np.array([0x656E64], np.uint64))[0]
-#: Texts are read in lanes of so many tokens; a lane starts ORDER-1 tokens early, which fixes its state.
-LANE = 256
 TRAIN_NOT = 1
+U64 = np.uint64
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +63,7 @@ def _count_words(batches):
     for batch in _training(batches):
         yield from tally.add(_tokens(batch)[0])
     yield from tally.flush()
+    trim()
 
 
 def _level() -> Column:
@@ -75,234 +83,287 @@ def _at_least(counts: DataFrame, most: int, floor: int) -> DataFrame:
     return counts.filter(_level() >= level)
 
 
-class Automaton:
-    """States, arcs and failure arcs of kept n-grams; all arrays, so it can be broadcast."""
+def _gram(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram whose first and last n-1 words have these hashes."""
+    return mix(prefix * _COMBINE[50] + suffix * _COMBINE[51])
+
+
+def _orders(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each token's place in its text; for each order the hash of the n-gram that ends at each token (if its place leaves room)."""
+    place = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
+    full = [hashes]
+    for _ in range(2, ORDER + 1):
+        full.append(np.concatenate([full[-1][:1], _gram(full[-1][:-1], full[-1][1:])]))
+    return place, full
+
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, core_from: int):
-        order = np.lexsort((words, -counts))
-        counts = counts[order]
-        self.index = KeyIndex(words[order])
+class _Pairs:
+    """Tally of n-grams that keeps the hashes of their prefix and suffix."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit, self.held, self.size = limit, [], 0
+
+    def add(self, prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray):
+        self.held.append(self._merged([(_gram(prefix, suffix), prefix, suffix, n)]))
+        self.size += len(self.held[-1][0])
+        if self.size > 2 * self.limit:
+            self.held = [self._merged(self.held)]
+            self.size = len(self.held[0][0])
+            if self.size > self.limit:
+                yield from self.flush()
+
+    @staticmethod
+    def _merged(parts):
+        h, p, s, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        return h[first], p[order[first]], s[order[first]], np.add.reduceat(n[order], first) if len(h) else n
+
+    def flush(self):
+        if self.held:
+            h, p, s, n = self._merged(self.held)
+            for a in range(0, len(h), 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(c[part].view(np.int64)) for c in (p, s, n)], names=["p", "s", "n"])
+        self.held, self.size = [], 0
+
+
+class Model:
+    """Tables of words (h, n, log_left) and kept longer n-grams (h, p, s, n, log_left, gain); h, p and s are hashes."""
+
+    def __init__(self, words: DataFrame, grams: list[DataFrame], total: int, distinct: int):
+        self.words, self.grams = words, grams
         self.unit = total + 0.5 * (distinct + 1)
-        self.log_base = np.log10((counts + 0.5) / self.unit)
         self.log_unknown = float(np.log10(0.5 / self.unit))
-        self.counts = counts
-        self.core = int((counts >= core_from).sum())  # words 0..core-1, states 1..core
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []  # of each order from 2: key = prefix state << 24 | word, count
-        self.first_state = [1, 1 + self.core]
-        self.indexes: list[KeyIndex] = []
-        self.state_grams: list[np.ndarray] = []
-
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        return self.index.find(hashes)
-
-    def add_order(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.grams.append((keys[order], counts[order]))
-        self.indexes.append(KeyIndex(keys[order]))
-        self.first_state.append(self.first_state[-1] + len(keys))
-
-    def states_of(self, ids: np.ndarray, order: int) -> np.ndarray:
-        """For each position the state of the n-gram of that order that ends there, or -1. ids: core word or -1."""
-        state = np.where(ids >= 0, ids + 1, -1).astype(np.int64)
-        for k in range(2, order + 1):
-            prev = np.concatenate([[-1], state[:-1]])
-            key = self._key(prev, ids)
-            ok = (prev >= 0) & (ids >= 0)
-            state = np.full(len(ids), -1, np.int64)
-            if k - 2 < len(self.indexes):
-                got = self.indexes[k - 2].find(key[ok])
-                state[ok] = np.where(got >= 0, got + self.first_state[k - 1], -1)
-        return state
 
-    @staticmethod
-    def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return (state.astype(np.int64) << 24) | (word.astype(np.int64) & 0xFFFFFF)
-
-    def build(self, discounts: list[float]) -> Automaton:
-        """Arc weights, next states, failure arcs and backoff weights."""
-        n = self.first_state[-1]
-        self.fail = np.zeros(n, np.int64)
-        self.log_left = np.zeros(n)
-        last = np.zeros(n, np.int64)  # the last word of each state
-        count = np.zeros(n)
-        last[1 : 1 + self.core] = np.arange(self.core)
-        count[1 : 1 + self.core] = self.counts[: self.core]
-        keys, logp, nxt = [], [], []
-        prob: dict[int, np.ndarray] = {}
-        for k, (key, c) in enumerate(self.grams):
-            state = self.first_state[k + 1] + np.arange(len(key))
-            prefix, word = key >> 24, key & 0xFFFFFF
-            last[state], count[state] = word, c
-            d = discounts[k]
-            seen = np.maximum(c - d, 0) / count[prefix]
-            left = np.ones(n)
-            np.subtract.at(left, prefix, seen)
-            span = slice(self.first_state[k], self.first_state[k + 1])
-            self.log_left[span] = np.log10(np.maximum(left[span], 1e-12))
-            if k == 0:
-                lower = 10 ** self.log_base[word]
-                self.fail[state] = 1 + word
-            else:  # the suffix of a kept n-gram is kept
-                got = self.indexes[k - 1].find(self._key(self.fail[prefix], word))
-                lower = prob[k - 1][got]
-                self.fail[state] = self.first_state[k] + got
-            p = seen + 10 ** self.log_left[prefix] * lower
-            prob[k] = p
-            keys.append(key)
-            logp.append(np.log10(p))
-            # the longest histories are not extended: the arc leads to the suffix state
-            nxt.append((state if k + 2 < ORDER else self.fail[state]).astype(np.int32))
-        if self.grams and len(self.grams) == ORDER - 1:
-            n = self.first_state[-2]
-            self.fail, self.log_left = self.fail[:n], self.log_left[:n]
-        self.arc_index = KeyIndex(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        self.arc_logp = np.concatenate(logp) if logp else np.zeros(0)
-        self.arc_next = np.concatenate(nxt) if nxt else np.zeros(0, np.int32)
-        del self.grams, self.indexes, self.counts
-        return self
-
-    def traverse(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each text's tokens; a token outside the head (-1) adds only its backoff weights."""
-        n = np.diff(at)
-        lanes = np.maximum(1, -(-n // LANE))
-        text = np.repeat(np.arange(len(n)), lanes)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        first = at[text] + nth * LANE
-        stop = np.minimum(first + LANE, at[text + 1])
-        pos = np.maximum(first - (ORDER - 1), at[text])
-        state = np.zeros(len(text), np.int64)
-        total = np.zeros(len(text))
-        while True:
-            live = np.flatnonzero(pos < stop)
-            if len(live) == 0:
-                break
-            word = ids[pos[live]].astype(np.int64)
-            gain, out = self._step(state[live], word)
-            total[live] += np.where(pos[live] >= first[live], gain, 0.0)
-            state[live] = out
-            pos[live] += 1
-        return np.bincount(text, total, len(n))
+    def base(self, n: Column) -> Column:
+        return F.log10((n + 0.5) / F.lit(float(self.unit)))
+
+    def longer(self) -> DataFrame:
+        """(h, n, weight): what an occurrence of a kept n-gram of two words or more adds to a text's score."""
+        out = None
+        for g in self.grams:
+            g = g.select("h", "n", (F.col("gain") + F.col("log_left")).alias("weight"))
+            out = g if out is None else out.unionByName(g)
+        return out
+
+    # The whole model as states of an automaton, for small models and tests; scoring does not use it.
+
+    def _held(self):
+        if not hasattr(self, "_small"):
+            words = self.words.toArrow().to_pydict()
+            grams = [g.toArrow().to_pydict() for g in self.grams]
+            left = {h: x for t in (words, *grams) for h, x in zip(t["h"], t["log_left"], strict=True)}
+            gain = {h: x for t in grams for h, x in zip(t["h"], t["gain"], strict=True)}
+            suffix = {h: x for t in grams for h, x in zip(t["h"], t["s"], strict=True)}
+            states = [None, *words["h"], *(h for t in grams[:-1] for h in t["h"])]
+            self._small = words, left, gain, suffix, states
+        return self._small
+
+    @property
+    def log_base(self) -> np.ndarray:
+        return np.log10((np.array(self._held()[0]["n"], np.float64) + 0.5) / self.unit)
+
+    @property
+    def fail(self) -> np.ndarray:
+        _, _, _, suffix, states = self._held()
+        at = {h: i for i, h in enumerate(states)}
+        return np.array([at.get(suffix.get(h), 0) for h in states])
 
     def _step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gain = np.zeros(len(state))
-        out = np.zeros(len(state), np.int64)
-        in_core = (word >= 0) & (word < self.core)
-        todo = np.flatnonzero(state > 0)
-        while len(todo):  # follow failure arcs until an arc for the word, or the root
-            s = state[todo]
-            got = self.arc_index.find(self._key(s, np.where(in_core[todo], word[todo], 0xFFFFFF)))
-            hit = got >= 0
-            gain[todo[hit]] += self.arc_logp[got[hit]]
-            out[todo[hit]] = self.arc_next[got[hit]]
-            state[todo[hit]] = -1
-            miss = todo[~hit]
-            gain[miss] += self.log_left[s[~hit]]
-            state[miss] = self.fail[s[~hit]]
-            todo = miss[state[miss] > 0]
-        root = state == 0
-        head = root & (word >= 0)
-        gain[head] += self.log_base[word[head]]
-        out[root] = np.where(in_core[root], word[root] + 1, 0)
-        return gain, out
-
-
-def _keep(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """The most common keys (count 2 or more, at most `most`) and the absolute discount of their order."""
-    row = counts.agg(F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
-    n1, n2 = (row[0] or 0), (row[1] or 0)
-    found = _at_least(counts, most, 2).toArrow()
-    return found["h"].to_numpy(), found["n"].to_numpy(), (n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
-
-
-def train(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame, int]:
-    """(automaton, table of all training words' counts, number of training tokens)."""
-    count = lambda f: docs.mapInArrow(f, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    vocab = scratch.save("words", count(_count_words))
+        """log10 p of each word (by place in words; for -1 only the backoff weights) after each state, and the next states."""
+        words, left, gain, suffix, states = self._held()
+        at, log_base = {h: i for i, h in enumerate(states)}, self.log_base
+        join = lambda p, s: int(_gram(np.array([p]).view(U64), np.array([s]).view(U64)).view(np.int64)[0])
+        out, total = np.zeros(len(state), np.int64), np.zeros(len(state))
+        for i, (s, w) in enumerate(zip(state.tolist(), word.tolist(), strict=True)):
+            history, chain = states[s], []
+            while history is not None:
+                chain.append(history)
+                history = suffix.get(history)
+            found = words["h"][w] if w >= 0 else None
+            total[i], out[i] = (log_base[w], at[found]) if w >= 0 else (0.0, 0)
+            for h in reversed(chain):
+                found = join(h, found) if found is not None else None
+                total[i] += left[h] + gain.get(found, 0.0)
+                out[i] = at.get(found, out[i])
+        return total, out
+
+
+def _with_hash(counts: DataFrame) -> DataFrame:
+    """(h, p, s, n) of rows (p, s, n); n is negative where the lookup in bitmaps was in doubt."""
+
+    def run(batches):
+        for b in batches:
+            p, s, n = (b.column(c).to_numpy() for c in ("p", "s", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(_gram(p.view(U64), s.view(U64)).view(np.int64)), b.column("p"), b.column("s"), pa.array(np.abs(n))], names=["h", "p", "s", "n"])
+
+    return counts.mapInArrow(run, "h long, p long, s long, n long")
+
+
+class _Kept:
+    """Bitmaps of the kept n-grams of an order, and of those counted but not kept that the first does not tell apart."""
+
+    def __init__(self, spark: SparkSession, counts: DataFrame):
+        self.bits = bitmap(counts.filter("n >= 2"), "h", BITS)
+        shared = spark.sparkContext.broadcast(self.bits)
+
+        def false_hits(batches):
+            for b in batches:
+                h = b.column("h").to_numpy().view(U64)
+                yield pa.RecordBatch.from_arrays([pa.array((h[in_bitmap(shared.value, h)] >> U64(32)).view(np.int64))], names=["h"])
+
+        self.doubt = bitmap(counts.filter("n = 1").select("h").mapInArrow(false_hits, "h long"), "h", BITS)
+        shared.destroy()
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each counted n-gram may be kept, and whether that is in doubt."""
+        hit = in_bitmap(self.bits, hashes)
+        return hit, hit & in_bitmap(self.doubt, hashes >> U64(32))
+
+
+def _discount(n1: int, n2: int, doubted: DataFrame, kept: DataFrame) -> float:
+    """The absolute discount of an order: n1 n-grams occur once, and those of the doubted (p, s) whose prefix and suffix are kept."""
+    for side in ("p", "s"):
+        doubted = doubted.join(kept.select(F.col("h").alias(side)), side, "left_semi")
+    n1 += doubted.count()
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+
+def train(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, int]:
+    """(model, table of all training words' counts, number of training tokens)."""
+    vocab = scratch.save("words", docs.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     row = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = int(row[0]), int(row[1])
-    head = _at_least(vocab, HEAD, 1).toArrow()
-    words, n = head["h"].to_numpy().view(np.uint64), head["n"].to_numpy()
-    core_from = max(2, int(np.partition(n, len(n) - CORE)[len(n) - CORE]) + 1 if len(n) > CORE else 2)
-    model = Automaton(words, n, total, distinct, core_from)
-    discounts = []
+    model = Model(vocab, [], total, distinct)
+    # of the order below: h, n, log10 p of the kept; h, n of all that were counted
+    lower, counted = vocab.select("h", "n", model.base(F.col("n")).alias("logp")), vocab
+    below: list[_Kept] = []
     for order in range(2, ORDER + 1):
-        shared = spark.sparkContext.broadcast(model)
+        kept = lower.filter("n >= 2")
+        below.append(_Kept(spark, counted))
+        shared = spark.sparkContext.broadcast(below)
 
-        def grams(batches, shared=shared, order=order):
-            auto, tally = shared.value, Tally()
+        def count(batches, shared=shared, order=order):
+            # an n-gram whose prefix or suffix is not kept is left out, if the bitmaps tell, or else counted with a negative sign
+            tally = _Pairs()
             for batch in _training(batches):
-                hashes, at = _tokens(batch)
-                ids = auto.word_ids(hashes)
-                ids[ids >= auto.core] = -1
-                # one n-gram never spans two texts: none has an end before its last word
-                prev = auto.states_of(ids, order - 1)
-                inner = np.ones(len(ids), bool)
-                inner[at[1:] - 1] = False
-                if order > 2:
-                    suffix = auto.states_of(ids, order - 1) >= 0
-                ok = np.zeros(len(ids), bool)
-                ok[1:] = (prev[:-1] >= 0) & (ids[1:] >= 0) & inner[:-1]
-                if order > 2:
-                    ok &= suffix
-                where = np.flatnonzero(ok)
-                yield from tally.add(auto._key(prev[where - 1], ids[where]).view(np.uint64))
+                place, full = _orders(*_tokens(batch))
+                known, doubt = shared.value[0].find(full[0])
+                for k in range(1, order - 1):  # an n-gram is counted if its prefix and suffix may be kept
+                    counted = np.zeros(len(known), bool)
+                    counted[1:] = known[:-1] & known[1:]
+                    known, doubt = shared.value[k].find(full[k])
+                    known &= counted
+                end = np.flatnonzero(known[:-1] & known[1:] & (place[1:] >= order - 1)) + 1
+                found = full[order - 2]
+                yield from tally.add(found[end - 1], found[end], np.where(doubt[end - 1] | doubt[end], -1, 1))
             yield from tally.flush()
-
-        counts = scratch.save(f"grams{order}", count(grams))
-        keys, n, discount = _keep(counts, ARCS)
-        model.add_order(keys, n)
-        discounts.append(discount)
-        scratch.drop(f"grams{order}")
+            trim()
+
+        counts = docs.mapInArrow(count, "p long, s long, n long").groupBy("p", "s").agg(F.sum("n").alias("n"))
+        seen = Observation()
+        counts = counts.observe(seen, F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.abs("n") == 2).alias("n2"))
+        # those that occur once are needed for the next order's bitmaps
+        counts = scratch.save(f"counts{order}", counts.filter("abs(n) >= 2 or n < 0") if order == ORDER else counts)
+        d = F.lit(float(_discount(seen.get.get("n1") or 0, seen.get.get("n2") or 0, counts.filter("n = -1").select("p", "s"), kept)))
+        counted = _with_hash(counts)
+        grams = _with_hash(counts.filter("abs(n) >= 2"))
+        left = grams.groupBy("p").agg(F.sum(F.col("n") - d).alias("seen"))
+        left = kept.select(F.col("h").alias("p"), F.col("n").alias("c")).join(left, "p")
+        left = scratch.save(f"left{order}", left.select("p", "c", F.log10(F.greatest(1 - F.col("seen") / F.col("c"), F.lit(1e-12))).alias("log_left")))
+        grams = grams.join(left, "p").join(kept.select(F.col("h").alias("s"), "logp"), "s")
+        p = (F.col("n") - d) / F.col("c") + F.pow(F.lit(10.0), F.col("log_left") + F.col("logp"))
+        grams = grams.select("h", "p", "s", "n", F.log10(p).alias("logp"), (F.log10(p) - F.col("log_left") - F.col("logp")).alias("gain"))
+        grams = scratch.save(f"grams{order}", grams)
+        if order == ORDER:
+            scratch.drop(*(f"counts{k}" for k in range(2, ORDER + 1)))
         shared.destroy()
-    return model.build(discounts), vocab, total
-
-
-def score(spark: SparkSession, docs: DataFrame, model: Automaton, vocab: DataFrame, total: int, scratch: Scratch) -> DataFrame:
-    shared = spark.sparkContext.broadcast(model)
+        scratch.release()
+        _put_left(model, left)
+        model.grams.append(grams)
+        lower = grams
+    _put_left(model, None)
+    return model, vocab, total
+
+
+def _put_left(model: Model, left: DataFrame | None) -> None:
+    """Join the backoff weights of the longest histories so far; those that nothing kept follows leave all: 0."""
+    table = model.grams[-1] if model.grams else model.words
+    none = F.lit(0.0).alias("log_left")
+    table = table.select("*", none) if left is None else table.join(left.select(F.col("p").alias("h"), "log_left"), "h", "left").fillna(0.0, ["log_left"])
+    if model.grams:
+        model.grams[-1] = table
+    else:
+        model.words = table
+
+
+def score(spark: SparkSession, docs: DataFrame, model: Model, vocab: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    words, longer = scratch.save("model1", model.words), scratch.save("model2", model.longer())
+    top = _at_least(words, HEAD, 1).toArrow()
+    n = top["n"].to_numpy()
+    common = _at_least(longer, GRAMS, 2).toArrow()
+    shared = spark.sparkContext.broadcast((
+        KeyIndex(top["h"].to_numpy()), KeyIndex(common["h"].to_numpy()), bitmap(longer, "h", BITS),
+        np.log10((n + 0.5) / model.unit), top["log_left"].to_numpy(), common["weight"].to_numpy(),
+    ))
+
+    names = ["key", "h", "r", "doc_id", "n_tokens", "known", "base", "walk"]
 
     def run(batches):
-        auto, nth = shared.value, TaskContext.get().partitionId() << 40
+        head, grams, kept, log_base, log_left, weight = shared.value
+        nth = TaskContext.get().partitionId() << 40
+        pick = lambda values, at: np.where(at >= 0, values[at], 0.0) if len(values) else np.zeros(len(at))
         for batch in chunks(batches):
             hashes, at = _tokens(batch)
-            ids = auto.word_ids(hashes)
-            base = np.where(ids >= 0, auto.log_base[np.maximum(ids, 0)] if len(auto.log_base) else 0.0, 0.0)
             n = np.diff(at)
             text = np.repeat(np.arange(len(n)), n)
-            tail = ids < 0
-            t_text, t_hash = text[tail], hashes[tail]
-            order = np.lexsort((t_hash, t_text))
-            t_text, t_hash = t_text[order], t_hash[order]
-            edge = np.ones(len(t_text), bool)
-            edge[1:] = (t_text[1:] != t_text[:-1]) | (t_hash[1:] != t_hash[:-1])
-            first = np.flatnonzero(edge)
-            reps = np.diff(np.concatenate([first, [len(t_text)]])).astype(np.int32)
-            offsets = np.searchsorted(t_text[first], np.arange(len(n) + 1)).astype(np.int32)
-            listed = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(nth + np.arange(len(n))), batch.column("doc_id"), pa.array(crc32_mod(batch.column("doc_id").to_pylist(), 5) == TRAIN_NOT), pa.array(n),
-                    pa.array(n - np.bincount(text[tail], minlength=len(n))), pa.array(np.bincount(text, base, len(n))), pa.array(auto.traverse(ids, at)),
-                    listed(t_hash[first].view(np.int64)), listed(reps),
-                ],
-                names=["key", "doc_id", "held_out", "n_tokens", "head", "base", "walk", "tail", "reps"],
-            )
+            ids = head.find(hashes)
+            base = np.bincount(text, pick(log_base, ids), len(n))
+            walk = base + np.bincount(text, pick(log_left, ids), len(n))
+            rare = [(text[ids < 0], hashes[ids < 0], True)]
+            place, full = _orders(hashes, at)
+            for order in range(2, ORDER + 1):
+                where = np.flatnonzero(place >= order - 1)
+                found = full[order - 1][where]
+                got = grams.find(found)
+                walk += np.bincount(text[where], pick(weight, got), len(n))
+                rest = np.flatnonzero(got < 0)
+                rest = rest[in_bitmap(kept, found[rest])]
+                rare.append((text[where[rest]], found[rest], False))
+            known = n - np.bincount(text[ids < 0], minlength=len(n))
+            keys = nth + np.arange(len(n))
             nth += len(n)
-
-    fields = "key long, doc_id long, held_out boolean, n_tokens long, head long, base double, walk double, tail array<long>, reps array<int>"
-    walked = scratch.save("walked", docs.mapInArrow(run, fields))
-    shared.destroy()
-    rare = walked.filter(F.size("tail") > 0).select("key", F.explode(F.arrays_zip("tail", "reps")).alias("t")).select("key", F.col("t.tail").alias("h"), F.col("t.reps").alias("r"))
-    rare = rare.join(vocab, "h", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rare = rare.groupBy("key").agg(
-        F.sum(F.when(c > 0, F.col("r")).otherwise(0)).alias("tail_known"), F.sum(F.col("r") * F.log10((c + 0.5) / F.lit(float(model.unit)))).alias("tail_base")
-    )
-    out = walked.drop("tail", "reps").join(rare, "key", "left")
-    rest = F.coalesce(F.col("tail_base"), F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("head") + F.coalesce(F.col("tail_known"), F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"), (F.col("walk") + rest).alias("score"),
+            # a text's own row matches nothing: its h only spreads it over the tasks
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(mix(keys.view(U64)).view(np.int64)), pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n), pa.array(known), pa.array(base), pa.array(walk)], names=names
+            )
+            for t, h, word in rare:
+                order = np.lexsort((h, t))
+                t, h = t[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])])) if len(t) else np.zeros(0, np.int64)
+                reps = np.diff(np.concatenate([first, [len(t)]])).astype(np.int32)
+                k = len(first)
+                for a in range(0, k, 100_000):
+                    part = first[a : a + 100_000]
+                    m = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[t[part]]), pa.array(h[part].view(np.int64)), pa.array(reps[a : a + m] if word else -reps[a : a + m]), *[pa.nulls(m, pa.int64())] * 3, *[pa.nulls(m, pa.float64())] * 2], names=names
+                    )
+        trim()
+
+    rows = docs.mapInArrow(run, "key long, h long, r int, doc_id long, n_tokens long, known long, base double, walk double")
+    # r counts a word's occurrences in a text; that of a longer n-gram is negative
+    look = words.select("h", "n", F.col("log_left").alias("weight")).unionByName(longer.select("h", F.lit(None).cast("long").alias("n"), "weight"))
+    r, n = F.col("r"), F.coalesce(F.col("n"), F.lit(0))
+    of_word = F.when(r > 0, r * model.base(n)).otherwise(0.0)
+    out = rows.join(look, "h", "left").groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.coalesce(F.col("known"), F.lit(0)) + F.when((r > 0) & (n > 0), r).otherwise(0)).alias("n_known"),
+        F.sum(F.coalesce(F.col("base"), F.lit(0.0)) + of_word).alias("base_score"),
+        F.sum(F.coalesce(F.col("walk"), F.lit(0.0)) + of_word + F.abs(r) * F.coalesce(F.col("weight"), F.lit(0.0))).alias("score"),
     )
+    return out.select("doc_id", (fold(F.col("doc_id")) == TRAIN_NOT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

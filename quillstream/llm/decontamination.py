@@ -11,10 +11,12 @@ of an item of n words.
 2. CGK. Each window and item is embedded by WALKS random walks over shared random
    bits: the walk copies the current word and moves on if the bit says so. Edit
    distance k becomes Hamming distance of O(k*k) with constant probability.
-3. LSH. TABLES times per walk, SAMPLES positions of the embedding are hashed; a
-   window and an item that agree in any table are a candidate. The tables are
-   repeated until a pair at the limit is found with probability RECALL or more
-   (measured in the tests).
+3. LSH. TABLES times per walk, SAMPLES of the first 1.5 n positions of the embedding,
+   which carry words, are hashed; a window and an item that agree in any table are
+   a candidate. The tables are repeated until a pair at the limit is found with
+   probability RECALL or more (measured in the tests, as is the share of unrelated
+   pairs). A window and the item it shares the grams of step 1 with are a candidate
+   too, so that nothing is lost where no table agrees.
 4. The word edit distance of each candidate is computed exactly, as the least over
    the passages of the text that begin and end within k words of the window.
 
@@ -72,15 +74,20 @@ def _grams(hashes: np.ndarray, q: int) -> np.ndarray:
     return mix(total + U64(q))
 
 
+def embedded_length(width: int) -> int:
+    return (3 * width + 1) // 2
+
+
 def cgk(rows: np.ndarray, walk: int) -> np.ndarray:
-    """Embeddings, three times as long, of equally long rows of words; past its end a row is 0."""
+    """Embeddings of equally long rows of words, half as long again: at half a word a step few rows end before; past its end a row is 0."""
     n, width = rows.shape
-    seeds = mix(np.arange(1, 3 * width + 1, dtype=np.uint64) + U64(walk + 1) * U64(1 << 32))
+    steps = embedded_length(width)
+    seeds = mix(np.arange(1, steps + 1, dtype=np.uint64) + U64(walk + 1) * U64(1 << 32))
     padded = np.concatenate([rows, np.zeros((n, 1), U64)], axis=1)
     at = np.zeros(n, np.int64)
-    out = np.empty((n, 3 * width), U64)
+    out = np.empty((n, steps), U64)
     every = np.arange(n)
-    for j in range(3 * width):
+    for j in range(steps):
         here = padded[every, at]
         out[:, j] = here
         at = np.minimum(at + (mix(here ^ seeds[j]) & U64(1)).astype(np.int64), width)
@@ -90,7 +97,7 @@ def cgk(rows: np.ndarray, walk: int) -> np.ndarray:
 def lsh_keys(rows: np.ndarray) -> np.ndarray:
     """One key for each row, walk and table."""
     width = rows.shape[1]
-    most = max(1, CELLS // (3 * width))
+    most = max(1, CELLS // embedded_length(width))
     if len(rows) > most:
         return np.concatenate([lsh_keys(rows[a : a + most]) for a in range(0, len(rows), most)])
     keys = []
@@ -98,7 +105,7 @@ def lsh_keys(rows: np.ndarray) -> np.ndarray:
         rng = np.random.default_rng(1000 * width + walk)
         embedded = cgk(rows, walk)
         for table in range(TABLES):
-            at = rng.integers(0, 3 * width, SAMPLES)
+            at = rng.integers(0, embedded_length(width), SAMPLES)
             total = np.full(len(rows), U64(((width * WALKS) + walk) * TABLES + table + 1))
             for j, p in enumerate(at):
                 total = total + mix(embedded[:, p] + U64(j + 1)) * _COMBINE[j]
@@ -149,8 +156,8 @@ class Items:
             self.lsh[width] = (own, np.sort(keys.reshape(-1)), np.argsort(keys.reshape(-1), kind="stable") // keys.shape[1])
 
 
-def _windows(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (first word, length) of windows that share enough grams with some item of that length."""
+def _windows(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (first word, length, item) of windows that share enough grams with an item of that length."""
     found = []
     for q, (index, first, count, item, offset) in items.gates.items():
         grams = _grams(hashes, q)
@@ -178,11 +185,11 @@ def _windows(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
         it, start, text = it[keep], start[keep], text[keep]
         # a window that would leave its text is moved inside; one longer than its text is padded
         start = np.maximum(np.minimum(start, at[text + 1] - items.n[it]), at[text])
-        found.append(np.stack([start, items.n[it]], 1))
+        found.append(np.unique(np.stack([start, items.n[it], it], 1), axis=0))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = np.unique(np.concatenate(found), axis=0)
-    return rows[:, 0], rows[:, 1]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = np.concatenate(found)  # items of one length have grams of one size, so no row comes twice
+    return rows[:, 0], rows[:, 1], rows[:, 2]
 
 
 def _slice(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
@@ -193,10 +200,10 @@ def _slice(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray, n: int) -> n
 
 def search(items: Items, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(text, item, first word of the window, distance) of the nearest window of each text and item within the limit."""
-    start, width = _windows(items, hashes, at)
+    start, width, gate = _windows(items, hashes, at)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for n in np.unique(width).tolist():
-        where = start[width == n]
+        where, window = np.unique(start[width == n], return_inverse=True)
         text = np.searchsorted(at, where, "right") - 1
         own, sorted_keys, owner = items.lsh[n]
         most = max(1, CELLS // n)
@@ -205,7 +212,8 @@ def search(items: Items, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int,
         m = (hi - lo).reshape(-1)
         r = np.repeat(np.repeat(np.arange(len(where)), keys.shape[1]), m)
         cell = np.repeat(lo.reshape(-1), m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        pairs = np.unique(np.stack([r, owner[cell]], 1), axis=0)
+        shared = np.stack([window, np.searchsorted(own, gate[width == n])], 1)
+        pairs = np.unique(np.concatenate([np.stack([r, owner[cell]], 1), shared]), axis=0)
         some = max(1, CELLS // (2 * n))
         for a in range(0, len(pairs), some):
             part = pairs[a : a + some]

@@ -99,10 +99,23 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1) > 0
 
 
+def text_hash(text: Column) -> Column:
+    """64 bits of a text as it is; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id long, text)."""
+    of = similar_rows(spark, docs, k, num, den, scratch)
+    least_id = of.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    out = of.join(least_id, "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar_rows(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, text_hash, n, comp) of every row of docs: the number of its shingles, and what names its component where that is not 0."""
     scratch = scratch or Scratch(spark, "jaccard")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
 
     def prefixes(batches):
         tally = Tally()
@@ -135,11 +148,11 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = signed(np.concatenate(prefix)) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(early, pa.int64()), pa.array(cls, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *[pa.array(p) for p in sketch]],
-                names=["doc_id", "n", "early", "cls", "grp", "prefix", *_SKETCH],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(early, pa.int64()), pa.array(cls, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *[pa.array(p) for p in sketch]],
+                names=["doc_id", "text_hash", "n", "early", "cls", "grp", "prefix", *_SKETCH],
             )
 
-    sig = scratch.save("signatures", docs.mapInArrow(signatures, "doc_id long, n long, early long, cls long, grp long, prefix array<long>, " + ", ".join(f"{p} long" for p in _SKETCH)))
+    sig = scratch.save("signatures", docs.mapInArrow(signatures, "doc_id long, text_hash long, n long, early long, cls long, grp long, prefix array<long>, " + ", ".join(f"{p} long" for p in _SKETCH)))
     full = sig.filter("n > 0")
     # a group is named by its least class
     groups = scratch.save("groups", full.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("early").alias("early"), F.first("prefix").alias("prefix")))
@@ -154,7 +167,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
     classes = full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("grp", "n", *_SKETCH)])
     least_class = full.groupBy("grp").agg(F.min("cls").alias("rep"))
     classes = scratch.save("classes", classes.join(least_class, "grp").select("cls", "rep", "n", *_SKETCH))
-    ids = scratch.save("ids", sig.select("doc_id", "n", "cls"))
+    ids = scratch.save("ids", sig.select("doc_id", "text_hash", "n", "cls"))
     del sig, full, groups, rare, common, least_class
     scratch.drop("counts", "signatures", "groups")
     scratch.release()
@@ -196,12 +209,10 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
     if not rest.isEmpty():
         more = scratch.save("more", _verify(spark, docs, rest, k, num, den, scratch, "second"))
         joined = connected_components(links.unionByName(more), scratch, "all")
-    of = ids.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp"))
+    of = ids.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "cls").alias("comp"))
     of = scratch.save("members", of)
     scratch.drop("ids", "classes", "links", "named", "rest", "texts-second")
-    least_id = of.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = of.join(least_id, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return of
 
 
 def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:

@@ -10,3 +10,13 @@ def test_near_duplicates_keep_one_of_each(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 7), (False, 8), (False, 9), (True, 0)]
     assert similar_components(spark, docs).count() == len(rows)
+
+
+def test_near_duplicates_decide_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, "s"), (5, b, "s"), (6, a + " more", "s"), (None, c, "s"), (None, c, "s"), (None, c + " more", "s"), (None, b + " more", "s"), (7, "", "s"), (7, "", "s"), (8, "d e f g h i", "p"), (8, "d e f g h i", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for k in (1, 5) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(k), "").collect()]
+    first, again = kept[: len(kept) // 2], kept[len(kept) // 2 :]
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    assert sorted((str(i), t[0] if t else "") for i, t, _ in first) == [("5", "a"), ("5", "b"), ("7", ""), ("8", "d"), ("None", "c")]

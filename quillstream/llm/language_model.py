@@ -1,26 +1,33 @@
-"""Language-model scoring with backoff weights of all n-grams that occur twice.
+"""Language-model scoring with a weighted backoff automaton over all n-grams that occur twice.
 
-Counts cover every training document. An n-gram of up to ORDER words is kept if it
-occurs twice and its own prefix and suffix are kept; no number bounds how many are.
+Counts cover every training document, and every n-gram of up to ORDER words that
+occurs twice is kept; no number bounds how many are.
 
     p(w | h) = (c(hw) - D) / c(h)  [kept]  +  left(h) * p(w | shorter h)
     left(h)  = 1 - sum over kept w of (c(hw) - D) / c(h)
     p(w)     = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
 so the probabilities of all words and one unknown word sum to 1 after every history.
-D of an order is n1 / (n1 + 2 n2) over the n-grams whose prefix and suffix are kept.
-
-A text's score is a sum over the n-grams that occur in it: with
-gain(hw) = log10 p(w | h) - log10 left(h) - log10 p(w | shorter h), each word adds
-log10 p(w) + log10 left(w), each kept longer n-gram its gain + log10 left, and others
-nothing. So scoring is an equi-join on the hashes of n-grams. The HEAD most common
-words and GRAMS most common longer n-grams are broadcast and looked up in place; what
-is not among them is looked up by a shuffled join. These bounds and the bitmaps of
-kept n-grams (false hits find nothing in the join) change the cost, not the result.
-
-Null text counts as empty: its only token is the end. Repeated rows are scored
-(and counted) each. With no training documents N = V = 0 and every token is
-unknown.
+D of an order is n1 / (n1 + 2 n2) over its n-grams (0.5 where that is not between 0 and 1).
+
+The automaton's states are the histories that a kept n-gram continues; its arcs are the
+kept n-grams with log10 p(w | h); the failure arc of a history leads to its longest
+proper suffix that is a state and weighs log10 left(h). A text is read from left to
+right: the state is carried on, an arc taken if there is one, else failure arcs first.
+
+The whole automaton need not fit anywhere. Documents are read in pieces of PIECE bytes.
+Each piece sends the n-grams it holds, once each and with their counts in training
+documents, to buckets by the hash of the history (exchange.py). A bucket sees all that
+follows its histories, so it settles which n-grams are kept, c(h) and left(h), and
+answers each piece for just the n-grams asked. With the answers a piece has the part of
+the automaton that its texts can reach, and walks it. Memory is bounded by PIECE and
+BUCKET, whatever the corpus; a text longer than PIECE is a piece of its own.
+
+Words are 64-bit hashes. Null text counts as empty: its only token is the end. Repeated
+rows are counted and scored each; rows without an id are training documents. Ties cannot
+matter, as no n-gram is ranked. With no training documents N = V = 0 and every token is
+unknown; an empty table gives an empty result. Documents must be read alike each time (as
+tables are): the answers carry a checksum of what was asked, and a difference raises.
 """
 
 from __future__ import annotations
@@ -28,346 +35,344 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .folds import fold
-from .jaccard import bitmap, in_bitmap
-from .textkit import _COMBINE, KeyIndex, Tally, chunks, crc32_mod, mix, text_buffer, trim, word_hashes
-
-HEAD, GRAMS, ORDER = 1 << 18, 1 << 19, 3
-#: Bits of the bitmaps of kept n-grams (8 MB each).
-BITS = 26
+from .exchange import U64, blob, bucket_of, by_bucket, pack, rows_of, runs, unpack
+from .textkit import _COMBINE, chunks, crc32_mod, mix, text_buffer, trim, word_hashes
+
+ORDER = 3
+#: Bytes of text in a piece, and of the text whose n-grams meet in one bucket, about.
+PIECE, BUCKET = 6 << 20, 6 << 20
+#: Segments of a piece that are walked side by side.
+LANES = 4096
+#: Bits of a word's hash that travel beside its whole history.
+WORD_BITS = 48
 #: The hash that stands for the end of a text.
 END = mix(np.array([0x656E64], np.uint64))[0]
 TRAIN_NOT = 1
-U64 = np.uint64
-
-
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and ends, and each text's offsets."""
-    hashes, at = word_hashes(*text_buffer(batch.column("text")))
-    hashes = np.insert(hashes, at[1:], END)
-    return hashes, at + np.arange(len(at))
-
-
-def _training(batches):
-    for batch in chunks(batches):
-        keep = crc32_mod(batch.column("doc_id").to_pylist(), 5) != TRAIN_NOT
-        yield batch.filter(pa.array(keep))
-
+_ASKED = "b int, piece long, ord int, body binary"
+_ANSWER = _ASKED + ", s1 long, s2 long"
+_LOW = U64((1 << WORD_BITS) - 1)
+
+
+def _gram(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from those of its history and its last word."""
+    return mix(prefix * _COMBINE[50] + mix(word + _COMBINE[51]))
+
+
+class Piece:
+    """The distinct n-grams of some texts by order, sorted by the history's hash, and which n-gram ends at each token.
+
+    Of order k: hist (hash of each distinct history; for words: the word itself),
+    of (the history of each n-gram, by place in hist), word (its last word), and for
+    tokens at[k] the n-gram that ends there, or -1 where its text has too few before.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, upto: int = ORDER):
+        hashes, at = word_hashes(*text_buffer(batch.column("text")))
+        self.hashes = np.insert(hashes, at[1:], END)
+        self.offsets = at + np.arange(len(at))
+        n = len(self.hashes)
+        self.place = np.arange(n) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
+        words, ids = np.unique(self.hashes, return_inverse=True)
+        self.words, self.ids = words, ids.reshape(-1)
+        self.hist, self.of, self.word, self.at = {1: words}, {1: np.arange(len(words))}, {1: words}, {1: self.ids}
+        rank, key = np.arange(len(words)), words  # of each n-gram of the order before: place of its hash among theirs
+        for k in range(2, upto + 1):
+            full = np.flatnonzero(self.place >= k - 1)
+            before = rank[self.at[k - 1][full - 1]]
+            pairs, which = np.unique((before << 32) | self.ids[full], return_inverse=True)
+            used, of = np.unique(pairs >> 32, return_inverse=True)
+            self.hist[k], self.of[k], self.word[k] = key[used], of.reshape(-1), words[pairs & 0xFFFFFFFF]
+            self.at[k] = np.full(n, -1, np.int64)
+            self.at[k][full] = which.reshape(-1)
+            if k < upto:
+                grams = _gram(self.hist[k][self.of[k]], self.word[k])
+                order = np.argsort(grams, kind="stable")
+                rank = np.empty(len(grams), np.int64)
+                rank[order] = np.arange(len(grams))
+                key = grams[order]
+
+    def cuts(self, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of each bucket's histories and of its n-grams."""
+        edge = np.searchsorted(bucket_of(self.hist[k], buckets), np.arange(buckets + 1))
+        return edge, np.searchsorted(self.of[k], edge)
+
+    def counts(self, k: int, train: np.ndarray) -> np.ndarray:
+        """How often each n-gram ends at a token of a training text."""
+        mark = np.repeat(train, np.diff(self.offsets)) & (self.at[k] >= 0)
+        return np.bincount(self.at[k][mark], minlength=len(self.word[k]))
+
+
+def _check(words: np.ndarray) -> int:
+    """Of n-grams, that an answer belongs to the question."""
+    return int((mix(words & _LOW) >> U64(32)).sum(dtype=U64)) + len(words)
+
+
+def _asked(orders: tuple[int, ...], buckets: int):
+    def run(batches):
+        nth = TaskContext.get().partitionId() << 32
+        for batch in chunks(batches, limit=PIECE):
+            piece = Piece(batch, max(orders))
+            train = crc32_mod(batch.column("doc_id").to_pylist(), 5) != TRAIN_NOT
+            for k in orders:
+                hist, of, word, n = piece.hist[k], piece.of[k], piece.word[k], piece.counts(k, train)
+                edge, cut = piece.cuts(k, buckets)
+                size = np.bincount(of, minlength=len(hist))
+                out: tuple[list, list] = ([], [])
+                for b in np.flatnonzero(np.diff(edge)).tolist():
+                    h, g = slice(edge[b], edge[b + 1]), slice(cut[b], cut[b + 1])
+                    out[0].append(b)
+                    out[1].append(pack(hist[h], size[h], word[g] & _LOW, n[g]) if k > 1 else pack(hist[h], n[g]))
+                m = len(out[0])
+                yield rows_of({"b": (out[0], pa.int32()), "piece": ([nth] * m, pa.int64()), "ord": ([k] * m, pa.int32()), "body": (out[1], pa.binary())})
+            nth += 1
+        trim()
 
-def _count_words(batches):
-    tally = Tally()
-    for batch in _training(batches):
-        yield from tally.add(_tokens(batch)[0])
-    yield from tally.flush()
+    return run
+
+
+def _answer_words(parts: list[list[np.ndarray]]) -> tuple[list[bytes], list[int]]:
+    """Each word's count; and of the bucket the tokens and the distinct words."""
+    words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(which.reshape(-1), np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+    out, a = [], 0
+    for p in parts:
+        out.append(pack(np.array([_check(p[0])], U64), n[which[a : a + len(p[0])]]))
+        a += len(p[0])
+    return out, [int(n.sum()), int((n > 0).sum())]
+
+
+def _answer_grams(parts: list[list[np.ndarray]]) -> tuple[list[bytes], list[int]]:
+    """Which n-grams are kept and their counts, what left(h) is made of; and of the bucket n1 and n2."""
+    hist, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    own = np.repeat(which.reshape(-1), np.concatenate([p[1] for p in parts]).astype(np.int64))
+    word = np.concatenate([p[2] for p in parts])
+    order = np.lexsort((word, own))
+    first = np.ones(len(order), bool)
+    first[1:] = (own[order][1:] != own[order][:-1]) | (word[order][1:] != word[order][:-1])
+    gram = np.empty(len(order), np.int64)
+    gram[order] = np.cumsum(first) - 1
+    n = np.bincount(gram, np.concatenate([p[3] for p in parts])).astype(np.int64)
+    of = own[order[first]]
+    del order, first, word, own
+    keep = n >= 2
+    total = np.bincount(of, n, len(hist)).astype(np.int64)
+    seen = np.bincount(of[keep], n[keep], len(hist)).astype(np.int64)
+    kinds = np.bincount(of[keep], minlength=len(hist))
+    out, a, g = [], 0, 0
+    for p in parts:
+        mine, grams = which[a : a + len(p[0])], gram[g : g + len(p[2])]
+        live, kept = kinds[mine] > 0, keep[grams]
+        mine = mine[live]
+        out.append(pack(np.array([_check(p[2])], U64), np.packbits(live), total[mine], seen[mine], kinds[mine], np.packbits(kept), n[grams[kept]]))
+        a, g = a + len(p[0]), g + len(p[2])
+    return out, [int((n == 1).sum()), int((n == 2).sum())]
+
+
+def _answer(batches):
+    """Rows sorted by (b, ord): answers to each piece, and a row of two sums for each order of a bucket (piece -1)."""
+    for bucket in runs(batches, "b"):
+        b = bucket[0]["b"].as_py()
+        for k in range(1, ORDER + 1):
+            rows = [r for r in bucket if r["ord"].as_py() == k]
+            if rows:
+                out, sums = (_answer_words if k == 1 else _answer_grams)([unpack(blob(r)) for r in rows])
+                pieces = [r["piece"].as_py() for r in rows]
+                m, none = len(out) + 1, [None] * len(out)
+                yield rows_of(
+                    {
+                        "b": ([b] * m, pa.int32()), "piece": ([*pieces, -1], pa.int64()), "ord": ([k] * m, pa.int32()), "body": ([*out, None], pa.binary()),
+                        "s1": ([*none, sums[0]], pa.int64()), "s2": ([*none, sums[1]], pa.int64()),
+                    }
+                )
     trim()
 
 
-def _level() -> Column:
-    """A count on a scale of few steps: itself below 64, then a step for every quarter more."""
-    return F.when(F.col("n") < 64, F.col("n")).otherwise(64 + F.floor(F.log(F.col("n") / 64.0) / float(np.log(1.25)))).cast("int")
-
-
-def _at_least(counts: DataFrame, most: int, floor: int) -> DataFrame:
-    """The most common keys: all from the least level (floor or more) from which there are at most `most`."""
-    rows = counts.groupBy(_level().alias("l")).agg(F.count("*").alias("k")).collect()  # at most 64 levels and one for each quarter
-    left, level = most, max((r["l"] for r in rows), default=floor) + 1
-    for r in sorted(rows, key=lambda r: -r["l"]):
-        left -= r["k"]
-        if left < 0 or r["l"] < floor:
-            break
-        level = r["l"]
-    return counts.filter(_level() >= level)
-
-
-def _gram(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Hash of the n-gram whose first and last n-1 words have these hashes."""
-    return mix(prefix * _COMBINE[50] + suffix * _COMBINE[51])
-
-
-def _orders(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Each token's place in its text; for each order the hash of the n-gram that ends at each token (if its place leaves room)."""
-    place = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
-    full = [hashes]
-    for _ in range(2, ORDER + 1):
-        full.append(np.concatenate([full[-1][:1], _gram(full[-1][:-1], full[-1][1:])]))
-    return place, full
-
-
-class _Pairs:
-    """Tally of n-grams that keeps the hashes of their prefix and suffix."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.held, self.size = limit, [], 0
-
-    def add(self, prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray):
-        self.held.append(self._merged([(_gram(prefix, suffix), prefix, suffix, n)]))
-        self.size += len(self.held[-1][0])
-        if self.size > 2 * self.limit:
-            self.held = [self._merged(self.held)]
-            self.size = len(self.held[0][0])
-            if self.size > self.limit:
-                yield from self.flush()
-
-    @staticmethod
-    def _merged(parts):
-        h, p, s, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(h)
-        h = h[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        return h[first], p[order[first]], s[order[first]], np.add.reduceat(n[order], first) if len(h) else n
-
-    def flush(self):
-        if self.held:
-            h, p, s, n = self._merged(self.held)
-            for a in range(0, len(h), 100_000):
-                part = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c[part].view(np.int64)) for c in (p, s, n)], names=["p", "s", "n"])
-        self.held, self.size = [], 0
-
-
-class Model:
-    """Tables of words (h, n, log_left) and kept longer n-grams (h, p, s, n, log_left, gain); h, p and s are hashes."""
-
-    def __init__(self, words: DataFrame, grams: list[DataFrame], total: int, distinct: int):
-        self.words, self.grams = words, grams
-        self.unit = total + 0.5 * (distinct + 1)
-        self.log_unknown = float(np.log10(0.5 / self.unit))
-
-    def base(self, n: Column) -> Column:
-        return F.log10((n + 0.5) / F.lit(float(self.unit)))
-
-    def longer(self) -> DataFrame:
-        """(h, n, weight): what an occurrence of a kept n-gram of two words or more adds to a text's score."""
-        out = None
-        for g in self.grams:
-            g = g.select("h", "n", (F.col("gain") + F.col("log_left")).alias("weight"))
-            out = g if out is None else out.unionByName(g)
-        return out
-
-    # The whole model as states of an automaton, for small models and tests; scoring does not use it.
-
-    def _held(self):
-        if not hasattr(self, "_small"):
-            words = self.words.toArrow().to_pydict()
-            grams = [g.toArrow().to_pydict() for g in self.grams]
-            left = {h: x for t in (words, *grams) for h, x in zip(t["h"], t["log_left"], strict=True)}
-            gain = {h: x for t in grams for h, x in zip(t["h"], t["gain"], strict=True)}
-            suffix = {h: x for t in grams for h, x in zip(t["h"], t["s"], strict=True)}
-            states = [None, *words["h"], *(h for t in grams[:-1] for h in t["h"])]
-            self._small = words, left, gain, suffix, states
-        return self._small
-
-    @property
-    def log_base(self) -> np.ndarray:
-        return np.log10((np.array(self._held()[0]["n"], np.float64) + 0.5) / self.unit)
-
-    @property
-    def fail(self) -> np.ndarray:
-        _, _, _, suffix, states = self._held()
-        at = {h: i for i, h in enumerate(states)}
-        return np.array([at.get(suffix.get(h), 0) for h in states])
-
-    def _step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of each word (by place in words; for -1 only the backoff weights) after each state, and the next states."""
-        words, left, gain, suffix, states = self._held()
-        at, log_base = {h: i for i, h in enumerate(states)}, self.log_base
-        join = lambda p, s: int(_gram(np.array([p]).view(U64), np.array([s]).view(U64)).view(np.int64)[0])
-        out, total = np.zeros(len(state), np.int64), np.zeros(len(state))
-        for i, (s, w) in enumerate(zip(state.tolist(), word.tolist(), strict=True)):
-            history, chain = states[s], []
-            while history is not None:
-                chain.append(history)
-                history = suffix.get(history)
-            found = words["h"][w] if w >= 0 else None
-            total[i], out[i] = (log_base[w], at[found]) if w >= 0 else (0.0, 0)
-            for h in reversed(chain):
-                found = join(h, found) if found is not None else None
-                total[i] += left[h] + gain.get(found, 0.0)
-                out[i] = at.get(found, out[i])
+class Automaton:
+    """The part of the automaton that a piece can reach.
+
+    answers[k]: counts of its words (k = 1), or of its n-grams (0: not kept) and (total,
+    seen, kinds) of its histories. States: 0 is empty, then the histories that kept
+    n-grams continue. fail, log_left: of each state; arcs: sorted keys state * words + word,
+    with log_p and the next state; log_base: of each word.
+    """
+
+    def __init__(self, piece: Piece, answers: dict[int, tuple], discount: dict[int, float], tokens: int, distinct: int):
+        self.width = len(piece.words)
+        self.counts = answers[1][0]
+        base = (self.counts + 0.5) / (tokens + 0.5 * (distinct + 1))
+        self.log_base = np.log10(base)
+        keys, log_p, target = [], [], []
+        fail, log_left = [np.zeros(1, np.int64)], [np.zeros(1)]
+        states, p = 1, base  # of the order below: probability of each n-gram
+        state_of_gram = None  # the state that each n-gram of the order below is (0: none), and the longest state that ends it
+        for k in range(2, max(answers) + 1):
+            n, total, seen, kinds = answers[k]
+            d, live = discount[k], kinds > 0
+            state = np.where(live, states + np.cumsum(live) - 1, 0)  # of each history
+            left = np.where(live, 1 - (seen - d * kinds) / np.maximum(total, 1), 1.0)
+            left = np.maximum(left, 1e-12)
+            # the n-gram of the order below that each history is, and that each n-gram ends with
+            tokens_at = np.flatnonzero(piece.at[k] >= 0)
+            gram = piece.at[k][tokens_at]
+            history, suffix = np.zeros(len(total), np.int64), np.zeros(len(n), np.int64)
+            history[piece.of[k][gram]] = piece.at[k - 1][tokens_at - 1]
+            suffix[gram] = piece.at[k - 1][tokens_at]
+            own = np.zeros(len(p), np.int64)  # the state that each n-gram of the order below is
+            own[history] = state
+            longest = own if state_of_gram is None else np.where(own > 0, own, state_of_gram)
+            # arcs of the order below lead to these states
+            if keys:
+                target.append(longest[below])
+                fail.append(state_of_gram[history[live]])
+            else:
+                fail.append(np.zeros(int(live.sum()), np.int64))
+            log_left.append(np.log10(left[live]))
+            kept = np.flatnonzero(n > 0)
+            share = np.where(n > 0, (n - d) / np.maximum(total, 1)[piece.of[k]], 0.0)
+            p = share + left[piece.of[k]] * p[suffix]
+            word = np.zeros(len(n), np.int64)
+            word[gram] = piece.ids[tokens_at]
+            keys.append(state[piece.of[k][kept]] * self.width + word[kept])
+            log_p.append(np.log10(p[kept]))
+            state_of_gram, below = longest[suffix], kept
+            if k == 2:
+                self.word_state = longest
+            states += int(live.sum())
+        if keys:
+            target.append(state_of_gram[below])  # n-grams of the last order are no histories: their suffixes are
+        else:
+            self.word_state = np.zeros(self.width, np.int64)
+        keys, log_p, target = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (log_p, np.float64), (target, np.int64)))
+        order = np.argsort(keys)
+        self.keys, self.log_p, self.target = keys[order], log_p[order], target[order]
+        self.fail, self.log_left = np.concatenate(fail), np.concatenate(log_left)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p of each word after each state, and the next states."""
+        out, total, state = np.zeros(len(word), np.int64), np.zeros(len(word)), state.copy()
+        todo = np.arange(len(word))
+        while len(todo):
+            root = state[todo] == 0
+            done = todo[root]
+            total[done] += self.log_base[word[done]]
+            out[done] = self.word_state[word[done]]
+            todo = todo[~root]
+            key = state[todo] * self.width + word[todo]
+            spot = np.searchsorted(self.keys, key)
+            hit = self.keys[np.minimum(spot, len(self.keys) - 1)] == key if len(self.keys) else np.zeros(len(todo), bool)
+            done, spot = todo[hit], spot[hit]
+            total[done] += self.log_p[spot]
+            out[done] = self.target[spot]
+            todo = todo[~hit]
+            total[todo] += self.log_left[state[todo]]
+            state[todo] = self.fail[state[todo]]
         return total, out
 
+    def walk(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 p of each token; place: how many tokens of its text stand before it.
+
+        Segments of the tokens are walked side by side; each begins ORDER - 1 tokens early, which settles its state.
+        """
+        n = len(ids)
+        step = max(64, -(-n // LANES))
+        begin = np.arange(0, n, step)
+        out = np.zeros(n)
+        state = np.zeros(len(begin), np.int64)
+        for j in range(1 - ORDER, step):
+            at = begin + j
+            live = np.flatnonzero((at >= 0) & (at < n))
+            at = at[live]
+            before = np.where(place[at] == 0, 0, state[live])
+            got, state[live] = self.step(before, ids[at])
+            if j >= 0:
+                out[at] = got
+        return out
 
-def _with_hash(counts: DataFrame) -> DataFrame:
-    """(h, p, s, n) of rows (p, s, n); n is negative where the lookup in bitmaps was in doubt."""
 
-    def run(batches):
-        for b in batches:
-            p, s, n = (b.column(c).to_numpy() for c in ("p", "s", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(_gram(p.view(U64), s.view(U64)).view(np.int64)), b.column("p"), b.column("s"), pa.array(np.abs(n))], names=["h", "p", "s", "n"])
-
-    return counts.mapInArrow(run, "h long, p long, s long, n long")
-
-
-class _Kept:
-    """Bitmaps of the kept n-grams of an order, and of those counted but not kept that the first does not tell apart."""
-
-    def __init__(self, spark: SparkSession, counts: DataFrame):
-        self.bits = bitmap(counts.filter("n >= 2"), "h", BITS)
-        shared = spark.sparkContext.broadcast(self.bits)
-
-        def false_hits(batches):
-            for b in batches:
-                h = b.column("h").to_numpy().view(U64)
-                yield pa.RecordBatch.from_arrays([pa.array((h[in_bitmap(shared.value, h)] >> U64(32)).view(np.int64))], names=["h"])
-
-        self.doubt = bitmap(counts.filter("n = 1").select("h").mapInArrow(false_hits, "h long"), "h", BITS)
-        shared.destroy()
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each counted n-gram may be kept, and whether that is in doubt."""
-        hit = in_bitmap(self.bits, hashes)
-        return hit, hit & in_bitmap(self.doubt, hashes >> U64(32))
-
-
-def _discount(n1: int, n2: int, doubted: DataFrame, kept: DataFrame) -> float:
-    """The absolute discount of an order: n1 n-grams occur once, and those of the doubted (p, s) whose prefix and suffix are kept."""
-    for side in ("p", "s"):
-        doubted = doubted.join(kept.select(F.col("h").alias(side)), side, "left_semi")
-    n1 += doubted.count()
-    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-
-
-def train(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, int]:
-    """(model, table of all training words' counts, number of training tokens)."""
-    vocab = scratch.save("words", docs.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    row = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, distinct = int(row[0]), int(row[1])
-    model = Model(vocab, [], total, distinct)
-    # of the order below: h, n, log10 p of the kept; h, n of all that were counted
-    lower, counted = vocab.select("h", "n", model.base(F.col("n")).alias("logp")), vocab
-    below: list[_Kept] = []
-    for order in range(2, ORDER + 1):
-        kept = lower.filter("n >= 2")
-        below.append(_Kept(spark, counted))
-        shared = spark.sparkContext.broadcast(below)
-
-        def count(batches, shared=shared, order=order):
-            # an n-gram whose prefix or suffix is not kept is left out, if the bitmaps tell, or else counted with a negative sign
-            tally = _Pairs()
-            for batch in _training(batches):
-                place, full = _orders(*_tokens(batch))
-                known, doubt = shared.value[0].find(full[0])
-                for k in range(1, order - 1):  # an n-gram is counted if its prefix and suffix may be kept
-                    counted = np.zeros(len(known), bool)
-                    counted[1:] = known[:-1] & known[1:]
-                    known, doubt = shared.value[k].find(full[k])
-                    known &= counted
-                end = np.flatnonzero(known[:-1] & known[1:] & (place[1:] >= order - 1)) + 1
-                found = full[order - 2]
-                yield from tally.add(found[end - 1], found[end], np.where(doubt[end - 1] | doubt[end], -1, 1))
-            yield from tally.flush()
-            trim()
-
-        counts = docs.mapInArrow(count, "p long, s long, n long").groupBy("p", "s").agg(F.sum("n").alias("n"))
-        seen = Observation()
-        counts = counts.observe(seen, F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.abs("n") == 2).alias("n2"))
-        # those that occur once are needed for the next order's bitmaps
-        counts = scratch.save(f"counts{order}", counts.filter("abs(n) >= 2 or n < 0") if order == ORDER else counts)
-        d = F.lit(float(_discount(seen.get.get("n1") or 0, seen.get.get("n2") or 0, counts.filter("n = -1").select("p", "s"), kept)))
-        counted = _with_hash(counts)
-        grams = _with_hash(counts.filter("abs(n) >= 2"))
-        left = grams.groupBy("p").agg(F.sum(F.col("n") - d).alias("seen"))
-        left = kept.select(F.col("h").alias("p"), F.col("n").alias("c")).join(left, "p")
-        left = scratch.save(f"left{order}", left.select("p", "c", F.log10(F.greatest(1 - F.col("seen") / F.col("c"), F.lit(1e-12))).alias("log_left")))
-        grams = grams.join(left, "p").join(kept.select(F.col("h").alias("s"), "logp"), "s")
-        p = (F.col("n") - d) / F.col("c") + F.pow(F.lit(10.0), F.col("log_left") + F.col("logp"))
-        grams = grams.select("h", "p", "s", "n", F.log10(p).alias("logp"), (F.log10(p) - F.col("log_left") - F.col("logp")).alias("gain"))
-        grams = scratch.save(f"grams{order}", grams)
-        if order == ORDER:
-            scratch.drop(*(f"counts{k}" for k in range(2, ORDER + 1)))
-        shared.destroy()
-        scratch.release()
-        _put_left(model, left)
-        model.grams.append(grams)
-        lower = grams
-    _put_left(model, None)
-    return model, vocab, total
-
-
-def _put_left(model: Model, left: DataFrame | None) -> None:
-    """Join the backoff weights of the longest histories so far; those that nothing kept follows leave all: 0."""
-    table = model.grams[-1] if model.grams else model.words
-    none = F.lit(0.0).alias("log_left")
-    table = table.select("*", none) if left is None else table.join(left.select(F.col("p").alias("h"), "log_left"), "h", "left").fillna(0.0, ["log_left"])
-    if model.grams:
-        model.grams[-1] = table
-    else:
-        model.words = table
-
-
-def score(spark: SparkSession, docs: DataFrame, model: Model, vocab: DataFrame, total: int, scratch: Scratch) -> DataFrame:
-    words, longer = scratch.save("model1", model.words), scratch.save("model2", model.longer())
-    top = _at_least(words, HEAD, 1).toArrow()
-    n = top["n"].to_numpy()
-    common = _at_least(longer, GRAMS, 2).toArrow()
-    shared = spark.sparkContext.broadcast((
-        KeyIndex(top["h"].to_numpy()), KeyIndex(common["h"].to_numpy()), bitmap(longer, "h", BITS),
-        np.log10((n + 0.5) / model.unit), top["log_left"].to_numpy(), common["weight"].to_numpy(),
-    ))
-
-    names = ["key", "h", "r", "doc_id", "n_tokens", "known", "base", "walk"]
+def _score(buckets: int, discount: dict[int, float], tokens: int, distinct: int):
+    """Rows sorted by (piece, ord, b): the texts of a piece (ord 0), then the answers to it."""
 
     def run(batches):
-        head, grams, kept, log_base, log_left, weight = shared.value
-        nth = TaskContext.get().partitionId() << 40
-        pick = lambda values, at: np.where(at >= 0, values[at], 0.0) if len(values) else np.zeros(len(at))
-        for batch in chunks(batches):
-            hashes, at = _tokens(batch)
-            n = np.diff(at)
-            text = np.repeat(np.arange(len(n)), n)
-            ids = head.find(hashes)
-            base = np.bincount(text, pick(log_base, ids), len(n))
-            walk = base + np.bincount(text, pick(log_left, ids), len(n))
-            rare = [(text[ids < 0], hashes[ids < 0], True)]
-            place, full = _orders(hashes, at)
-            for order in range(2, ORDER + 1):
-                where = np.flatnonzero(place >= order - 1)
-                found = full[order - 1][where]
-                got = grams.find(found)
-                walk += np.bincount(text[where], pick(weight, got), len(n))
-                rest = np.flatnonzero(got < 0)
-                rest = rest[in_bitmap(kept, found[rest])]
-                rare.append((text[where[rest]], found[rest], False))
-            known = n - np.bincount(text[ids < 0], minlength=len(n))
-            keys = nth + np.arange(len(n))
-            nth += len(n)
-            # a text's own row matches nothing: its h only spreads it over the tasks
+        for rows in runs(batches, "piece"):
+            if rows[0]["ord"].as_py() != 0:
+                raise ValueError("the documents were not read alike each time")
+            batch = pa.RecordBatch.from_arrays([rows[0]["ids"].values, rows[0]["texts"].values], names=["doc_id", "text"])
+            piece = Piece(batch)
+            answers = {}
+            for k in range(1, ORDER + 1):
+                got = {r["b"].as_py(): unpack(blob(r)) for r in rows if r["ord"].as_py() == k}
+                edge, cut = piece.cuts(k, buckets)
+                n = np.zeros(len(piece.word[k]), np.int64)
+                sums = np.zeros((3, len(piece.hist[k])), np.int64)
+                for b in np.flatnonzero(np.diff(edge)).tolist():
+                    h, g = slice(edge[b], edge[b + 1]), slice(cut[b], cut[b + 1])
+                    if b not in got or int(got[b][0][0]) != _check(piece.word[k][g] if k > 1 else piece.hist[k][h]):
+                        raise ValueError("the documents were not read alike each time")
+                    if k == 1:
+                        n[g] = got[b][1]
+                        continue
+                    _, live, total, seen, kinds, kept, counts = got[b]
+                    live = edge[b] + np.flatnonzero(np.unpackbits(live.astype(np.uint8), count=h.stop - h.start))
+                    sums[:, live] = total, seen, kinds
+                    n[cut[b] + np.flatnonzero(np.unpackbits(kept.astype(np.uint8), count=g.stop - g.start))] = counts
+                answers[k] = (n, *sums) if k > 1 else (n,)
+            del rows, got
+            model = Automaton(piece, answers, discount, tokens, distinct)
+            del answers
+            each = model.walk(piece.ids, piece.place)
+            size = np.diff(piece.offsets)
+            text = np.repeat(np.arange(len(size)), size)
+            known = np.bincount(text, model.counts[piece.ids] > 0, len(size)).astype(np.int64)
+            base, total = (np.bincount(text, x, len(size)) for x in (model.log_base[piece.ids], each))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(mix(keys.view(U64)).view(np.int64)), pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n), pa.array(known), pa.array(base), pa.array(walk)], names=names
+                [batch.column("doc_id"), pa.array(crc32_mod(batch.column("doc_id").to_pylist(), 5) == TRAIN_NOT), pa.array(size), pa.array(known), pa.array(np.full(len(size), tokens)), pa.array(base), pa.array(total)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-            for t, h, word in rare:
-                order = np.lexsort((h, t))
-                t, h = t[order], h[order]
-                first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])])) if len(t) else np.zeros(0, np.int64)
-                reps = np.diff(np.concatenate([first, [len(t)]])).astype(np.int32)
-                k = len(first)
-                for a in range(0, k, 100_000):
-                    part = first[a : a + 100_000]
-                    m = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[t[part]]), pa.array(h[part].view(np.int64)), pa.array(reps[a : a + m] if word else -reps[a : a + m]), *[pa.nulls(m, pa.int64())] * 3, *[pa.nulls(m, pa.float64())] * 2], names=names
-                    )
-        trim()
+            del model, piece, batch, each
+            trim()
 
-    rows = docs.mapInArrow(run, "key long, h long, r int, doc_id long, n_tokens long, known long, base double, walk double")
-    # r counts a word's occurrences in a text; that of a longer n-gram is negative
-    look = words.select("h", "n", F.col("log_left").alias("weight")).unionByName(longer.select("h", F.lit(None).cast("long").alias("n"), "weight"))
-    r, n = F.col("r"), F.coalesce(F.col("n"), F.lit(0))
-    of_word = F.when(r > 0, r * model.base(n)).otherwise(0.0)
-    out = rows.join(look, "h", "left").groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.coalesce(F.col("known"), F.lit(0)) + F.when((r > 0) & (n > 0), r).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce(F.col("base"), F.lit(0.0)) + of_word).alias("base_score"),
-        F.sum(F.coalesce(F.col("walk"), F.lit(0.0)) + of_word + F.abs(r) * F.coalesce(F.col("weight"), F.lit(0.0))).alias("score"),
-    )
-    return out.select("doc_id", (fold(F.col("doc_id")) == TRAIN_NOT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return run
+
+
+def _pieces(batches):
+    nth = TaskContext.get().partitionId() << 32
+    for batch in chunks(batches, limit=PIECE):
+        one = [np.array([0, batch.num_rows], np.int32)]
+        columns = [pa.ListArray.from_arrays(pa.array(one[0]), batch.column(c)) for c in ("doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([nth], pa.int64()), pa.array([0], pa.int32()), pa.nulls(1, pa.binary()), *columns], names=["b", "piece", "ord", "body", "ids", "texts"])
+        nth += 1
+
+
+def score(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id long, text)."""
+    scratch = scratch or Scratch(spark, "lm")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET))
+    found, sums = [], {k: (0, 0) for k in range(1, ORDER + 1)}
+    for orders in ((1, 2), *((k,) for k in range(3, ORDER + 1))):
+        asked = by_bucket(docs.mapInArrow(_asked(orders, buckets), _ASKED), buckets, "ord", "piece")
+        found.append(scratch.save(f"answers{orders[-1]}", asked.mapInArrow(_answer, _ANSWER)))
+        sums |= {r["ord"]: (r["s1"], r["s2"]) for r in found[-1].filter("piece < 0").groupBy("ord").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).collect()}
+        scratch.release()
+    tokens, distinct = sums[1]
+    discount = {}
+    for k in range(2, ORDER + 1):
+        n1, n2 = sums[k]
+        discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    rows = docs.mapInArrow(_pieces, _ASKED + ", ids array<long>, texts array<string>")
+    for f in found:
+        rows = rows.unionByName(f.filter("piece >= 0").drop("s1", "s2"), allowMissingColumns=True)
+    rows = rows.repartition(max(1, -(-size // (2 * PIECE))), "piece").sortWithinPartitions("piece", "ord", "b")
+    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.mapInArrow(_score(buckets, discount, tokens, distinct), fields)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import table, texts
 
-    docs, scratch = texts(table(spark, sf_dir, "documents")), Scratch(spark, "lm")
-    return score(spark, docs, *train(spark, docs, scratch), scratch)
+    return score(spark, texts(table(spark, sf_dir, "documents")))

@@ -1,9 +1,11 @@
 """Vectorised byte, word and shingle primitives over Arrow string batches.
 
 Words are maximal runs of bytes outside {0x20, 0x09-0x0D}; A-Z is folded to a-z
-before hashing. Hashes are 64-bit: a polynomial over a fixed random byte table,
-finished by a bijective mixer, so equal words always agree and unequal words
-collide with probability about 2**-64.
+before hashing. A word's 64-bit hash is the sum of one random number for each of its
+(place, byte), finished by a bijective mixer: a tabulation hash, for which no pair of
+words is known to collide by construction. Its tables are fixed, so who knows them
+could construct words that do; unequal words collide by chance with about 2**-64.
+Where equal bytes must be certain (token ids, removed spans) bytes are compared.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _NONSPACE = ~_SPACE
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _R = U64(0x9E3779B97F4A7C15)
 _RINV = U64(pow(int(_R), -1, 2**64))
 _POWERS: dict[str, np.ndarray] = {}
 _COMBINE = _RNG.integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Random numbers by place and byte; places from len(_PLACES) on are mixed as they come.
+_PLACES = _RNG.integers(0, 2**64, (64, 256), dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,14 +108,42 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _NONSPACE) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _FOLD[data]
+
+
+def _terms(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The number of each byte at its place in a range."""
+    near = len(_PLACES)
+    out = _PLACES.reshape(-1)[(np.minimum(place, near - 1) << 8) | data]
+    far = np.flatnonzero(place >= near)
+    if len(far):
+        out[far] = mix(place[far].astype(U64) * _COMBINE[61] + _BYTE[data[far]])
+    return out
+
+
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """One 64-bit hash for each byte range of buf."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum((_FOLDED if fold else _BYTE)[buf] * powers(len(buf)), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * powers(len(buf), inverse=True)[starts]
-    return mix(raw + (ends - starts).astype(U64) * _COMBINE[63])
+    """One 64-bit hash for each byte range of buf, about CHUNK_BYTES at a time."""
+    length = (ends - starts).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(length)])
+    raw = np.zeros(len(starts), U64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + CHUNK_BYTES, "right")) - 1)
+        if b == a + 1:
+            for x in range(0, int(length[a]), CHUNK_BYTES):
+                data = buf[starts[a] + x : min(starts[a] + x + CHUNK_BYTES, ends[a])]
+                raw[a] += _terms(_FOLD[data] if fold else data, np.arange(x, x + len(data))).sum(dtype=U64)
+        else:
+            at = total[a : b + 1] - total[a]
+            place = np.arange(at[-1]) - np.repeat(at[:-1], length[a:b])
+            data = buf[np.repeat(starts[a:b], length[a:b]) + place]
+            sums = np.zeros(len(data) + 1, U64)
+            np.cumsum(_terms(_FOLD[data] if fold else data, place), out=sums[1:])
+            raw[a:b] = sums[at[1:]] - sums[at[:-1]]
+        a = b
+    return mix(raw + length.astype(U64) * _COMBINE[63])
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:

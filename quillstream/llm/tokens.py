@@ -16,7 +16,9 @@ first, rows of one id by text. An empty corpus gives no blocks.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from functools import cache
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .textkit import chunks, ragged, range_hashes, text_buffer, trim, words
+from .textkit import chunks, folded, ragged, range_hashes, text_buffer, trim, words
 
 END_ID = 2
 LANES, CHECK_STEPS, PRECISION, LOW = 64, 256, 20, 1 << 31
@@ -57,13 +59,43 @@ _WHOLE = np.zeros(256, bool)
 _WHOLE[[ord("<"), ord("'")]] = True
 
 
+#: The steps before the merges for which texts may be cut into pieces (see WordEncoder).
+_PIECEWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether n[i] bytes from a[i] in data are those from b[i] in other (data)."""
+    other = data if other is None else other
+    out = np.ones(len(a), bool)
+    step = np.concatenate([[0], np.cumsum(n)])
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(step, step[i] + PART, "right")) - 1)
+        differ = data[ragged(a[i:j], n[i:j])] != other[ragged(b[i:j], n[i:j])]
+        if differ.any():
+            out[i + np.unique(np.searchsorted(step[i : j + 1] - step[i], np.flatnonzero(differ), "right") - 1)] = False
+        i = j
+    return out
+
+
 class WordEncoder:
     """Ids of whole texts through a memory of encoded pieces.
 
-    The vocabulary's pre-tokenizer drops white space and never joins ASCII letters,
-    ASCII digits and other ASCII characters, so a text's ids are its pieces' ids end
-    to end. Words with an apostrophe (contractions) or `<` (special tokens) and
-    characters beside non-ASCII ones are left whole for the library to cut.
+    A vocabulary whose file names the steps in _PIECEWISE drops white space, folds
+    case and never joins ASCII letters, ASCII digits and other ASCII characters, so a
+    text's ids are its pieces' ids end to end. Words with an apostrophe (contractions)
+    or `<` (special tokens) and characters beside non-ASCII ones are left whole for the
+    library to cut. Pieces are found by a hash and taken for known only if their
+    bytes are the known ones. Texts of other vocabularies go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -72,12 +104,18 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        special = all(t["content"].startswith("<") and not re.search(r"\s", t["content"]) for t in form.get("added_tokens") or [])
+        self.piecewise = (form.get("normalizer"), form.get("pre_tokenizer")) == _PIECEWISE and special
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes and their slots
         self.pool = np.array([END_ID], np.uint32)
         self.at, self.n = np.zeros(1, np.int32), np.ones(1, np.int32)
+        self.bytes = np.zeros(0, np.uint8)  # of each slot's piece, folded
+        self.b_at, self.b_n = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def pieces(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, at = words(buf, offsets)
@@ -100,33 +138,66 @@ class WordEncoder:
         word_of = np.searchsorted(starts, first, "right") - 1
         return first, np.minimum(last, ends[word_of]), np.searchsorted(first, offsets)
 
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        # the library's results are large: only the ids of a few at a time are kept
+        return [np.array(e.ids, np.uint32) for a in range(0, len(texts), SOME) for e in self.tokenizer.encode_batch_fast(texts[a : a + SOME], add_special_tokens=False)]
+
+    def _add(self, found: list[np.ndarray], data: list[bytes]) -> np.ndarray:
+        """Slots for pieces with these ids and bytes."""
+        n, size = np.array([len(f) for f in found], np.int32), np.array([len(d) for d in data], np.int64)
+        slot = len(self.n) + np.arange(len(found), dtype=np.int32)
+        self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
+        self.n = np.concatenate([self.n, n])
+        self.pool = np.concatenate([self.pool, *found])
+        self.b_at = np.concatenate([self.b_at, len(self.bytes) + np.cumsum(size) - size])
+        self.b_n = np.concatenate([self.b_n, size])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(data), np.uint8)])
+        return slot
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by END_ID, and each text's offsets."""
+        if not self.piecewise:
+            raw = buf.tobytes()
+            found = self._library([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            found = [np.append(f, np.uint32(END_ID)) for f in found]
+            return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
         first, last, at = self.pieces(buf, offsets)
-        hashes = range_hashes(buf, first, last)  # the vocabulary is lower case: A-Z folds
+        low = folded(buf)
+        hashes = range_hashes(low, first, last, fold=False)
         distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
             self._clear()
+        # pieces whose bytes are not those of their hash's first are told apart by bytes
+        length = last - first
+        same = length == length[example][which]
+        rows = np.flatnonzero(same)
+        same[rows] = _alike(low, first[rows], first[example[which[rows]]], length[rows])
         spot = np.searchsorted(self.known, distinct)
         old = np.zeros(len(distinct), bool)
         if len(self.known):
             old = self.known[np.minimum(spot, len(self.known) - 1)] == distinct
         slot = np.zeros(len(distinct), np.int32)
         slot[old] = self.slots[spot[old]]
+        rows = np.flatnonzero(old)
+        right = length[example[rows]] == self.b_n[slot[rows]]
+        checked = rows[right]
+        right[right] = _alike(low, first[example[checked]], self.b_at[slot[checked]], length[example[checked]], self.bytes)
+        same &= ~np.isin(which, rows[~right])
         new = np.flatnonzero(~old)
         if len(new):
-            raw = buf.tobytes()
-            texts = [raw[first[e] : last[e]].decode("utf-8", "replace") for e in example[new].tolist()]
-            # the library's results are large: only the ids of a few at a time are kept
-            found = [np.array(e.ids, np.uint32) for a in range(0, len(texts), SOME) for e in self.tokenizer.encode_batch_fast(texts[a : a + SOME], add_special_tokens=False)]
-            n = np.array([len(f) for f in found], np.int32)
-            slot[new] = len(self.n) + np.arange(len(new), dtype=np.int32)
+            raw, kept = buf.tobytes(), low.tobytes()
+            spans = [(int(first[e]), int(last[e])) for e in example[new]]
+            slot[new] = self._add(self._library([raw[a:b].decode("utf-8", "replace") for a, b in spans]), [kept[a:b] for a, b in spans])
             self.known = np.insert(self.known, spot[new], distinct[new])
             self.slots = np.insert(self.slots, spot[new], slot[new])
-            self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
-            self.n = np.concatenate([self.n, n])
-            self.pool = np.concatenate([self.pool, *found])
         which = slot[which].astype(np.int64)
+        odd = np.flatnonzero(~same)
+        if len(odd):
+            raw = buf.tobytes()
+            texts = [raw[a:b] for a, b in zip(first[odd].tolist(), last[odd].tolist(), strict=True)]
+            own = sorted(set(texts))
+            slots = dict(zip(own, self._add(self._library([t.decode("utf-8", "replace") for t in own]), own).tolist(), strict=True))
+            which[odd] = [slots[t] for t in texts]
         which = np.insert(which, at[1:], 0)  # slot 0 is the end
         n = self.n[which].astype(np.int64)
         ids = self.pool[ragged(self.at[which].astype(np.int64), n)]

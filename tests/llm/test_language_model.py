@@ -5,10 +5,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstream.llm import language_model as lm
-from quillstream.runtime import Scratch
 
 
 def brute_scores(texts):
@@ -17,11 +17,9 @@ def brute_scores(texts):
     train = [w for i, w in enumerate(tokens) if zlib.crc32(str(i).encode()) % 5 != 1]
     c1 = Counter((w,) for ws in train for w in ws)
     total, distinct = sum(c1.values()), len(c1)
-    kept, left, spare = {1: {g for g, n in c1.items() if n >= 2}}, {}, {}
-    count = dict(c1)
+    kept, left, spare, count = {}, {}, {}, dict(c1)
     for k in (2, 3):
         c = Counter(tuple(ws[i : i + k]) for ws in train for i in range(len(ws) - k + 1))
-        c = {g: n for g, n in c.items() if g[:-1] in kept[k - 1] and g[1:] in kept[k - 1]}
         n1, n2 = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
         spare[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         kept[k] = {g for g, n in c.items() if n >= 2}
@@ -34,19 +32,19 @@ def brute_scores(texts):
     def p(history, w):
         if not history:
             return (c1[(w,)] + 0.5) / (total + 0.5 * (distinct + 1))
-        lower = p(history[1:], w)
-        if history not in kept[len(history)]:
-            return lower
-        g = (*history, w)
+        lower, g = p(history[1:], w), (*history, w)
         return left.get(history, 1.0) * lower + ((count[g] - spare[len(g)]) / count[history] if g in kept[len(g)] else 0.0)
 
     return [sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), w)) for i, w in enumerate(ws)) for ws in tokens]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"HEAD": 8, "CORE": 8, "ARCS": 8, "GRAMS": 8, "BITS": 8}])
-def test_scores_hold_every_repeated_ngram(spark, monkeypatch, bounds):
-    for name, most in bounds.items():
-        monkeypatch.setattr(lm, name, most, raising=False)
+def scores(spark, docs):
+    return {r["doc_id"]: r["score"] for r in lm.score(spark, docs).collect()}
+
+
+@pytest.mark.parametrize("bucket", [lm.BUCKET, 700])
+def test_scores_hold_every_repeated_ngram(spark, monkeypatch, bucket):
+    monkeypatch.setattr(lm, "BUCKET", bucket)
     rng = np.random.default_rng(11)
     words = [f"w{i}" for i in range(300)]
     texts = [None, "", "one", "É two THREE"]
@@ -54,8 +52,7 @@ def test_scores_hold_every_repeated_ngram(spark, monkeypatch, bounds):
         ws = [words[int(i)] for i in np.minimum(rng.zipf(1.4, int(rng.integers(1, 120))) - 1, 299)]
         texts += [" ".join(ws)] + ([" ".join(ws[5:] + ["once" + str(len(texts))])] if rng.random() < 0.3 else [])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    scratch = Scratch(spark, "t")
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark, docs, *lm.train(spark, docs, scratch), scratch).collect()}
+    got = scores(spark, docs)
     assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts))
 
 
@@ -64,6 +61,60 @@ def test_scores_hold_more_words_than_were_ever_broadcast(spark):
     rows = [" ".join(f"w{i}" for i in part) for part in np.array_split(rng.permutation(40_000), 60)]
     texts = [t for t in rows for _ in range(3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    scratch = Scratch(spark, "t")
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark, docs, *lm.train(spark, docs, scratch), scratch).collect()}
+    got = scores(spark, docs)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts))
+
+
+def piece_answers(texts, orders=lm.ORDER):
+    """The automaton of texts that are all in training, in one bucket."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    piece, train, answers, discount = lm.Piece(batch), np.ones(len(texts), bool), {}, {}
+    for k in range(1, orders + 1):
+        n = piece.counts(k, train)
+        if k == 1:
+            answers[1] = (n,)
+            continue
+        own = piece.of[k]
+        kept = n >= 2
+        size = len(piece.hist[k])
+        sums = [np.bincount(own, n, size), np.bincount(own[kept], n[kept], size), np.bincount(own[kept], minlength=size)]
+        answers[k] = (np.where(kept, n, 0), *(x.astype(np.int64) for x in sums))
+        discount[k] = 0.5
+    return piece, lm.Automaton(piece, answers, discount, len(piece.hashes), len(piece.words))
+
+
+def test_automaton_is_normalised_over_the_arcs_it_holds():
+    # every word follows every history of this text, so the piece holds all arcs of its states
+    piece, model = piece_answers(["a b a a b b a a a b b b a b a b a a"] * 3, 2)
+    unknown = math.log10(0.5 / (len(piece.hashes) + 0.5 * (len(piece.words) + 1)))
+    for state in range(len(model.fail)):
+        got, _ = model.step(np.full(model.width, state), np.arange(model.width))
+        back, s = 0.0, state
+        while s:
+            back, s = back + model.log_left[s], model.fail[s]
+        assert sum(10.0**got) + 10 ** (back + unknown) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 4096])
+def test_walk_does_not_depend_on_segments(monkeypatch, lanes):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(0, 300, 30)]
+    piece, model = piece_answers(texts)
+    monkeypatch.setattr(lm, "LANES", lanes)
+    state, want = 0, []
+    for word, place in zip(piece.ids, piece.place, strict=True):
+        got, state = model.step(np.array([0 if place == 0 else state]), np.array([word]))
+        state = state[0]
+        want.append(got[0])
+    assert model.walk(piece.ids, piece.place) == pytest.approx(want)
+    assert model.fail.max() > 0 and (model.target > 0).any()
+
+
+def test_words_that_collide_under_a_plain_polynomial(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {word} y"] * 4 + [f"x {other} z"] * 4
+    got = scores(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts))

@@ -11,7 +11,7 @@ import pytest
 from quillstream.llm import queries
 from quillstream.llm.decontamination import Items, contaminated, edits_allowed, search
 from quillstream.llm.jaccard import similar_components
-from quillstream.llm.language_model import score, train
+from quillstream.llm.language_model import score
 from quillstream.llm.media import clips, decode_films, digests, encode_avi, payload_of, to_media
 from quillstream.llm.mixing import min_cost_flow, water_fill
 from quillstream.llm.quality import fit_quality, score_quality
@@ -97,7 +97,7 @@ def test_url_query_against_sql(spark):
 def test_language_model(spark):
     texts = corpus()
     docs, scratch = make(spark, texts), Scratch(spark, "t")
-    rows = score(spark, docs, *train(spark, docs, scratch), scratch).collect()
+    rows = score(spark, docs, scratch).collect()
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = [(t or "").translate(fold).split() + [None] for t in texts]
     c = Counter(w for i, ws in enumerate(tokens) if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
@@ -109,18 +109,47 @@ def test_language_model(spark):
         assert r["score"] < 0
 
 
-def test_automaton_is_normalised(spark):
-    texts = ["a b a b c", "a b a b", "c a b", "b a b c a", "d a b"] * 3
-    model, vocab, _ = train(spark, make(spark, texts), Scratch(spark, "t"))
-    words = np.arange(len(model.log_base))
-    for state in range(len(model.fail)):
-        gain, _ = model._step(np.full(len(words), state), words.copy())
-        miss, _ = model._step(np.array([state]), np.array([-1]))
-        assert (10**gain).sum() + 10 ** (miss[0] + model.log_unknown) == pytest.approx(1.0)
+def thue_morse(n=10):
+    """Two words of 2**n letters that every polynomial hash modulo 2**64 takes for one, from n = 10 on."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_a_plain_polynomial(spark):
+    a, b = (w + " " + " ".join(f"x{i}" for i in range(9)) for w in thue_morse())
+    rows = similar_components(spark, make(spark, [a, b, a]), 4, 95, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {0: 0, 1: 1, 2: 0}
+
+
+@pytest.mark.parametrize("bad_hash", [False, True])
+def test_encoder_compares_bytes(monkeypatch, bad_hash):
+    import quillstream.llm.tokens as T
+
+    if bad_hash:
+        monkeypatch.setattr(T, "range_hashes", lambda buf, starts, ends, fold=True: (ends - starts).astype(np.uint64))
+    tool = WordEncoder(default_vocabulary())
+    a, b = thue_morse()
+    for texts in ([a, b, "x " + b.upper(), "aa Bb aA cc", ""], ["bb aa", a, "don't"]):
+        ids, at = tool.encode(*text_buffer(pa.array(texts)))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == [*tool.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_other_vocabularies_get_whole_texts():
+    import public_tokenizers
+
+    tool = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  spaces, UPPER", "", "é x\n"]
+    ids, at = tool.encode(*text_buffer(pa.array(texts)))
+    assert not tool.piecewise
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == [*tool.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
 def test_tokens_round_trip(spark):
-    texts = [*corpus(), "don't <|endoftext|>x a<|b", "x中é5…!? ́", "K" * 300]
+    texts = [*corpus(), "don't <|endoftext|>x a<|b", "x中é5…!? ́", "K" * 300, *thue_morse()]
     docs, scratch = make(spark, texts), Scratch(spark, "t")
     write_tokens(spark, docs, default_vocabulary(), f"{scratch.base}/d", scratch)
     tool, at = WordEncoder(default_vocabulary()).tokenizer, 0

@@ -84,8 +84,9 @@ class Piece:
             full = np.flatnonzero(self.place >= k - 1)
             before = rank[self.at[k - 1][full - 1]]
             pairs, which = np.unique((before << 32) | self.ids[full], return_inverse=True)
-            used, of = np.unique(pairs >> 32, return_inverse=True)
-            self.hist[k], self.of[k], self.word[k] = key[used], of.reshape(-1), words[pairs & 0xFFFFFFFF]
+            first = np.ones(len(pairs), bool)
+            first[1:] = pairs[1:] >> 32 != pairs[:-1] >> 32
+            self.hist[k], self.of[k], self.word[k] = key[pairs[first] >> 32], np.cumsum(first) - 1, words[pairs & 0xFFFFFFFF]
             self.at[k] = np.full(n, -1, np.int64)
             self.at[k][full] = which.reshape(-1)
             if k < upto:
@@ -196,98 +197,74 @@ class Automaton:
 
     answers[k]: counts of its words (k = 1), or of its n-grams (0: not kept) and (total,
     seen, kinds) of its histories. States: 0 is empty, then the histories that kept
-    n-grams continue. fail, log_left: of each state; arcs: sorted keys state * words + word,
-    with log_p and the next state; log_base: of each word.
+    n-grams continue; order, fail, log_left: of each state. Arcs: of each n-gram, words
+    first and then by order, whether it is one, log_p and the next state.
     """
 
     def __init__(self, piece: Piece, answers: dict[int, tuple], discount: dict[int, float], tokens: int, distinct: int):
-        self.width = len(piece.words)
-        self.counts = answers[1][0]
-        base = (self.counts + 0.5) / (tokens + 0.5 * (distinct + 1))
-        self.log_base = np.log10(base)
-        keys, log_p, target = [], [], []
-        fail, log_left = [np.zeros(1, np.int64)], [np.zeros(1)]
-        states, p = 1, base  # of the order below: probability of each n-gram
-        state_of_gram = None  # the state that each n-gram of the order below is (0: none), and the longest state that ends it
+        self.piece, self.counts = piece, answers[1][0]
+        p = (self.counts + 0.5) / (tokens + 0.5 * (distinct + 1))  # of each n-gram of an order
+        arc, log_p, target = [np.ones(len(p), bool)], [np.log10(p)], []
+        fail, log_left, order = [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)]
+        states = 1
+        longest = np.zeros(len(p), np.int64)  # the longest state that is a proper suffix of each n-gram
         for k in range(2, max(answers) + 1):
             n, total, seen, kinds = answers[k]
             d, live = discount[k], kinds > 0
-            state = np.where(live, states + np.cumsum(live) - 1, 0)  # of each history
-            left = np.where(live, 1 - (seen - d * kinds) / np.maximum(total, 1), 1.0)
-            left = np.maximum(left, 1e-12)
+            left = np.where(live, np.maximum(1 - (seen - d * kinds) / np.maximum(total, 1), 1e-12), 1.0)
             # the n-gram of the order below that each history is, and that each n-gram ends with
-            tokens_at = np.flatnonzero(piece.at[k] >= 0)
-            gram = piece.at[k][tokens_at]
+            at = np.flatnonzero(piece.at[k] >= 0)
+            gram = piece.at[k][at]
             history, suffix = np.zeros(len(total), np.int64), np.zeros(len(n), np.int64)
-            history[piece.of[k][gram]] = piece.at[k - 1][tokens_at - 1]
-            suffix[gram] = piece.at[k - 1][tokens_at]
-            own = np.zeros(len(p), np.int64)  # the state that each n-gram of the order below is
-            own[history] = state
-            longest = own if state_of_gram is None else np.where(own > 0, own, state_of_gram)
-            # arcs of the order below lead to these states
-            if keys:
-                target.append(longest[below])
-                fail.append(state_of_gram[history[live]])
-            else:
-                fail.append(np.zeros(int(live.sum()), np.int64))
+            history[piece.of[k][gram]] = piece.at[k - 1][at - 1]
+            suffix[gram] = piece.at[k - 1][at]
+            fail.append(longest[history[live]])
             log_left.append(np.log10(left[live]))
-            kept = np.flatnonzero(n > 0)
-            share = np.where(n > 0, (n - d) / np.maximum(total, 1)[piece.of[k]], 0.0)
-            p = share + left[piece.of[k]] * p[suffix]
-            word = np.zeros(len(n), np.int64)
-            word[gram] = piece.ids[tokens_at]
-            keys.append(state[piece.of[k][kept]] * self.width + word[kept])
-            log_p.append(np.log10(p[kept]))
-            state_of_gram, below = longest[suffix], kept
-            if k == 2:
-                self.word_state = longest
+            order.append(np.full(int(live.sum()), k - 1))
+            longest[history[live]] = states + np.arange(int(live.sum()))  # those n-grams are states themselves
+            target.append(longest)
+            p = np.where(n > 0, (n - d) / np.maximum(total, 1)[piece.of[k]], 0.0) + left[piece.of[k]] * p[suffix]
+            arc.append(n > 0)
+            log_p.append(np.log10(p))
+            longest = longest[suffix]
             states += int(live.sum())
-        if keys:
-            target.append(state_of_gram[below])  # n-grams of the last order are no histories: their suffixes are
-        else:
-            self.word_state = np.zeros(self.width, np.int64)
-        keys, log_p, target = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (log_p, np.float64), (target, np.int64)))
-        order = np.argsort(keys)
-        self.keys, self.log_p, self.target = keys[order], log_p[order], target[order]
-        self.fail, self.log_left = np.concatenate(fail), np.concatenate(log_left)
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of each word after each state, and the next states."""
-        out, total, state = np.zeros(len(word), np.int64), np.zeros(len(word)), state.copy()
-        todo = np.arange(len(word))
+        target.append(longest)
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in arc])])[:-1]  # by order: place of its n-grams
+        self.arc, self.log_p, self.target = np.concatenate(arc), np.concatenate(log_p), np.concatenate(target)
+        self.order, self.fail, self.log_left = np.concatenate(order), np.concatenate(fail), np.concatenate(log_left)
+        self.ends = np.stack([f + piece.at[k + 1] for k, f in enumerate(self.first)])  # by order and token
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p of the words at tokens of the piece after each state, and the next states."""
+        out, total = np.empty(len(token), np.int64), np.zeros(len(token))
+        todo = np.arange(len(token))
         while len(todo):
-            root = state[todo] == 0
-            done = todo[root]
-            total[done] += self.log_base[word[done]]
-            out[done] = self.word_state[word[done]]
-            todo = todo[~root]
-            key = state[todo] * self.width + word[todo]
-            spot = np.searchsorted(self.keys, key)
-            hit = self.keys[np.minimum(spot, len(self.keys) - 1)] == key if len(self.keys) else np.zeros(len(todo), bool)
-            done, spot = todo[hit], spot[hit]
-            total[done] += self.log_p[spot]
-            out[done] = self.target[spot]
-            todo = todo[~hit]
-            total[todo] += self.log_left[state[todo]]
-            state[todo] = self.fail[state[todo]]
+            gram = self.ends[self.order[state], token]
+            hit = self.arc[gram]
+            done, gram = todo[hit], gram[hit]
+            total[done] += self.log_p[gram]
+            out[done] = self.target[gram]
+            todo, state, token = todo[~hit], state[~hit], token[~hit]
+            total[todo] += self.log_left[state]
+            state = self.fail[state]
         return total, out
 
-    def walk(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 p of each token; place: how many tokens of its text stand before it.
+    def walk(self) -> np.ndarray:
+        """log10 p of each token of the piece.
 
         Segments of the tokens are walked side by side; each begins ORDER - 1 tokens early, which settles its state.
         """
-        n = len(ids)
+        place = self.piece.place
+        n = len(place)
         step = max(64, -(-n // LANES))
         begin = np.arange(0, n, step)
         out = np.zeros(n)
         state = np.zeros(len(begin), np.int64)
         for j in range(1 - ORDER, step):
             at = begin + j
-            live = np.flatnonzero((at >= 0) & (at < n))
+            live = slice(int(np.searchsorted(at, 0)), int(np.searchsorted(at, n)))
             at = at[live]
-            before = np.where(place[at] == 0, 0, state[live])
-            got, state[live] = self.step(before, ids[at])
+            got, state[live] = self.step(np.where(place[at] == 0, 0, state[live]), at)
             if j >= 0:
                 out[at] = got
         return out
@@ -323,11 +300,11 @@ def _score(buckets: int, discount: dict[int, float], tokens: int, distinct: int)
             del rows, got
             model = Automaton(piece, answers, discount, tokens, distinct)
             del answers
-            each = model.walk(piece.ids, piece.place)
+            each = model.walk()
             size = np.diff(piece.offsets)
             text = np.repeat(np.arange(len(size)), size)
             known = np.bincount(text, model.counts[piece.ids] > 0, len(size)).astype(np.int64)
-            base, total = (np.bincount(text, x, len(size)) for x in (model.log_base[piece.ids], each))
+            base, total = (np.bincount(text, x, len(size)) for x in (model.log_p[piece.ids], each))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(crc32_mod(batch.column("doc_id").to_pylist(), 5) == TRAIN_NOT), pa.array(size), pa.array(known), pa.array(np.full(len(size), tokens)), pa.array(base), pa.array(total)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

@@ -113,37 +113,36 @@ def folded(data: np.ndarray) -> np.ndarray:
     return _FOLD[data]
 
 
-def _terms(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The number of each byte at its place in a range."""
-    near = len(_PLACES)
-    out = _PLACES.reshape(-1)[(np.minimum(place, near - 1) << 8) | data]
-    far = np.flatnonzero(place >= near)
-    if len(far):
-        out[far] = mix(place[far].astype(U64) * _COMBINE[61] + _BYTE[data[far]])
-    return out
+def _far(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The number of each byte at a place beyond the table."""
+    return mix(place.astype(U64) * _COMBINE[61] + _BYTE[data])
 
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """One 64-bit hash for each byte range of buf, about CHUNK_BYTES at a time."""
-    length = (ends - starts).astype(np.int64)
-    total = np.concatenate([[0], np.cumsum(length)])
-    raw = np.zeros(len(starts), U64)
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + CHUNK_BYTES, "right")) - 1)
-        if b == a + 1:
-            for x in range(0, int(length[a]), CHUNK_BYTES):
-                data = buf[starts[a] + x : min(starts[a] + x + CHUNK_BYTES, ends[a])]
-                raw[a] += _terms(_FOLD[data] if fold else data, np.arange(x, x + len(data))).sum(dtype=U64)
-        else:
-            at = total[a : b + 1] - total[a]
-            place = np.arange(at[-1]) - np.repeat(at[:-1], length[a:b])
-            data = buf[np.repeat(starts[a:b], length[a:b]) + place]
-            sums = np.zeros(len(data) + 1, U64)
-            np.cumsum(_terms(_FOLD[data] if fold else data, place), out=sums[1:])
-            raw[a:b] = sums[at[1:]] - sums[at[:-1]]
-        a = b
-    return mix(raw + length.astype(U64) * _COMBINE[63])
+    """One 64-bit hash for each byte range of buf."""
+    if len(starts) == 0:
+        return np.zeros(0, U64)
+    length = ends - starts
+    near = len(_PLACES)
+    # longest first, so that the ranges which have a byte at a place come first
+    order = np.argsort(near - np.minimum(length, near).astype(np.int16), kind="stable")
+    at = starts[order]
+    some = len(at) - np.cumsum(np.bincount(np.minimum(length, near), minlength=near + 1))[:near]  # by place: ranges that are longer
+    raw = np.zeros(len(at), U64)
+    for j in range(near):
+        m = int(some[j])
+        if m == 0:
+            break
+        data = buf[at[:m] + j]
+        raw[:m] += _PLACES[j][_FOLD[data] if fold else data]
+    for i in range(int((length > near).sum())):
+        a, b = int(at[i]), int(ends[order[i]])
+        for x in range(a + near, b, CHUNK_BYTES):
+            data = buf[x : min(x + CHUNK_BYTES, b)]
+            raw[i : i + 1] += _far(_FOLD[data] if fold else data, np.arange(x - a, x - a + len(data))).sum(dtype=U64)
+    out = np.empty(len(at), U64)
+    out[order] = raw
+    return mix(out + length.astype(U64) * _COMBINE[63])
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:

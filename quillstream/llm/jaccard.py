@@ -9,18 +9,22 @@ Jaccard similarity of their sets reaches num/den. Result: connected components.
 2. The common order is by hash, but shingles that many documents have in their
    prefixes come last; they are known from an exact count, kept as a bitmap of
    fixed size (BITS). Any bitmap gives a valid order, so false hits cost nothing.
-3. Stars first: every group is paired with the least group of each prefix shingle it
-   shares and every class with the least class of its group. Verified stars already
-   join copies of one text into components, in a number of pairs linear in the
-   postings.
-4. Then the rest: pairs of classes that share a prefix shingle but are not yet in one
-   component, each at their first shared one, if size, position and parity let them
-   reach the threshold. The parity of the hashes in each of PARITY bits differs
-   between two sets in at most as many bits as there are shingles in one set only.
-   So no link between different components is lost, and no group is expanded into
-   all its pairs.
+3. Stars first: every group is paired with one group (by a hash that changes each round)
+   of each prefix shingle it shares, and every class with one class of its group, if
+   they are not yet in one component. Verified stars join copies of one text into
+   components, in a number of pairs linear in the postings. Rounds go on while they
+   find links in number.
+4. Then the rest: pairs of groups that share a prefix shingle and are not yet in one
+   component are filtered, each at their first shared one, by size, position and (where
+   both have one class) parity, and only what is left is expanded into pairs of their
+   classes. The parity of the hashes in each of PARITY bits differs between two sets in
+   at most as many bits as there are shingles in one set only. So no link between
+   different components is lost, and no group is expanded into all its pairs.
 5. Candidates are verified on the whole sets of their texts.
 
+Prefix shingles travel packed (exchange.py) and meet in buckets of a bounded size; only
+those that groups of fitting sizes share become rows.
+
 Null or empty texts have an empty set and link with nothing (their component is their
 own id). Documents without an id take part; a component of only such documents has a
 null id. Repeated rows are equal sets and each get a row.
@@ -30,15 +34,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
+from .exchange import blob, bucket_of, by_bucket, pack, rows_of, runs, unpack
 from .graph import connected_components
-from .textkit import _COMBINE, Tally, chunks, mix, shingle_hashes, signed, text_buffer, word_hashes
+from .textkit import _COMBINE, chunks, mix, shingle_hashes, text_buffer, trim, word_hashes
 
 #: Bits of the bitmaps of frequent shingles and of wanted classes (2 MB each).
 BITS = 24
+#: Bytes of text in a piece, and of the text whose prefix shingles meet in one bucket, about.
+PIECE, BUCKET = 4 << 20, 32 << 20
 #: A shingle in this many prefixes is frequent; the count is raised until 1/8 of the bitmap holds them all.
 FREQUENT = 4
 #: Bits of a set's parity sketch.
@@ -112,27 +119,39 @@ def similar_components(spark: SparkSession, docs: DataFrame, k: int = 4, num: in
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def similar_rows(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, text_hash, n, comp) of every row of docs: the number of its shingles, and what names its component where that is not 0."""
-    scratch = scratch or Scratch(spark, "jaccard")
-    docs = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
+def _counted(k: int, num: int, den: int, buckets: int):
+    """The shingles of the prefixes in plain hash order, packed by bucket with their counts."""
 
-    def prefixes(batches):
-        tally = Tally()
-        for batch in chunks(batches):
+    def run(batches):
+        for batch in chunks(batches, limit=PIECE):
             parts = [p[: prefix_length(len(p), num, den)] for p in text_sets(batch, k)]
-            if parts:
-                yield from tally.add(np.concatenate(parts))
-        yield from tally.flush()
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1)).tolist()
+            some = [b for b in range(buckets) if edge[b + 1] > edge[b]]
+            yield rows_of({"b": (some, pa.int32()), "body": ([pack(h[edge[b] : edge[b + 1]], n[edge[b] : edge[b + 1]]) for b in some], pa.binary())})
+        trim()
 
-    counts = scratch.save("counts", docs.select("text").mapInArrow(prefixes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT))
-    steps = [FREQUENT << i for i in range(40)]
-    row = counts.agg(*[F.sum((F.col("n") >= t).cast("long")) for t in steps]).first()
-    least = next((t for i, t in enumerate(steps) if (row[i] or 0) <= 1 << (BITS - 3)), steps[-1])
-    frequent = spark.sparkContext.broadcast(bitmap(counts.filter(F.col("n") >= least), "h"))
+    return run
 
-    def signatures(batches):
-        for batch in chunks(batches):
+
+def _frequent(batches):
+    """Of rows sorted by b: the shingles that occur FREQUENT times or more."""
+    for rows in runs(batches, "b"):
+        parts = [unpack(blob(r)) for r in rows]
+        h, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.bincount(which.reshape(-1), np.concatenate([p[1] for p in parts])).astype(np.int64)
+        often = np.flatnonzero(n >= FREQUENT)
+        for a in range(0, len(often), 100_000):
+            part = often[a : a + 100_000]
+            yield rows_of({"h": (h[part].view(np.int64), pa.int64()), "n": (n[part], pa.int64())})
+    trim()
+
+
+def _signed(k: int, num: int, den: int, buckets: int, frequent):
+    """Rows of two kinds: each document's signature (b null), and the postings of its group packed by bucket."""
+
+    def run(batches):
+        for batch in chunks(batches, limit=PIECE):
             size, early, cls, group, prefix, parity = [], [], [], [], [], []
             for part in text_sets(batch, k):
                 n = len(part)
@@ -144,93 +163,180 @@ def similar_rows(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85
                 group.append(_list_hash(ordered, n))
                 prefix.append(ordered)
                 parity.append(_parity(part))
-            sketch = np.stack(parity, axis=1) if parity else np.zeros((len(_SKETCH), 0), np.int64)
-            at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            flat = signed(np.concatenate(prefix)) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(early, pa.int64()), pa.array(cls, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *[pa.array(p) for p in sketch]],
-                names=["doc_id", "text_hash", "n", "early", "cls", "grp", "prefix", *_SKETCH],
-            )
-
-    sig = scratch.save("signatures", docs.mapInArrow(signatures, "doc_id long, text_hash long, n long, early long, cls long, grp long, prefix array<long>, " + ", ".join(f"{p} long" for p in _SKETCH)))
-    full = sig.filter("n > 0")
-    # a group is named by its least class
-    groups = scratch.save("groups", full.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("early").alias("early"), F.first("prefix").alias("prefix")))
-    posts = groups.select(F.posexplode("prefix").alias("pos", "h"), "rep", "early").select("h", "rep", "pos", (F.col("pos") >= F.col("early")).alias("late"))
-    # a shingle is frequent everywhere or nowhere; one that is not has few postings, which one shuffle settles
-    ends = (F.min("rep").alias("center"), F.max("rep").alias("other"))
-    few = Window.partitionBy("h")
-    rare = posts.filter("not late").withColumns({"center": F.min("rep").over(few), "other": F.max("rep").over(few)}).filter("center < other")
-    common = posts.filter("late")
-    common = common.join(common.groupBy("h").agg(*ends).filter("center < other"), "h")
-    posts = scratch.save("postings", rare.unionByName(common).select("h", "rep", "pos", "late", "center"))
-    classes = full.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("grp", "n", *_SKETCH)])
-    least_class = full.groupBy("grp").agg(F.min("cls").alias("rep"))
-    classes = scratch.save("classes", classes.join(least_class, "grp").select("cls", "rep", "n", *_SKETCH))
+            sketch = np.stack(parity, axis=1)
+            none = {c: pa.nulls(batch.num_rows, t) for c, t in (("b", pa.int32()), ("body", pa.binary()))}
+            own = {"n": pa.array(size, pa.int64()), "cls": pa.array(cls, pa.int64()), "grp": pa.array(group, pa.int64()), **dict(zip(_SKETCH, map(pa.array, sketch), strict=True))}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), **own, **none})
+            size, early, group = np.array(size), np.array(early), np.array(group, np.int64).view(U64)
+            _, one = np.unique(group, return_index=True)
+            one = one[size[one] > 0]
+            if len(one) == 0:
+                continue
+            length = np.array([len(prefix[i]) for i in one])
+            h, of = np.concatenate([prefix[i] for i in one]), np.repeat(np.arange(len(one)), length)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
+            bucket = bucket_of(h, buckets)
+            order = np.lexsort((of, bucket))
+            h, of, pos = h[order], of[order], pos[order]
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            some, body = [], []
+            for b in range(buckets):
+                here = slice(edge[b], edge[b + 1])
+                if edge[b + 1] > edge[b]:
+                    used, times = np.unique(of[here], return_counts=True)
+                    some.append(b)
+                    body.append(pack(group[one[used]], size[one[used]], early[one[used]], times, h[here], pos[here]))
+            m = len(some)
+            empty = {c: pa.nulls(m, pa.int64()) for c in ("doc_id", "text_hash", *own)}
+            yield pa.RecordBatch.from_pydict({**empty, "b": pa.array(some, pa.int32()), "body": pa.array(body, pa.binary())})
+        trim()
+
+    return run
+
+
+def _postings(num: int, den: int):
+    """Of rows sorted by b: (h, grp, n, pos, late) of shingles that several groups of fitting sizes share.
+
+    A posting stays if the group next in size under its shingle is near enough in size; where
+    there are just two, also if enough of both sets follows the shingle.
+    """
+
+    def run(batches):
+        for rows in runs(batches, "b"):
+            parts = [unpack(blob(r)) for r in rows]
+            times = [p[3].astype(np.int64) for p in parts]
+            grp, n, early = (np.concatenate([np.repeat(p[i], t) for p, t in zip(parts, times, strict=True)]) for i in range(3))
+            h, pos = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
+            n, pos, late = n.astype(np.int64), pos.astype(np.int64), pos >= early
+            del parts, times, early
+            order = np.lexsort((grp, n, h))
+            h, grp, n, pos, late = (x[order] for x in (h, grp, n, pos, late))
+            keep = np.ones(len(h), bool)
+            keep[1:] = (h[1:] != h[:-1]) | (grp[1:] != grp[:-1])  # a group that several pieces hold is one
+            h, grp, n, pos, late = (x[keep] for x in (h, grp, n, pos, late))
+            near = (h[1:] == h[:-1]) & (num * n[1:] <= den * n[:-1])
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            pair = first[np.diff(np.concatenate([first, [len(h)]])) == 2]
+            need = -(-num * (n[pair] + n[pair + 1]) // (num + den))
+            near[pair] &= np.minimum(n[pair] - pos[pair], n[pair + 1] - pos[pair + 1]) >= need
+            stay = np.zeros(len(h), bool)
+            stay[1:] |= near
+            stay[:-1] |= near
+            stay = np.flatnonzero(stay)
+            for a in range(0, len(stay), 100_000):
+                part = stay[a : a + 100_000]
+                yield rows_of({"h": (h[part].view(np.int64), pa.int64()), "grp": (grp[part].view(np.int64), pa.int64()), "n": (n[part], pa.int64()), "pos": (pos[part], pa.int64()), "late": (late[part], pa.bool_())})
+        trim()
+
+    return run
+
+
+def similar_rows(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, text_hash, n, comp) of every row of docs: the number of its shingles, and what names its component where that is not 0."""
+    scratch = scratch or Scratch(spark, "jaccard")
+    docs = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
+    buckets = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
+    counts = by_bucket(docs.select("text").mapInArrow(_counted(k, num, den, buckets), "b int, body binary"), buckets)
+    counts = scratch.save("counts", counts.mapInArrow(_frequent, "h long, n long"))
+    steps = [FREQUENT << i for i in range(40)]
+    row = counts.agg(*[F.sum((F.col("n") >= t).cast("long")) for t in steps]).first()
+    least = next((t for i, t in enumerate(steps) if (row[i] or 0) <= 1 << (BITS - 3)), steps[-1])
+    frequent = spark.sparkContext.broadcast(bitmap(counts.filter(F.col("n") >= least), "h"))
+    scratch.release()
+    fields = "doc_id long, text_hash long, n long, cls long, grp long, " + ", ".join(f"{p} long" for p in _SKETCH) + ", b int, body binary"
+    sig = scratch.save("signatures", docs.mapInArrow(_signed(k, num, den, buckets, frequent), fields))
+    posts = by_bucket(sig.filter("b is not null").select("b", "body"), buckets)
+    posts = scratch.save("postings", posts.mapInArrow(_postings(num, den), "h long, grp long, n long, pos long, late boolean"))
+    sig = sig.filter("b is null")
     ids = scratch.save("ids", sig.select("doc_id", "text_hash", "n", "cls"))
-    del sig, full, groups, rare, common, least_class
-    scratch.drop("counts", "signatures", "groups")
+    classes = sig.filter("n > 0").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("grp", "n", *_SKETCH)], F.min("text_hash").alias("text_hash"))
+    classes = scratch.save("classes", classes)
+    del sig, counts
+    scratch.drop("counts", "signatures")
     scratch.release()
-    side = lambda k, name: classes.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}{k}") for c in ("n", *_SKETCH)])
     fits = (F.lit(num) * F.greatest("n1", "n2") <= F.lit(den) * F.least("n1", "n2")) & _near(num, den)
-    stars = posts.filter("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-    stars = stars.unionByName(classes.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")))
-    stars = scratch.save("stars", stars.join(side(1, "a"), "a").join(side(2, "b"), "b").filter(fits).select("a", "b"))
-    links = scratch.save("links", _verify(spark, docs, stars, k, num, den, scratch, "first"))
-    scratch.drop("texts-first", "stars")
-    scratch.release()
-    joined = connected_components(links, scratch, "star")
-    # what stars left apart
-    named = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "n", F.coalesce("component", "cls").alias("comp"), *_SKETCH)
-    named = scratch.save("named", named)
-    spread = lambda d, key: d.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(key)
-    inside = spread(posts.select("h", "rep").join(named.select("rep", "comp"), "rep"), "h")
-    apart = posts.join(inside, "h").select("h", "rep", "pos", "late")
+    side = lambda d, i, name: d.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}{i}") for c in ("n", "comp", *_SKETCH)])
+    named, links, joined, merged, step = classes.withColumn("comp", F.col("cls")), None, None, [], 0
+    while True:
+        # stars: each group with one of each shingle, each class with one of its group, if their components differ
+        groups = named.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(step)), "cls")).alias("c"))
+        groups = scratch.save(f"groups-{step}", groups.select("grp", "lo", "hi", F.col("c.cls").alias("rep")))
+        held = posts.select("h", "grp").join(groups, "grp")
+        centre = held.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct(F.xxhash64("grp", F.lit(step)), "rep")).alias("c"))
+        centre = centre.filter("lo < hi").select("h", F.col("c.rep").alias("b"))
+        stars = held.select("h", F.col("rep").alias("a")).join(centre, "h").filter("a != b").select("a", "b").distinct()
+        inside = named.select("grp", F.col("cls").alias("a")).join(groups.filter("lo < hi").select("grp", F.col("rep").alias("b")), "grp").filter("a != b").select("a", "b")
+        stars = stars.unionByName(inside).join(side(named, 1, "a"), "a").join(side(named, 2, "b"), "b").filter(fits & (F.col("comp1") != F.col("comp2")))
+        stars = scratch.save(f"stars-{step}", stars.select("a", "b"))
+        found = scratch.save(f"links-{step}", _verify(spark, docs, classes, stars, k, num, den, scratch, f"{step}"))
+        merged.append(found.count())
+        links = found if links is None else links.unionByName(found)
+        if merged[-1]:
+            joined = connected_components(links, scratch, f"star{step}")
+            named = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+            named = scratch.save(f"named-{step}", named)
+            scratch.drop(*(f"named-{i}" for i in range(step)))
+        scratch.drop(f"texts-{step}", f"stars-{step}", f"groups-{step}")
+        scratch.release()
+        step += 1
+        if merged[-1] <= merged[0] // 10:  # another round would cost more than the pairs that it spares
+            break
+    # what stars left apart: pairs of groups that fit, then of their classes
+    lone = F.when(F.count("*") == 1, F.first("cls")).alias("one")  # a group of one class is told apart by that class's parities
+    groups = named.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lone, *[F.first(c).alias(c) for c in _SKETCH])
+    groups = scratch.save("groups", groups)
+    held = posts.join(groups.select("grp", "lo", "hi"), "grp")
+    open_ = held.groupBy("h").agg(F.min("lo").alias("l"), F.max("hi").alias("r")).filter("l < r").select("h")
+    apart = posts.join(open_, "h")
     # each posting of a frequent shingle with the group's frequent ones before it, by which a pair knows its first
     none = F.lit(None).cast("array<bigint>")
-    late = apart.filter("late").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("l"))
-    late = late.select("rep", F.expr("transform(l, x -> x.h)").alias("s"), F.posexplode("l").alias("i", "x"))
-    late = late.select(F.col("x.h").alias("h"), "rep", F.col("x.pos").alias("pos"), F.expr("slice(s, 1, i)").alias("before"))
-    apart = apart.filter("not late").select("h", "rep", "pos", none.alias("before")).unionByName(late)
-    apart = apart.join(named, "rep").withColumn("lone", F.lit(False))
-    lone = named.join(spread(named, "rep"), "rep").withColumns({"h": F.col("rep"), "pos": F.lit(0), "before": none, "lone": F.lit(True)})
-    apart = scratch.save("apart", apart.unionByName(lone))
-    own = ("cls", "rep", "n", "pos", "comp", "before", *_SKETCH)
-    x, y = (apart.select("h", "lone", *[F.col(c).alias(f"{c}{k}") for c in own]) for k in (1, 2))
+    late = apart.filter("late").groupBy("grp", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("l"))
+    late = late.select("grp", "n", F.expr("transform(l, x -> x.h)").alias("s"), F.posexplode("l").alias("i", "x"))
+    late = late.select(F.col("x.h").alias("h"), "grp", "n", F.col("x.pos").alias("pos"), F.expr("slice(s, 1, i)").alias("before"))
+    apart = apart.filter("not late").select("h", "grp", "n", "pos", none.alias("before")).unionByName(late)
+    apart = scratch.save("apart", apart.join(groups, "grp"))
+    own = ("grp", "n", "pos", "before", "lo", "hi", "one", *_SKETCH)
+    x, y = (apart.select("h", *[F.col(c).alias(f"{c}{i}") for c in own]) for i in (1, 2))
     need = F.ceil(F.lit(num) * (F.col("n1") + F.col("n2")) / F.lit(num + den))
-    rest = x.join(y, ["h", "lone"]).filter(
-        (F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & ((F.col("rep1") == F.col("rep2")) == F.col("lone"))
-        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need) & fits & F.coalesce(~F.arrays_overlap("before1", "before2"), F.lit(True))
+    pairs = x.join(y, "h").filter(
+        (F.col("grp1") < F.col("grp2")) & (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")) & (F.lit(num) * F.greatest("n1", "n2") <= F.lit(den) * F.least("n1", "n2"))
+        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need) & (F.col("one1").isNull() | F.col("one2").isNull() | _near(num, den))
+        & F.coalesce(~F.arrays_overlap("before1", "before2"), F.lit(True))
     )
-    rest = scratch.save("rest", rest.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct())
-    del apart, late, x, y, inside, lone
+    pairs = scratch.save("pairs", pairs.select("grp1", "grp2").distinct())
     scratch.drop("postings", "apart")
+    mixed = groups.filter("lo < hi").select(F.col("grp").alias("grp1"), F.col("grp").alias("grp2"))
+    of = lambda i, name: side(named, i, name).join(named.select(F.col("cls").alias(name), F.col("grp").alias(f"grp{i}")), name)
+    rest = pairs.unionByName(mixed).join(of(1, "a"), "grp1").join(of(2, "b"), "grp2")
+    rest = rest.filter(((F.col("grp1") != F.col("grp2")) | (F.col("a") < F.col("b"))) & (F.col("comp1") != F.col("comp2")) & fits)
+    rest = scratch.save("rest", rest.select("a", "b"))
+    del apart, late, x, y, held, open_, posts
     scratch.release()
     if not rest.isEmpty():
-        more = scratch.save("more", _verify(spark, docs, rest, k, num, den, scratch, "second"))
+        more = scratch.save("more", _verify(spark, docs, classes, rest, k, num, den, scratch, "rest"))
         joined = connected_components(links.unionByName(more), scratch, "all")
-    of = ids.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "cls").alias("comp"))
-    of = scratch.save("members", of)
-    scratch.drop("ids", "classes", "links", "named", "rest", "texts-second")
-    return of
+    out = ids.withColumn("component", F.lit(None).cast("long")) if joined is None else ids.join(joined.withColumnRenamed("node", "cls"), "cls", "left")
+    out = scratch.save("members", out.select("doc_id", "text_hash", "n", F.coalesce("component", "cls").alias("comp")))
+    scratch.drop("ids", "classes", "groups", "pairs", "rest", "more", "texts-rest", *(f"{x}-{i}" for i in range(step) for x in ("named", "links")))
+    return out
 
 
-def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+def _verify(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold."""
-    asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c")))
-    wanted = spark.sparkContext.broadcast(bitmap(asked, "c"))
+    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    asked = scratch.save(f"asked-{name}", classes.select("cls", "text_hash").join(asked, "cls", "left_semi"))
+    wanted = spark.sparkContext.broadcast(bitmap(asked, "text_hash"))
 
     def pick(batches):
         for batch in chunks(batches):
-            cls = np.fromiter((_set_hash(p) if len(p) else 0 for p in text_sets(batch, k)), np.int64, batch.num_rows)
-            keep = in_bitmap(wanted.value, cls.view(U64))
-            rows = np.flatnonzero(keep)
-            _, first = np.unique(cls[rows], return_index=True)  # one text of each class in this piece
-            rows = rows[np.sort(first)]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), batch.column("text").take(pa.array(rows))], names=["c", "text"])
+            hashes = batch.column("text_hash").to_numpy()
+            rows = np.flatnonzero(in_bitmap(wanted.value, hashes.view(U64)))
+            _, first = np.unique(hashes[rows], return_index=True)  # one text of each hash in this piece
+            yield batch.take(pa.array(rows[np.sort(first)]))
 
-    texts = docs.select("text").mapInArrow(pick, "c long, text string").join(asked.distinct(), "c", "left_semi")
-    texts = scratch.save(f"texts-{name}", texts.groupBy("c").agg(F.min("text").alias("text")))
+    texts = docs.select("text_hash", "text").mapInArrow(pick, "text_hash long, text string").join(asked, "text_hash")
+    texts = scratch.save(f"texts-{name}", texts.groupBy("cls").agg(F.min("text").alias("text")))
+    scratch.drop(f"asked-{name}")
 
     def check(batches):
         for batch in batches:
@@ -241,8 +347,8 @@ def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, num:
                 union = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64) - both
                 yield part.select(["a", "b"]).filter(pa.array(den * both >= num * union))
 
-    with_a = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+    with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
+    with_b = with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     return with_b.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 

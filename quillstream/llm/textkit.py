@@ -194,10 +194,6 @@ def trim() -> None:
         give(0)
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 class KeyIndex:
     """Open-addressing index of distinct 64-bit keys: find() gives each query's position or -1."""
 

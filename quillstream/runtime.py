@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 import zipfile
@@ -12,11 +11,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to Python, whatever the number of rows.
+BATCH_BYTES = 13 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once per application."""
+    """Make this package importable on every executor, once per application; bound Arrow batches by bytes."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
@@ -29,10 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a local one is set."""
+    """The folder all executors share (spark.checkpoint.dir); where it is unset in local mode, as in tests, a local one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.environ.get("QUILLSTREAM_SHARED") or "file://" + tempfile.mkdtemp(prefix="quillstream-shared-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quillstream-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

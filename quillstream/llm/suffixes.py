@@ -9,17 +9,17 @@ doc_id, or further left in the same document. Documents are UTF-8 bytes.
    contexts have the same anchor: anchors that occur once are done.
 2. Equal contexts collapse: all but the earliest lose all their windows' bytes.
 3. Distinct contexts of one anchor are cut to the windows whose hash occurs in
-   another of them; equal cuts collapse the same way.
+   another of them; equal cuts collapse by their bytes. Anchors with more than GROUP
+   contexts, which no task should hold, do so by shuffles (see _hot_groups).
 4. What is left of each anchor goes into one suffix array, built by the linear
    grouping construction below; neighbours that share WINDOW bytes are one string,
    and all its windows but the earliest lose their bytes.
-   Anchors with more than GROUP contexts, which no task should hold, are salted and
-   resolved instead by their windows' 64-bit hashes: within each salted part first,
-   then by an aggregation over what the parts have left.
 
 Null texts are empty. Documents without an id count as the smallest. Rows of one id
 are ordered by a hash of their texts; rows that repeat id and text are one document,
-and each returns its result. Hashes have 64 bits.
+and each returns its result. An empty table gives an empty result. Hashes have 64 bits;
+contexts count as equal by the hash of their anchor and their own, cuts and windows by
+their bytes.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
+from .exchange import blob, bucket_of, by_bucket, pack, rows_of, runs, unpack
+from .jaccard import bitmap, in_bitmap
 from .textkit import _BYTE, _COMBINE, Tally, chunks, mix, powers, ragged, text_buffer
 
 WINDOW, KGRAM, GROUP = 100, 40, 256
@@ -202,19 +204,6 @@ def _contexts(buf: np.ndarray, offsets: np.ndarray, base: int):
     return anchor[spot[first]], ctx, text, base + i0, i1 - i0 + 1
 
 
-def _bits(keys: DataFrame, column: str) -> np.ndarray:
-    at = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
-    rows = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (BITS - 6), U64)
-    out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(U64)
-    return out
-
-
-def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    low = hashes & U64((1 << BITS) - 1)
-    return (bits[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1) > 0
-
-
 def _window_hashes(buf: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n = len(buf)
     sums = np.zeros(n + 1, U64)
@@ -305,30 +294,97 @@ def _runs(found: list[tuple[int, int]]):
         i = j + 1
 
 
-def _hot(batches):
-    """Rows (g, salt, d, th, i0, bytes), sorted by g and salt, to windows.
+def _window_pieces(buckets: int):
+    """The distinct window hashes of rows' bytes with their counts, packed by bucket."""
 
-    Within a piece of a salted group each distinct window leaves one row (wh, its
-    earliest place); the others are spans (wh null) that are known to go.
-    """
-    for batch in chunks(batches, "bytes", 1 << 20):
+    def run(batches):
+        for batch in chunks(batches, "bytes", PART):
+            buf, offsets = text_buffer(batch.column("bytes"))
+            h, n = np.unique(_window_hashes(buf, offsets[:-1], np.diff(offsets) - WINDOW + 1), return_counts=True)
+            edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1)).tolist()
+            some = [b for b in range(buckets) if edge[b + 1] > edge[b]]
+            yield rows_of({"b": (some, pa.int32()), "body": ([pack(h[edge[b] : edge[b + 1]], n[edge[b] : edge[b + 1]]) for b in some], pa.binary())})
+
+    return run
+
+
+def _window_repeats(batches):
+    """Of rows sorted by b: the window hashes that occur twice."""
+    for rows in runs(batches, "b"):
+        parts = [unpack(blob(r)) for r in rows]
+        h, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.bincount(which.reshape(-1), np.concatenate([p[1] for p in parts]))
+        yield rows_of({"h": (h[n > 1].view(np.int64), pa.int64())})
+
+
+def _cut(repeated):
+    """Each row's runs of windows that may occur twice (false hits only cost work), as rows of their own."""
+
+    def run(batches):
+        for batch in chunks(batches, "bytes", PART):
+            buf, offsets = text_buffer(batch.column("bytes"))
+            counts = np.diff(offsets) - WINDOW + 1
+            hit = in_bitmap(repeated.value, _window_hashes(buf, offsets[:-1], counts))
+            row = np.repeat(np.arange(len(counts)), counts)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            hits = np.flatnonzero(hit)
+            edge = np.ones(len(hits), bool)
+            edge[1:] = (hits[1:] != hits[:-1] + 1) | (row[hits[1:]] != row[hits[:-1]])
+            first = np.flatnonzero(edge)
+            n = np.diff(np.concatenate([first, [len(hits)]]))
+            own, start = row[hits[first]], at[hits[first]]
+            yield _strings(batch, own, buf, offsets[own] + start, n, start)
+
+    return run
+
+
+def _strings(batch: pa.RecordBatch, own: np.ndarray, buf: np.ndarray, first: np.ndarray, n: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Rows (g, d, th, i0, bytes) of n windows each, cut out of rows `own` of a batch."""
+    length = n + WINDOW - 1
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    body = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(buf[ragged(first, length)].tobytes())])
+    take = lambda c: batch.column(c).to_numpy()[own]
+    return pa.RecordBatch.from_arrays([pa.array(take("g")), pa.array(take("d")), pa.array(take("th")), pa.array(take("i0") + start), body], names=["g", "d", "th", "i0", "bytes"])
+
+
+def _single(batches):
+    """Every window of rows (g, d, th, i0, bytes) as a row of its own."""
+    for batch in chunks(batches, "bytes", 1 << 14):
         buf, offsets = text_buffer(batch.column("bytes"))
         counts = np.diff(offsets) - WINDOW + 1
-        hashes = _window_hashes(buf, offsets[:-1], counts)
-        row = np.repeat(np.arange(len(counts)), counts)
-        d, th, i0 = (batch.column(c).to_numpy() for c in ("d", "th", "i0"))
-        i = i0[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        order = np.lexsort((i, th[row], d[row], hashes))
-        first = np.ones(len(order), bool)
-        first[1:] = hashes[order][1:] != hashes[order][:-1]
-        one = order[first]
-        known = np.sort(order[~first])
-        edge = np.ones(len(known), bool)
-        edge[1:] = (known[1:] != known[:-1] + 1) | (row[known[1:]] != row[known[:-1]])
-        run = known[edge]
-        length = np.diff(np.concatenate([np.flatnonzero(edge), [len(known)]]))
-        for wh, at, n in ((pa.array(hashes[one].view(np.int64)), one, np.ones(len(one), np.int64)), (pa.nulls(len(run), pa.int64()), run, length)):
-            yield pa.RecordBatch.from_arrays([wh, pa.array(d[row[at]]), pa.array(th[row[at]]), pa.array(i[at]), pa.array(n)], names=["wh", "d", "th", "i0", "n"])
+        own = np.repeat(np.arange(len(counts)), counts)
+        start = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+        yield _strings(batch, own, buf, offsets[own] + start, np.ones(len(own), np.int64), start)
+
+
+def _collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spans of rows (g, d, th, i0, bytes) whose bytes an earlier row of g has; and the earliest row of each (g, bytes)."""
+    place = F.struct("d", "th", "i0")
+    first = rows.groupBy("g", "bytes").agg(F.min(place).alias("f"), F.count("*").alias("times"))
+    late = rows.join(first.filter("times > 1").select("g", "bytes", "f"), ["g", "bytes"]).filter(place != F.col("f"))
+    return late.select("d", "th", "i0", (F.octet_length("bytes") - WINDOW + 1).cast("long").alias("n")), first.select("g", "f.d", "f.th", "f.i0", "bytes")
+
+
+def _hot_groups(spark: SparkSession, hot: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Anchors with many contexts: (spans found, rows that are left for the suffix array).
+
+    Contexts are cut to the windows that occur twice, and equal cuts collapse by their
+    bytes; that usually leaves few strings of an anchor. Of an anchor that still has more
+    than GROUP, every window becomes a row and collapses by its bytes.
+    """
+    size = hot.agg(F.count("*"), F.sum(F.octet_length("bytes"))).first()
+    if not size[0]:
+        return [], hot
+    buckets = max(1, -(-size[1] // (4 << 20)))
+    windows = by_bucket(hot.select("bytes").mapInArrow(_window_pieces(buckets), "b int, body binary"), buckets)
+    repeated = spark.sparkContext.broadcast(bitmap(windows.mapInArrow(_window_repeats, "h long"), "h"))
+    cut = scratch.save("cut", hot.mapInArrow(_cut(repeated), "g long, d long, th long, i0 long, bytes binary"))
+    late, strings = _collapse(cut)
+    strings = scratch.save("strings", strings)
+    many = strings.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP).select("g")
+    few, rest = strings.join(many, "g", "left_anti"), strings.join(many, "g", "left_semi")
+    single = scratch.save("single", rest.mapInArrow(_single, "g long, d long, th long, i0 long, bytes binary"))
+    return [late, _collapse(single)[0]], few
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -341,13 +397,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Da
         yield from tally.flush()
 
     counted = docs.select("text").mapInArrow(count_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    twice = spark.sparkContext.broadcast(_bits(counted.filter("n > 1"), "h"))
+    twice = spark.sparkContext.broadcast(bitmap(counted.filter("n > 1"), "h", BITS))
 
     def occurrences(batches):
         for batch in chunks(batches, limit=PART):
             buf, offsets = text_buffer(batch.column("text"))
             g, c, text, i0, n = contexts(buf, offsets)
-            keep = np.flatnonzero(_has(twice.value, g))
+            keep = np.flatnonzero(in_bitmap(twice.value, g))
             text = text[keep]
             d, th = (batch.column(x).to_numpy()[text] for x in ("d", "th"))
             columns = [g[keep].view(np.int64), c[keep].view(np.int64), d, th, i0[keep] - offsets[text], n[keep]]
@@ -356,16 +412,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Da
     occ = scratch.save("occurrences", docs.mapInArrow(occurrences, "g long, c long, d long, th long, i0 long, n long"))
     first = scratch.save("first", occ.groupBy("g", "c").agg(F.min(F.struct("d", "th", "i0")).alias("f"), F.count("*").alias("times"), F.first("n").alias("n")))
     # every occurrence of a context but the earliest goes
-    late = occ.join(first.filter("times > 1").select("c", "f"), "c").filter(F.struct("d", "th", "i0") != F.col("f")).select("d", "th", "i0", "n")
+    late = occ.join(first.filter("times > 1").select("g", "c", "f"), ["g", "c"]).filter(F.struct("d", "th", "i0") != F.col("f")).select("d", "th", "i0", "n")
     several = first.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
     mixed = scratch.save("mixed", first.join(several, "g").select("g", "c", "m", "f.d", "f.th", "f.i0"))
-    wanted = spark.sparkContext.broadcast(_bits(mixed, "c"))
+    wanted = spark.sparkContext.broadcast(bitmap(mixed, "c", BITS))
 
     def fetch(batches):
         for batch in chunks(batches, limit=PART):
             buf, offsets = text_buffer(batch.column("text"))
             g, c, text, i0, n = contexts(buf, offsets)
-            keep = np.flatnonzero(_has(wanted.value, c))
+            keep = np.flatnonzero(in_bitmap(wanted.value, c))
             _, one = np.unique(c[keep], return_index=True)
             keep = keep[one]
             length = n[keep] + WINDOW - 1
@@ -376,16 +432,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> Da
 
     bodies = docs.select("text").mapInArrow(fetch, "c long, bytes binary").groupBy("c").agg(F.min("bytes").alias("bytes"))
     rows = scratch.save("bodies", mixed.join(bodies, "c").select("g", "m", "d", "th", "i0", "bytes"))
-    usual = rows.filter(F.col("m") <= GROUP).select("g", "d", "th", "i0", "bytes")
-    usual = usual.repartition("g").sortWithinPartitions("g").mapInArrow(_resolve, "d long, th long, i0 long, n long")
-    hot = rows.filter(F.col("m") > GROUP).withColumn("salt", F.pmod(F.xxhash64("d", "th", "i0"), F.ceil(F.col("m") / GROUP)))
-    hot = hot.repartition("g", "salt").sortWithinPartitions("g", "salt").select("d", "th", "i0", "bytes").mapInArrow(_hot, "wh long, d long, th long, i0 long, n long")
-    hot = scratch.save("hot", hot)
-    single = hot.filter("wh is not null")
-    owner = single.groupBy("wh").agg(F.min(F.struct("d", "th", "i0")).alias("f"), F.count("*").alias("k")).filter("k > 1").select("wh", "f")
-    single = single.join(owner, "wh").filter(F.struct("d", "th", "i0") != F.col("f")).select("d", "th", "i0", "n")
-    hot = hot.filter("wh is null").select("d", "th", "i0", "n").unionByName(single)
-    spans = late.unionByName(usual).unionByName(hot)
+    found, few = _hot_groups(spark, rows.filter(F.col("m") > GROUP).drop("m"), scratch)
+    strings = rows.filter(F.col("m") <= GROUP).drop("m").unionByName(few)
+    spans = late.unionByName(strings.repartition("g").sortWithinPartitions("g").mapInArrow(_resolve, "d long, th long, i0 long, n long"))
+    for more in found:
+        spans = spans.unionByName(more)
     return spans.groupBy("d", "th").agg(F.collect_list(F.struct("i0", "n")).alias("spans"))
 
 
@@ -395,7 +446,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, scratch: Scratch | No
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = scratch.save("spans", repeated_spans(spark, docs.select("d", "th", "text"), scratch))
-    scratch.drop("occurrences", "first", "mixed", "bodies", "hot")
+    scratch.drop("occurrences", "first", "mixed", "bodies", "cut", "strings", "single")
 
     def remove(batches):
         for batch in chunks(batches, limit=PART):

@@ -4,26 +4,27 @@ Texts and items are sequences of words (runs of letters and digits, A-Z folded).
 A document is searched for windows within word edit distance floor(MAX_EDITS * n)
 of an item of n words.
 
-1. Windows. By the q-gram lemma a window that close to the item shares at least
-   n-2-3k of its word trigrams (k edits; of its word pairs n-1-2k where that leaves
-   no trigram) with offsets that differ by at most k; only item-sized windows with
-   that many hits are looked at. This loses nothing.
-2. CGK. Each window and item is embedded by WALKS random walks over shared random
-   bits: the walk copies the current word and moves on if the bit says so. Edit
-   distance k becomes Hamming distance of O(k*k) with constant probability.
-3. LSH. TABLES times per walk, SAMPLES of the first 1.5 n positions of the embedding,
-   which carry words, are hashed; a window and an item that agree in any table are
-   a candidate. The tables are repeated until a pair at the limit is found with
-   probability RECALL or more (measured in the tests, as is the share of unrelated
-   pairs). A window and the item it shares the grams of step 1 with are a candidate
-   too, so that nothing is lost where no table agrees.
-4. The word edit distance of each candidate is computed exactly, as the least over
-   the passages of the text that begin and end within k words of the window.
+1. CGK. Every item and the window of its size at every word of a text are embedded by
+   WALKS random walks: a walk copies the current word and moves on if the word's random
+   bit of that step says so. Few word edits leave most places of the embedding alike.
+   Every other walk reads from the window's end to its start, so edits that crowd
+   at one end do not spoil all walks. A walk from a word is the same for windows of
+   all sizes, so it is taken once, for all items.
+2. LSH. TABLES names the places that are sampled of each embedding, two for a table.
+   A window and an item that agree in all places of a table are a candidate. Tables
+   that would sample one word of an item twice, or a place beyond its end, leave that
+   item out. Only places early in the walk are sampled, so that the walks are short; the
+   tables were repeated until items at the edit limit are found with probability RECALL
+   or more (the tests measure it for substitutions, insertions, deletions and mixes).
+3. A candidate of which fewer than n less the limit words occur in the item cannot be
+   one and goes. Of the rest the word edit distance is computed exactly, as the least
+   over the passages of the text that begin and end within k words of the window.
 
 Null or empty texts and items match nothing; items of fewer than 5 words must occur
-exactly. Repeated rows each count; of several windows for one (document, item) the
-nearest, then the first, is returned. Items of any length are handled in blocks of
-ITEM_BLOCK and ITEM_BYTES, so what is broadcast is bounded.
+exactly and are found by the hash of all their words. Repeated rows each count; of
+several windows for one (document, item) the nearest, then the first, is returned. Items
+of any length are handled in blocks of ITEM_BLOCK and ITEM_BYTES, so what is broadcast
+is bounded. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import keep_rows, table, texts
-from .textkit import _COMBINE, KeyIndex, chunks, mix, range_hashes, text_buffer, words
+from .textkit import _COMBINE, chunks, mix, range_hashes, text_buffer, words
 
-MAX_EDITS, WALKS, TABLES, SAMPLES, RECALL = 0.2, 6, 8, 2, 0.95
+MAX_EDITS, WALKS, TABLES, RECALL = 0.2, 4, ((0, 4), (1, 7), (2, 6), (3, 9), (4, 8)), 0.95
 #: Items, and bytes of their texts, in one broadcast block, about.
 ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
 #: Numbers held at a time while windows are embedded or compared.
@@ -55,14 +56,6 @@ def edits_allowed(n: np.ndarray) -> np.ndarray:
     return np.where(n < 5, 0, np.floor(MAX_EDITS * n)).astype(np.int64)
 
 
-def gram_size(n: np.ndarray) -> np.ndarray:
-    """Words of a gram of items of n words: 3, or what still leaves a shared gram after the edits."""
-    q, k = np.minimum(3, n), edits_allowed(n)
-    for _ in range(2):
-        q = np.where((q > 1) & (n - (q - 1) - q * k < 1), q - 1, q)
-    return q
-
-
 def _grams(hashes: np.ndarray, q: int) -> np.ndarray:
     """Hash of the q words from each position (fewer positions than words by q-1)."""
     n = len(hashes) - q + 1
@@ -74,43 +67,30 @@ def _grams(hashes: np.ndarray, q: int) -> np.ndarray:
     return mix(total + U64(q))
 
 
-def embedded_length(width: int) -> int:
-    return (3 * width + 1) // 2
+def cgk(hashes: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
+    """The place of each step's word in the embedding that starts at each word: it moves on by the word's bit of that step.
 
-
-def cgk(rows: np.ndarray, walk: int) -> np.ndarray:
-    """Embeddings of equally long rows of words, half as long again: at half a word a step few rows end before; past its end a row is 0."""
-    n, width = rows.shape
-    steps = embedded_length(width)
-    seeds = mix(np.arange(1, steps + 1, dtype=np.uint64) + U64(walk + 1) * U64(1 << 32))
-    padded = np.concatenate([rows, np.zeros((n, 1), U64)], axis=1)
-    at = np.zeros(n, np.int64)
-    out = np.empty((n, steps), U64)
-    every = np.arange(n)
+    Places stop at the last word. An embedding of a window or item ends where that does.
+    """
+    bits = mix(hashes + mix(np.array([walk + 1], U64)))
+    at = np.arange(len(hashes))
+    out = [at]
     for j in range(steps):
-        here = padded[every, at]
-        out[:, j] = here
-        at = np.minimum(at + (mix(here ^ seeds[j]) & U64(1)).astype(np.int64), width)
+        at = np.minimum(at + ((bits[at] >> U64(j)) & U64(1)).astype(np.int64), len(hashes) - 1)
+        out.append(at)
     return out
 
 
-def lsh_keys(rows: np.ndarray) -> np.ndarray:
-    """One key for each row, walk and table."""
-    width = rows.shape[1]
-    most = max(1, CELLS // embedded_length(width))
-    if len(rows) > most:
-        return np.concatenate([lsh_keys(rows[a : a + most]) for a in range(0, len(rows), most)])
-    keys = []
-    for walk in range(WALKS):
-        rng = np.random.default_rng(1000 * width + walk)
-        embedded = cgk(rows, walk)
-        for table in range(TABLES):
-            at = rng.integers(0, embedded_length(width), SAMPLES)
-            total = np.full(len(rows), U64(((width * WALKS) + walk) * TABLES + table + 1))
-            for j, p in enumerate(at):
-                total = total + mix(embedded[:, p] + U64(j + 1)) * _COMBINE[j]
-            keys.append(mix(total))
-    return np.stack(keys, axis=1)
+def lsh_keys(hashes: np.ndarray, walk: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each table (key, first place, last place) of the window that starts at each word."""
+    if walk % 2:
+        hashes = hashes[::-1]
+    places = cgk(hashes, walk, max(max(t) for t in TABLES))
+    words_at = {j: hashes[places[j]] for t in TABLES for j in t}
+    out = []
+    for t, (a, b) in enumerate(TABLES):
+        out.append((words_at[a] * _COMBINE[2 * t] + words_at[b] * _COMBINE[2 * t + 1], places[a], places[b]))
+    return out
 
 
 def passage_distance(item: np.ndarray, region: np.ndarray) -> np.ndarray:
@@ -135,61 +115,69 @@ class Items:
         self.ids, self.seqs = ids, seqs
         n = np.array([len(s) for s in seqs], np.int64)
         self.n, self.k = n, edits_allowed(n)
-        self.q = gram_size(n)
-        self.longest = int(n.max(initial=1))
-        self.gates = {}
-        for q in (1, 2, 3):
-            own = [i for i in range(len(seqs)) if self.q[i] == q]
-            if not own:
-                continue
-            grams = [_grams(seqs[i], q) for i in own]
-            flat = np.concatenate(grams)
-            item = np.repeat(np.array(own), [len(g) for g in grams])
-            offset = np.concatenate([np.arange(len(g)) for g in grams])
-            order = np.argsort(flat, kind="stable")
-            keys, first, count = np.unique(flat[order], return_index=True, return_counts=True)
-            self.gates[q] = (KeyIndex(keys), first, count, item[order], offset[order])
-        self.lsh = {}
-        for width in np.unique(n).tolist():
-            own = np.flatnonzero(n == width)
-            keys = lsh_keys(np.stack([seqs[i] for i in own]))
-            self.lsh[width] = (own, np.sort(keys.reshape(-1)), np.argsort(keys.reshape(-1), kind="stable") // keys.shape[1])
-
-
-def _windows(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (first word, length, item) of windows that share enough grams with an item of that length."""
+        bits = max(16, len(seqs).bit_length() + 9)
+        self.shift = U64(64 - bits)
+        self.tables = []
+        for walk in range(WALKS):
+            found: list[list[tuple[int, int]]] = [[] for _ in TABLES]
+            for i in np.flatnonzero(n >= 5).tolist():
+                past = np.insert(seqs[i], 0 if walk % 2 else n[i], U64(0))  # a word beyond the end
+                for table, (key, a, b) in zip(found, lsh_keys(past, walk), strict=True):
+                    if a[0] < b[0] < n[i]:
+                        table.append((int(key[0]), i))
+            own = []
+            for table in found:
+                table.sort()
+                keys = np.array([k for k, _ in table], U64)
+                flags = np.zeros(1 << bits, bool)
+                flags[(mix(keys) >> self.shift).astype(np.int64)] = True
+                own.append((flags, keys, np.array([i for _, i in table], np.int64)))
+            self.tables.append(own)
+        # items that must occur exactly, by length
+        self.short = {}
+        for q in range(1, 5):
+            own = np.flatnonzero(n == q)
+            if len(own):
+                keys = np.concatenate([_grams(seqs[i], q) for i in own])
+                order = np.argsort(keys)
+                self.short[q] = (keys[order], own[order])
+        # the words of each item of a length, as keys of (item, word)
+        self.bags = {w: np.sort(np.concatenate([_tagged(np.unique(seqs[i]), np.full(1, i)) for i in np.flatnonzero(n == w)])) for w in np.unique(n).tolist()}
+
+
+def _tagged(words_: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix(words_ + mix(item.astype(U64) + U64(1)))
+
+
+def _among(keys: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in wanted, owner) of every wanted key among the sorted keys."""
+    lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+    m = hi - lo
+    row = np.repeat(np.arange(len(wanted)), m)
+    return row, owner[np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(len(row))]
+
+
+def candidates(items: Items, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distinct rows (text, first word, item) of windows that agree with an item in some table; first words may lie before their text."""
+    size = len(hashes)
     found = []
-    for q, (index, first, count, item, offset) in items.gates.items():
-        grams = _grams(hashes, q)
-        got = index.find(grams)
-        pos = np.flatnonzero(got >= 0)
-        if len(pos) == 0:
-            continue
-        n = count[got[pos]]
-        rows = np.repeat(first[got[pos]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pos = np.repeat(pos, n)
-        it = item[rows]
-        text = np.searchsorted(at, pos, "right") - 1
-        inside = pos + q <= at[text + 1]
-        pos, it, text, rows = pos[inside], it[inside], text[inside], rows[inside]
-        start = pos - offset[rows]
-        # hits of one item by start; those within k starts of each other may be one occurrence
-        span = len(hashes) + 4 * items.longest
-        key = it * span + start + 2 * items.longest
-        order = np.argsort(key, kind="stable")
-        key, it, start, text = key[order], it[order], start[order], text[order]
-        k = items.k[it]
-        near = np.searchsorted(key, key + k, "right") - np.searchsorted(key, key - k, "left")
-        need = np.maximum(1, items.n[it] - (q - 1) - q * k)
-        keep = np.flatnonzero(near >= need)
-        it, start, text = it[keep], start[keep], text[keep]
-        # a window that would leave its text is moved inside; one longer than its text is padded
-        start = np.maximum(np.minimum(start, at[text + 1] - items.n[it]), at[text])
-        found.append(np.unique(np.stack([start, items.n[it], it], 1), axis=0))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = np.concatenate(found)  # items of one length have grams of one size, so no row comes twice
-    return rows[:, 0], rows[:, 1], rows[:, 2]
+    for walk in range(WALKS):
+        if size == 0:
+            break
+        for (key, _, _), (flags, keys, owner) in zip(lsh_keys(hashes, walk), items.tables[walk], strict=True):
+            some = np.flatnonzero(flags[(mix(key) >> items.shift).astype(np.int64)])
+            row, item = _among(keys, owner, key[some])
+            word = some[row]
+            first = word
+            if walk % 2:
+                word = size - 1 - word
+                first = word - items.n[item] + 1
+            found.append(np.stack([np.searchsorted(at, word, "right") - 1, first, item], 1))
+    for q, (keys, owner) in items.short.items():
+        row, item = _among(keys, owner, _grams(hashes, q))
+        text = np.searchsorted(at, row, "right") - 1
+        found.append(np.stack([text, row, item], 1)[row + q <= at[text + 1]])
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
 def _slice(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
@@ -200,32 +188,28 @@ def _slice(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray, n: int) -> n
 
 def search(items: Items, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(text, item, first word of the window, distance) of the nearest window of each text and item within the limit."""
-    start, width, gate = _windows(items, hashes, at)
+    rows = candidates(items, hashes, at)
     best: dict[tuple[int, int], tuple[int, int]] = {}
+    width = items.n[rows[:, 2]]
     for n in np.unique(width).tolist():
-        where, window = np.unique(start[width == n], return_inverse=True)
-        text = np.searchsorted(at, where, "right") - 1
-        own, sorted_keys, owner = items.lsh[n]
-        most = max(1, CELLS // n)
-        keys = np.concatenate([lsh_keys(_slice(hashes, where[a : a + most], at[text[a : a + most] + 1], n)) for a in range(0, len(where), most)])
-        lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-        m = (hi - lo).reshape(-1)
-        r = np.repeat(np.repeat(np.arange(len(where)), keys.shape[1]), m)
-        cell = np.repeat(lo.reshape(-1), m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        shared = np.stack([window, np.searchsorted(own, gate[width == n])], 1)
-        pairs = np.unique(np.concatenate([np.stack([r, owner[cell]], 1), shared]), axis=0)
+        pairs = rows[width == n]
+        k = int(items.k[pairs[0, 2]])
         some = max(1, CELLS // (2 * n))
         for a in range(0, len(pairs), some):
-            part = pairs[a : a + some]
-            target = np.stack([items.seqs[own[i]] for i in part[:, 1]])
-            k = int(items.k[own[0]])
-            low = np.maximum(where[part[:, 0]] - k, at[text[part[:, 0]]])
-            far = passage_distance(target, _slice(hashes, low, at[text[part[:, 0]] + 1], n + 2 * k))
-            for (row, i), d in zip(part.tolist(), far.tolist(), strict=True):
-                it = int(own[i])
-                if d <= items.k[it]:
-                    spot = (int(text[row]), it)
-                    best[spot] = min(best.get(spot, (1 << 30, 0)), (d, int(where[row] - at[text[row]])))
+            text, first, item = pairs[a : a + some].T
+            low = np.maximum(first - k, at[text])
+            region = _slice(hashes, low, at[text + 1], n + 2 * k)
+            bag = items.bags[n]
+            key = _tagged(region, item[:, None])
+            shared = bag[np.minimum(np.searchsorted(bag, key), len(bag) - 1)] == key
+            live = np.flatnonzero(shared.sum(1) >= n - k)
+            if len(live) == 0:
+                continue
+            far = passage_distance(np.stack([items.seqs[i] for i in item[live]]), region[live])
+            for r, d in zip(live.tolist(), far.tolist(), strict=True):
+                if d <= k:
+                    spot = (int(text[r]), int(item[r]))
+                    best[spot] = min(best.get(spot, (1 << 30, 0)), (d, int(max(first[r] - at[text[r]], 0))))
     return [(t, i, s, d) for (t, i), (d, s) in best.items()]
 
 

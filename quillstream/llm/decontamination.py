@@ -38,6 +38,8 @@ from .tables import keep_rows, table, texts
 from .textkit import _COMBINE, chunks, mix, range_hashes, text_buffer, words
 
 MAX_EDITS, WALKS, TABLES, RECALL = 0.2, 4, ((0, 4), (1, 7), (2, 6), (3, 9), (4, 8)), 0.95
+#: Steps of a walk that are taken, and words walked from at a time.
+STEPS, BLOCK = max(max(t) for t in TABLES), 1 << 15
 #: Items, and bytes of their texts, in one broadcast block, about.
 ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
 #: Numbers held at a time while windows are embedded or compared.
@@ -67,30 +69,30 @@ def _grams(hashes: np.ndarray, q: int) -> np.ndarray:
     return mix(total + U64(q))
 
 
-def cgk(hashes: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
-    """The place of each step's word in the embedding that starts at each word: it moves on by the word's bit of that step.
+def cgk(hashes: np.ndarray, walk: int, n: int) -> dict[int, np.ndarray]:
+    """By sampled step the place of the word in the embeddings that start at the first n words; STEPS more words follow.
 
-    Places stop at the last word. An embedding of a window or item ends where that does.
+    The place moves on by the bit that the walk gives the word there and the step.
     """
     bits = mix(hashes + mix(np.array([walk + 1], U64)))
-    at = np.arange(len(hashes))
-    out = [at]
-    for j in range(steps):
-        at = np.minimum(at + ((bits[at] >> U64(j)) & U64(1)).astype(np.int64), len(hashes) - 1)
-        out.append(at)
-    return out
+    at = np.arange(n)
+    out = {0: at}
+    for j in range(STEPS):
+        at = at + ((bits >> U64(j)) & U64(1)).astype(np.uint8)[at]
+        out[j + 1] = at
+    return {j: out[j] for t in TABLES for j in t}
 
 
-def lsh_keys(hashes: np.ndarray, walk: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each table (key, first place, last place) of the window that starts at each word."""
-    if walk % 2:
-        hashes = hashes[::-1]
-    places = cgk(hashes, walk, max(max(t) for t in TABLES))
-    words_at = {j: hashes[places[j]] for t in TABLES for j in t}
-    out = []
-    for t, (a, b) in enumerate(TABLES):
-        out.append((words_at[a] * _COMBINE[2 * t] + words_at[b] * _COMBINE[2 * t + 1], places[a], places[b]))
-    return out
+def lsh_keys(hashes: np.ndarray, walk: int, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each table (key, first place, last place) of the windows that start at the first n words."""
+    places = cgk(hashes, walk, n)
+    words_at = {j: hashes[p] for j, p in places.items()}
+    return [(words_at[a] * _COMBINE[2 * t] + words_at[b] * _COMBINE[2 * t + 1], places[a], places[b]) for t, (a, b) in enumerate(TABLES)]
+
+
+def _directed(hashes: np.ndarray, walk: int) -> np.ndarray:
+    """The words as a walk reads them, and words beyond the end."""
+    return np.concatenate([hashes[::-1] if walk % 2 else hashes, np.zeros(STEPS, U64)])
 
 
 def passage_distance(item: np.ndarray, region: np.ndarray) -> np.ndarray:
@@ -121,8 +123,7 @@ class Items:
         for walk in range(WALKS):
             found: list[list[tuple[int, int]]] = [[] for _ in TABLES]
             for i in np.flatnonzero(n >= 5).tolist():
-                past = np.insert(seqs[i], 0 if walk % 2 else n[i], U64(0))  # a word beyond the end
-                for table, (key, a, b) in zip(found, lsh_keys(past, walk), strict=True):
+                for table, (key, a, b) in zip(found, lsh_keys(_directed(seqs[i], walk), walk, 1), strict=True):
                     if a[0] < b[0] < n[i]:
                         table.append((int(key[0]), i))
             own = []
@@ -130,7 +131,7 @@ class Items:
                 table.sort()
                 keys = np.array([k for k, _ in table], U64)
                 flags = np.zeros(1 << bits, bool)
-                flags[(mix(keys) >> self.shift).astype(np.int64)] = True
+                flags[(keys >> self.shift).astype(np.int64)] = True
                 own.append((flags, keys, np.array([i for _, i in table], np.int64)))
             self.tables.append(own)
         # items that must occur exactly, by length
@@ -162,22 +163,28 @@ def candidates(items: Items, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     size = len(hashes)
     found = []
     for walk in range(WALKS):
-        if size == 0:
-            break
-        for (key, _, _), (flags, keys, owner) in zip(lsh_keys(hashes, walk), items.tables[walk], strict=True):
-            some = np.flatnonzero(flags[(mix(key) >> items.shift).astype(np.int64)])
-            row, item = _among(keys, owner, key[some])
-            word = some[row]
-            first = word
-            if walk % 2:
-                word = size - 1 - word
-                first = word - items.n[item] + 1
-            found.append(np.stack([np.searchsorted(at, word, "right") - 1, first, item], 1))
+        read = _directed(hashes, walk)
+        for x in range(0, size, BLOCK):
+            for (key, _, _), (flags, keys, owner) in zip(lsh_keys(read[x : x + BLOCK + STEPS], walk, min(BLOCK, size - x)), items.tables[walk], strict=True):
+                some = np.flatnonzero(flags[(key >> items.shift).astype(np.int64)])
+                row, item = _among(keys, owner, key[some])
+                word = x + some[row]
+                first = word
+                if walk % 2:
+                    word = size - 1 - word
+                    first = word - items.n[item] + 1
+                found.append(np.stack([np.searchsorted(at, word, "right") - 1, first, item], 1))
     for q, (keys, owner) in items.short.items():
         row, item = _among(keys, owner, _grams(hashes, q))
         text = np.searchsorted(at, row, "right") - 1
         found.append(np.stack([text, row, item], 1)[row + q <= at[text + 1]])
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+    if not found:
+        return np.zeros((0, 3), np.int64)
+    text, first, item = np.concatenate(found).T
+    span, before = size + int(items.n.max(initial=0)), int(items.n.max(initial=0))
+    code = np.unique((text * len(items.n) + item) * span + first + before)  # one number of a row
+    text, item = np.divmod(code // span, len(items.n))
+    return np.stack([text, code % span - before, item], 1)
 
 
 def _slice(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:

@@ -6,12 +6,12 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .values import Value, finite, is_null, literal, number, numeric, string, tag, text, truth
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LAST_SECOND = 253402300799  # 9999-12-31T23:59:59Z
-_ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:.*)$"
+FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799  # 0001-01-01T00:00:00Z and 9999-12-31T23:59:59Z
 
 
 def _num(c: Column) -> Value:
@@ -38,24 +38,35 @@ def concat(*vs: Value) -> Value:
     return _str(F.concat(*parts))
 
 
+#: Widest pad; a wider one gives null.
+WIDEST = 1 << 24
+
+
+def _place(x: Column) -> Column:
+    """A number as a place in a text: at least 0, at most the largest int; null stays."""
+    return F.when(x > 0, F.least(x, F.lit(float(2**31 - 2))).cast("int")).when(x.isNotNull(), F.lit(0))
+
+
 def substr(s: Value, start: Value, n: Value | None = None) -> Value:
-    first = F.greatest(numeric(start), F.lit(0.0)).cast("int")
-    count = F.greatest(numeric(n), F.lit(0.0)).cast("int") if n is not None else F.length(string(s))
-    return _str(F.substring(string(s), first + 1, count))
+    """From a start that cannot be told: null; of a length that cannot: all the rest."""
+    c, first = string(s), _place(numeric(start))
+    count = F.length(c) if n is None else F.coalesce(_place(numeric(n)), F.length(c))
+    return _str(F.when(first < F.length(c), F.substring(c, first + 1, count)).when(first.isNotNull() & c.isNotNull(), F.lit("")))
 
 
 def pad(side):
     def build(s: Value, n: Value, ch: Value | None = None) -> Value:
-        width, fill = numeric(n).cast("int"), F.substring(string(ch), 1, 1) if ch is not None else F.lit(" ")
+        width, fill = numeric(n), F.substring(string(ch), 1, 1) if ch is not None else F.lit(" ")
         c = string(s)
-        return _str(F.when(F.octet_length(c) >= width, c).otherwise(side(c, width, fill)))
+        return _str(F.when(F.octet_length(c) >= width, c).when(width <= WIDEST, side(c, F.when(width <= WIDEST, width).cast("int"), fill)))
 
     return build
 
 
 def split(s: Value, d: Value) -> Value:
     c = string(d)
-    return Value("array", F.when(c != "", F.split(string(s), F.concat(F.lit(r"\Q"), c, F.lit(r"\E")), -1)))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return Value("array", F.when(c != "", F.split(string(s), quoted, -1)), type=T.ArrayType(T.StringType()))
 
 
 def round_(x: Value, d: Value | None = None) -> Value:
@@ -107,17 +118,24 @@ def if_has(f: Value, then: Value, other: Value | None = None) -> Value:
 
 
 def seconds(v: Value) -> Column:
-    s = string(v)
-    part = lambda i: F.regexp_extract(s, _ISO, i).try_cast("int")
-    clock = r"^.{10}[T ](\d{2}):(\d{2}):(\d{2})"
-    y, m, d = part(1), part(2), part(3)
+    if v.time is not None:
+        return F.unix_seconds(v.time)
+    return _seconds(string(v))
+
+
+def _seconds(s: Column) -> Column:
+    """Seconds of a text; one expression over the places of its fields, without regular expressions per field."""
+    part = lambda at, n: F.substring(s, at, n).try_cast("int")
+    y, m, d = part(1, 4), part(6, 2), part(9, 2)
     ok = s.rlike(r"^\d{4}-\d{2}-\d{2}") & m.between(1, 12) & d.between(1, 31)
     days = F.unix_date(F.make_date(F.when(ok, y), F.when(ok, m), F.lit(1))) + d - 1
-    at = lambda i: F.coalesce(F.regexp_extract(s, clock, i).try_cast("int"), F.lit(0))
-    return F.when(ok, days.cast("bigint") * 86400 + at(1) * 3600 + at(2) * 60 + at(3))
+    clock = F.when(s.rlike(r"^.{10}[T ]\d{2}:\d{2}:\d{2}"), part(12, 2) * 3600 + part(15, 2) * 60 + part(18, 2))
+    return F.when(ok, days.cast("bigint") * 86400 + F.coalesce(clock, F.lit(0)))
 
 
 def epoch(v: Value) -> Column:
+    if v.time is not None:
+        return seconds(v)
     return F.coalesce(F.floor(number(v).cast("double")).cast("bigint") if v.kind in ("number", "variant") else F.lit(None).cast("bigint"), seconds(v))
 
 
@@ -127,8 +145,8 @@ def from_seconds(n: Column) -> Value:
 
 
 def date_part(ts: Value, part: Value) -> Value:
-    t = F.timestamp_seconds(epoch(ts))
-    name = string(part)
+    n, name = epoch(ts), string(part)
+    t = F.timestamp_seconds(F.when(n.between(FIRST_SECOND, LAST_SECOND), n)) if ts.time is None else ts.time
     out = F.when(name == "year", F.year(t)).when(name == "month", F.month(t)).when(name == "day", F.dayofmonth(t)).when(name == "hour", F.hour(t))
     return _num(out.when(name == "minute", F.minute(t)).when(name == "second", F.second(t)).when(name == "epoch", epoch(ts)).cast("double"))
 

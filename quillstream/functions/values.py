@@ -24,6 +24,9 @@ class Value:
     col: Column
     exists: Column | None = None  # None: always there
     field: bool = False
+    type: T.DataType | None = None  # of a typed column
+    time: Column | None = None  # the timestamp whose text this is
+    schema: Column | None = None  # of a variant, where it is already computed
 
     @property
     def there(self) -> Column:
@@ -47,11 +50,13 @@ def kind_of(t: T.DataType) -> str:
 
 
 def column_value(col: Column, t: T.DataType) -> Value:
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(t, T.TimestampType):
+        return Value("string", F.date_format(col, ISO), field=True, type=t, time=col)
+    if isinstance(t, T.TimestampNTZType):
         return Value("string", F.date_format(col, ISO), field=True)
     if isinstance(t, T.DateType):
         return Value("string", F.date_format(col, "yyyy-MM-dd"), field=True)
-    return Value(kind_of(t), col, field=True)
+    return Value(kind_of(t), col, field=True, type=t)
 
 
 def literal(v: object) -> Value:
@@ -59,15 +64,20 @@ def literal(v: object) -> Value:
     return Value(kind, F.lit(v))
 
 
+def schema(v: Value) -> Column:
+    return v.schema if v.schema is not None else F.schema_of_variant(v.col)
+
+
 def tag(v: Value) -> Column:
     """number, string, boolean, null, array or object; null where the value is missing."""
     if v.kind != "variant":
         return F.when(v.col.isNull(), F.lit("null")).otherwise(F.lit(v.kind))
-    s = F.schema_of_variant(v.col)
+    s = schema(v)
     return (
         F.when(v.col.isNull(), F.lit(None))
-        .when(s.rlike(r"^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "number")
+        .when(s == "BIGINT", "number")
         .when(s == "STRING", "string")
+        .when(s.isin("DOUBLE", "FLOAT") | s.startswith("DECIMAL"), "number")
         .when(s == "BOOLEAN", "boolean")
         .when(s == "VOID", "null")
         .when(s.startswith("ARRAY"), "array")
@@ -102,8 +112,9 @@ def numeric(v: Value) -> Column:
     if v.kind == "string":
         return F.when(v.col.rlike(NUMERIC), v.col.try_cast("double"))
     if v.kind == "variant":
-        s = string(v)
-        return F.coalesce(number(v), F.when(s.rlike(NUMERIC), s.try_cast("double")))
+        s = F.try_variant_get(v.col, "$", "string")
+        kind = tag(v)
+        return F.when(kind == "number", F.try_variant_get(v.col, "$", "double")).when((kind == "string") & s.rlike(NUMERIC), s.try_cast("double"))
     return F.lit(None).cast("double")
 
 
@@ -135,7 +146,7 @@ def text(v: Value, exact: T.DataType | None = None) -> Column:
     if v.kind == "boolean":
         return v.col.cast("string")
     if v.kind == "variant":
-        return F.when(tag(v) == "number", F.coalesce(F.when(F.schema_of_variant(v.col) == "BIGINT", F.try_variant_get(v.col, "$", "string")), number_text(number(v)))).otherwise(
+        return F.when(tag(v) == "number", F.coalesce(F.when(schema(v) == "BIGINT", F.try_variant_get(v.col, "$", "string")), number_text(number(v)))).otherwise(
             F.coalesce(string(v), truth(v).cast("string"))
         )
     return F.lit(None).cast("string")

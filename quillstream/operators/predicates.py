@@ -7,8 +7,11 @@ stay bare and can be pushed into the scan; under NOT each is made false explicit
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import Value, is_null, number, string, tag, truth
 from ..plans.syntax import Bool, Leaf
@@ -51,13 +54,29 @@ def same(v: Value, wanted: object) -> Column:
         return truth(v) == F.lit(wanted)
     if isinstance(wanted, (int, float)):
         return number(v) == F.lit(wanted)
+    if v.time is not None:
+        return _same_second(v, str(wanted))
     return string(v) == F.lit(wanted)
 
 
+def _same_second(v: Value, wanted: str) -> Column:
+    """A timestamp whose text is `wanted`, as a range that a scan can prune by."""
+    try:
+        at = datetime.strptime(wanted, "%Y-%m-%dT%H:%M:%SZ")
+        after = at + timedelta(seconds=1)
+    except (ValueError, OverflowError):
+        return string(v) == F.lit(wanted)
+    if at.strftime("%Y-%m-%dT%H:%M:%SZ") != wanted:  # fewer digits than the text of a time has
+        return string(v) == F.lit(wanted)
+    first, after = (F.to_timestamp(F.lit(t.strftime("%Y-%m-%d %H:%M:%S"))) for t in (at, after))
+    return (v.time >= first) & (v.time < after)
+
+
 def _contains(v: Value, wanted: object) -> Column:
     wanted = str(wanted)
     if v.kind == "array":
-        return F.array_contains(v.col.cast("array<string>"), wanted)
+        # only texts are members; other elements never match
+        return F.array_contains(v.col, wanted) if v.type is not None and isinstance(v.type.elementType, T.StringType) else F.when(v.col.isNotNull(), F.lit(False))
     text = string(v).contains(wanted)
     if v.kind != "variant":
         return text
@@ -78,6 +97,9 @@ def _in(v: Value, wanted: tuple) -> Column:
     found = []
     if v.kind in ("string", "variant") and words:
         found.append(string(v).isin(words))
+    if v.kind == "number" and isinstance(v.type, T.IntegralType):
+        # literals of the column's own kind, so that the scan can prune by them
+        numbers = [int(n) for n in numbers if abs(n) < 2**63 and n == int(n)]
     if v.kind in ("number", "variant") and numbers:
         found.append(number(v).isin(numbers))
     if v.kind in ("boolean", "variant") and words:
@@ -90,11 +112,14 @@ def leaf(p: Leaf, v: Value) -> Column:
     if p.op == "has":
         return ~v.there if p.negated else v.there
     if p.op == "null":
-        null = is_null(v) if v.field or v.exists is not None else is_null(v)
-        return ~null if p.negated else null
+        return ~is_null(v) if p.negated else is_null(v)
     if p.op == "=":
         return same(v, p.right)
     if p.op == "!=":
+        kind = "boolean" if isinstance(p.right, bool) else "number" if isinstance(p.right, (int, float)) else "string"
+        if v.exists is None and v.kind == kind and p.right is not None:
+            equal = same(v, p.right)
+            return (~equal | v.col.isNull()) if v.time is None else (~equal | v.time.isNull())
         return v.there & ~F.coalesce(same(v, p.right), F.lit(False))
     if p.op in (">", "<", ">=", "<="):
         if isinstance(p.right, bool) or not isinstance(p.right, (int, float)):

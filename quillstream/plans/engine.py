@@ -8,16 +8,16 @@ is column expressions, so batch and streaming frames take the same path.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.registry import FUNCTIONS, arithmetic, template, unify
-from ..functions.values import Value, column_value, is_null, literal, number_text, numeric, tag
+from ..functions.values import Value, column_value, is_null, literal, number_text, numeric, schema, tag
 from ..operators import predicates
-from .syntax import AGGREGATES, Binary, Call, Case, Expand, Item, Lit, Path, Query, Star, parse, split_queries
+from .syntax import AGGREGATES, Binary, Call, Case, Expand, Item, Leaf, Lit, Path, Query, Star, parse, split_queries
 
 
 class BindError(ValueError):
@@ -28,22 +28,41 @@ def _json_path(parts: tuple[str, ...]) -> str:
     return "$" + "".join(f"[{p}]" if p.isdigit() else "['" + p.replace("'", "\\'") + "']" for p in parts)
 
 
+#: What the names of hoisted paths begin with.
+_HOISTED = "__path"
+
+
+def _paths(e) -> set[tuple[str, ...]]:
+    """Every path that an expression, item or query reads."""
+    if isinstance(e, Path):
+        return {e.parts}
+    if isinstance(e, (list, tuple)):
+        return set().union(*map(_paths, e)) if e else set()
+    if is_dataclass(e):
+        return set().union(*(_paths(getattr(e, f.name)) for f in fields(e)))
+    return set()
+
+
 @dataclass
 class Scope:
     """Names that expressions see: a schema, or a variant, and the query's aliases."""
 
     schema: T.StructType
     aliases: dict
+    hoisted: dict = field(default_factory=dict)  # paths of a variant that are columns already
 
     @property
     def dynamic(self) -> bool:
         return "_v" in self.schema.fieldNames() and "_raw" in self.schema.fieldNames()
 
     def fields(self) -> list[str]:
-        return [f for f in self.schema.fieldNames() if f not in ("_pos", "_raw", "_v")]
+        return [f for f in self.schema.fieldNames() if f not in ("_pos", "_raw", "_v") and not f.startswith(_HOISTED)]
 
     def path(self, parts: tuple[str, ...]) -> Value:
         if self.dynamic and parts[0] not in self.fields():
+            if parts in self.hoisted:
+                name = self.hoisted[parts]
+                return Value("variant", F.col(name), F.col(name).isNotNull(), field=True, schema=F.col(f"{name}s"))
             col = F.try_variant_get(F.col("_v"), _json_path(parts), "variant")
             return Value("variant", col, col.isNotNull(), field=True)
         col, kind = None, self.schema
@@ -168,13 +187,25 @@ def unique_names(items: list[Item]) -> list[str]:
     return out
 
 
+def _read(query: Query) -> tuple:
+    """The parts of a query that read fields."""
+    return (query.items, query.where, query.group, query.having, [k for k, _ in query.order])
+
+
 class Plan:
     """One query over one frame."""
 
     def __init__(self, df: DataFrame, query: Query):
-        self.df, self.query = df, query
         aliases = {i.alias: i.expr for i in query.items if isinstance(i, Item) and i.alias and not is_aggregate(i.expr)}
-        self.scope = Scope(df.schema, aliases)
+        scope = Scope(df.schema, aliases)
+        if scope.dynamic:
+            # each path is taken out of the variant once, and its kind told once
+            used = sorted(p for p in _paths(_read(query)) if p[0] not in scope.fields())
+            scope.hoisted = {p: f"{_HOISTED}{i}_" for i, p in enumerate(used)}
+            df = df.withColumns({n: F.try_variant_get(F.col("_v"), _json_path(p), "variant") for p, n in scope.hoisted.items()})
+            df = df.withColumns({f"{n}s": F.schema_of_variant(F.col(n)) for n in scope.hoisted.values()})
+            scope.schema = df.schema
+        self.df, self.query, self.scope = df, query, scope
 
     def passing(self) -> Column:
         """Whether a row passes WHERE; never null."""
@@ -233,8 +264,11 @@ class Plan:
                 keep.append(v.there)
             native = plain.native(e.parts) if isinstance(e, Path) and default is None else None
             if v.kind == "variant":
+                # whole numbers stand for themselves; others are written alike (1.0 as 1) if a double holds all their digits
                 digits = F.length(F.regexp_replace(F.to_json(v.col), "[^0-9]", ""))
-                col = F.when((tag(v) == "number") & (digits <= 15), number_text(numeric(v))).otherwise(F.to_json(v.col))
+                whole = F.try_variant_get(v.col, "$", "bigint").cast("string")
+                other = F.when((tag(v) == "number") & (digits <= 15), number_text(numeric(v))).otherwise(F.to_json(v.col))
+                col = F.when(schema(v) == "BIGINT", whole).otherwise(other)
             else:
                 col = native if native is not None else v.col
             keys.append((name, col, v.kind == "variant"))
@@ -342,9 +376,18 @@ def variables(args: dict | None = None) -> dict[str, object]:
 
 
 def query(df: DataFrame, text: str, **args) -> DataFrame:
-    """The rows of one query over a frame; $name in the text is an argument, $ENV.NAME the environment."""
-    plan = Plan(scoped(df, q), q) if (q := parse(text, variables(args))).scope else Plan(df, q)
-    return plan.frame()
+    """The rows of one query over a frame; $name in the text is an argument, $ENV.NAME the environment.
+
+    A query with INTO writes its rows to that path as NDJSON and returns the lines written (`value`).
+    """
+    q = parse(text, variables(args))
+    out = Plan(scoped(df, q) if q.scope else df, q).frame()
+    if q.into is None:
+        return out
+    from ..sources.sinks import write
+
+    write(out, q.into)
+    return df.sparkSession.read.text(q.into)
 
 
 def scoped(df: DataFrame, q: Query) -> DataFrame:
@@ -353,6 +396,59 @@ def scoped(df: DataFrame, q: Query) -> DataFrame:
     return descend(df, q.scope)
 
 
+def flat_query(df: DataFrame, text: str, **args) -> DataFrame:
+    """(_pos, path, value): the flattened leaves of records that pass a query whose paths may hold `*` and `**`.
+
+    Without a scope WHERE is asked of each leaf by itself, so `a = 1 and b = 2` finds none. A
+    scope `[a.*]` groups the leaves under each path of that form; all of a group's leaves pass
+    if WHERE does, where a comparison holds if any leaf of the group that its glob names
+    passes it. `[*]` takes every array in turn. Selected fields are globs too, and an alias
+    replaces what is left of the path after the scope. Other clauses are ignored.
+    """
+    from ..sources.json import flatten, glob_regex
+
+    q = parse(text, variables(args), globs=True)
+    flat = flatten(df)
+    names = F.split("path", r"\.")
+    if q.scope == ("*",):
+        depth = F.array_position(F.transform(names, lambda x: x.rlike("^[0-9]+$")), True).cast("int")
+        flat = flat.withColumn("__depth", depth).filter("__depth > 1")
+    elif q.scope:
+        flat = flat.withColumn("__depth", F.lit(len(q.scope)))
+    if q.scope:
+        flat = flat.filter(F.size(names) > F.col("__depth"))
+        flat = flat.withColumns({"__prefix": F.concat_ws(".", F.slice(names, 1, F.col("__depth"))), "__rest": F.concat_ws(".", F.slice(names, F.col("__depth") + 1, F.size(names)))})
+        if q.scope != ("*",):
+            flat = flat.filter(F.col("__prefix").rlike(glob_regex(".".join(q.scope))))
+    else:
+        flat = flat.withColumns({"__prefix": F.lit(None).cast("string"), "__rest": F.col("path")})
+    if q.where is not None:
+        leaf = Value("variant", F.col("value"), F.col("value").isNotNull(), field=True)
+
+        def holds(p) -> Column:
+            if not isinstance(p, Leaf):
+                parts = [holds(x) for x in p.items]
+                out = ~parts[0] if p.op == "not" else parts[0]
+                for x in parts[1:]:
+                    out = (out & x) if p.op == "and" else (out | x)
+                return out
+            if not isinstance(p.left, Path):
+                raise BindError("flat queries compare fields only")
+            one = F.col("__rest").rlike(glob_regex(".".join(p.left.parts))) & F.coalesce(predicates.leaf(p, leaf), F.lit(False))
+            return F.max(one).over(Window.partitionBy("_pos", "__prefix")) if q.scope else one  # a group is part of one record
+
+        flat = flat.withColumn("__pass", holds(q.where)).filter("__pass")
+    rest = F.col("__rest")
+    items = [i for i in q.items if isinstance(i, Item)]
+    if items:
+        for i in items:
+            if not isinstance(i.expr, Path):
+                raise BindError("flat queries select fields only")
+        hit = lambda i: F.col("__rest").rlike(glob_regex(".".join(i.expr.parts)))
+        rest = F.coalesce(*[F.when(hit(i), F.lit(i.alias) if i.alias else F.col("__rest")) for i in items])
+    return flat.select("_pos", F.concat_ws(".", "__prefix", rest).alias("path"), "value", rest.isNotNull().alias("__keep")).filter("__keep").drop("__keep")
+
+
 def query_all(df: DataFrame, text: str, **args) -> list[DataFrame]:
     """Every query of a `;` separated text over one cached frame."""
     parts = split_queries(text)

@@ -6,6 +6,10 @@ whose second is a sentinel, which the lenient parser can only do if nothing trai
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,40 +60,64 @@ def descend(df: DataFrame, scope: tuple[str, ...]) -> DataFrame:
         named = named.select("_pos", F.explode(F.try_variant_get("__x", "$", "array<variant>")).alias("_v"), "_array")
         df = items.unionByName(named)
     else:
-        path = "$"
+        path, place = "$", F.array("_pos")  # rows of a scope are ordered by their places, one for each star
         for part in scope:
             if part == "*":
-                df = df.select("_pos", F.posexplode(F.try_variant_get("_v", path, "array<variant>")).alias("__i", "_v"))
-                df = df.select((F.col("_pos") * 1_000_003 + F.col("__i")).alias("_pos"), "_v")
-                path = "$"
+                df = df.select(place.alias("_pos"), F.posexplode(F.try_variant_get("_v", path, "array<variant>")).alias("__i", "_v"))
+                df = df.select(F.concat("_pos", F.array(F.col("__i").cast("bigint"))).alias("_pos"), "_v")
+                path, place = "$", F.col("_pos")
             else:
-                path += f"[{part}]" if part.isdigit() else f"['{part}']"
+                path += f"[{part}]" if part.isdigit() else "['" + part.replace("'", "\\'") + "']"
         if path != "$":
             df = df.select("_pos", F.try_variant_get("_v", path, "variant").alias("_v"))
     keep = [c for c in df.columns if c not in ("_v",)]
     return df.filter(F.schema_of_variant("_v").startswith("OBJECT")).select(*keep, F.to_json("_v").alias("_raw"), "_v")
 
 
-def flatten(df: DataFrame, depth: int = 8) -> DataFrame:
-    """(_pos, path, value): every leaf of every record under its dotted path, arrays as a.0."""
-    level = df.select("_pos", F.lit("").alias("path"), F.col("_v").alias("value"))
-    leaves = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("value")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        flat = level.filter(~nested)
-        leaves = flat if leaves is None else leaves.unionByName(flat)
-        pairs = F.coalesce(
-            F.map_entries(F.try_variant_get("value", "$", "map<string,variant>")),
-            F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))),
-        )
-        level = level.filter(nested).select("_pos", "path", F.explode(pairs).alias("e"))
-        level = level.select("_pos", F.concat_ws(".", F.nullif(F.col("path"), F.lit("")), F.col("e.key")).alias("path"), F.col("e.value").alias("value"))
-    return leaves.unionByName(level)
+def flatten(df: DataFrame) -> DataFrame:
+    """(_pos, path, value): every leaf of every record under its dotted path, arrays as a.0, whatever their depth.
 
+    Depth is not known to a plan, so records are walked by Arrow batches in Python; numbers keep their digits.
+    """
+    place = df.schema["_pos"].dataType.simpleString()
+
+    def walk(batches):
+        for batch in batches:
+            row, path, value = [], [], []
+            for i, raw in enumerate(batch.column("_raw").to_pylist()):
+                for name, leaf in leaves(raw):
+                    row.append(i)
+                    path.append(name)
+                    value.append(leaf)
+            yield pa.RecordBatch.from_arrays([batch.column("_pos").take(pa.array(row, pa.int64())), pa.array(path, pa.string()), pa.array(value, pa.string())], names=["_pos", "path", "leaf"])
+
+    raw = F.col("_raw") if "_raw" in df.columns else F.to_json("_v")
+    return df.select("_pos", raw.alias("_raw")).mapInArrow(walk, f"_pos {place}, path string, leaf string").select("_pos", "path", F.parse_json("leaf").alias("value"))
 
-def glob_regex(pattern: str) -> str:
-    """`*` is one path segment, `**` any number of characters."""
-    import re
 
-    return "^" + "".join({"**": ".*", "*": "[^.]*"}.get(p, re.escape(p)) for p in re.split(r"(\*\*|\*)", pattern)) + "$"
+class _Digits(str):
+    """A number as it is written."""
+
+
+def leaves(raw: str) -> list[tuple[str, str]]:
+    """(dotted path, JSON text) of each leaf, in order; empty objects and arrays have none."""
+    out, todo = [], [("", json.loads(raw, parse_int=_Digits, parse_float=_Digits))]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, (dict, list)):
+            pairs = list(x.items() if isinstance(x, dict) else ((str(i), y) for i, y in enumerate(x)))
+            todo += [(f"{path}.{k}" if path else k, y) for k, y in reversed(pairs)]
+        else:
+            out.append((path, str(x) if isinstance(x, _Digits) else json.dumps(x, ensure_ascii=False)))
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """`*` is one segment of a path, `**` all that is left."""
+    out = ""
+    for part in pattern.split("."):
+        if part == "**":
+            return rf"(?s)^{out}.*$" if not out else rf"(?s)^{out}\..+$"
+        one = "[^.]*" if part == "*" else re.escape(part)
+        out += rf"\.{one}" if out else one
+    return f"^{out}$"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import Value, kind_of, number_text, text
+from .text import numbered
 
 
 def json_text(col: Column, t: T.DataType) -> Column:
@@ -29,8 +30,22 @@ def to_ndjson(df: DataFrame) -> DataFrame:
     """One `value` column of lines `{"a": 1, "b": "x"}`."""
     if df.columns == ["_raw"]:
         return df.select(F.col("_raw").alias("value"))
-    cells = [F.concat(F.lit(f'"{f.name}": '), json_text(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
-    return df.select(F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}")).alias("value"))
+    return df.select(F.concat(F.lit("{"), F.concat_ws(", ", *cells(df)), F.lit("}")).alias("value"))
+
+
+def cells(df: DataFrame) -> list[Column]:
+    """`"name": value` of each column."""
+    return [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), json_text(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
+
+
+def to_json_array(df: DataFrame) -> DataFrame:
+    """Lines of one JSON array: `[`, an indented object a line, `]`; in the rows' order, without moving them."""
+    lines = numbered(to_ndjson(df))
+    n = lines.count()
+    if n == 0:
+        return lines.sparkSession.createDataFrame([("[",), ("]",)], "value string").coalesce(1)
+    first, last = F.when(F.col("_n") == 1, F.lit("[\n")).otherwise(F.lit("")), F.when(F.col("_n") == n, F.lit("\n]")).otherwise(F.lit(","))
+    return lines.select(F.concat(first, F.lit("  "), "value", last).alias("value"))
 
 
 def to_raw(df: DataFrame) -> DataFrame:
@@ -40,7 +55,9 @@ def to_raw(df: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, form: str = "ndjson") -> None:
-    if form == "ndjson":
+    if form == "json":
+        to_json_array(df).write.mode("overwrite").text(path)
+    elif form == "ndjson":
         to_ndjson(df).write.mode("overwrite").text(path)
     elif form == "raw":
         to_raw(df).write.mode("overwrite").text(path)
@@ -51,28 +68,48 @@ def write(df: DataFrame, path: str, form: str = "ndjson") -> None:
         raise ValueError(f"unknown form {form}")
 
 
-def file_name(key: str | None) -> str:
-    return re.sub(r"[^A-Za-z0-9._-]", "_", "null" if key is None else key) + ".jsonl"
-
-
 def split_by(df: DataFrame, field: str, path: str) -> DataFrame:
-    """Write rows partitioned by the text of a field; returns (field, file, count)."""
-    f = df.schema[field]
-    key = F.coalesce(text(Value(kind_of(f.dataType), F.col(f"`{field}`"))), F.lit("null"))
-    df.withColumn("key", key).write.mode("overwrite").partitionBy("key").json(path)
-    name = F.concat(F.regexp_replace(key, r"[^A-Za-z0-9._-]", "_"), F.lit(".jsonl"))
-    return df.groupBy(key.alias(field), name.alias("file")).agg(F.count("*").alias("count"))
+    """Write rows as NDJSON to one `<value>.jsonl` for each text of a field; returns (field, file, count).
+
+    Each is a folder of parts, so that no value's rows meet in one task. Null goes to null.jsonl, as
+    the text 'null' does; rows without the field or with a nested value in it are left out.
+    """
+    spark, f = df.sparkSession, df.schema[field]
+    v = Value(kind_of(f.dataType), F.col(f"`{field}`"))
+    key = F.when(F.is_variant_null(v.col), "null").otherwise(text(v)) if v.kind == "variant" else F.coalesce(text(v), F.lit("null"))
+    if v.kind in ("array", "object"):
+        key = F.when(v.col.isNull(), F.lit("null"))
+    name = F.concat(F.regexp_replace("__key", r"[^A-Za-z0-9._-]", "_"), F.lit(".jsonl"))
+    line = F.concat(F.lit("{"), F.concat_ws(", ", *cells(df)), F.lit("}"))
+    rows = df.select(key.alias("__key"), line.alias("value")).filter("__key is not null").withColumn("__file", name)
+    rows.select("value", "__file").write.mode("overwrite").partitionBy("__file").text(path)
+    out = rows.groupBy(F.col("__key").alias(field), F.col("__file").alias("file")).agg(F.count("*").alias("count"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(conf)
+    for status in fs.listStatus(base):  # one folder a value
+        folder = status.getPath()
+        if folder.getName().startswith("__file="):
+            fs.rename(folder, jvm.org.apache.hadoop.fs.Path(base, folder.getName()[len("__file=") :]))
+    return out
 
 
 def route(df: DataFrame, query: str, tee: str | None = None, reject: str | None = None, out: str | None = None, **args) -> DataFrame:
-    """Run a query over a record frame; write all input (tee), what WHERE turns away (reject) and the result (out)."""
+    """Run a query over records, or over lines (`value`); write all input (tee), what WHERE turns away (reject) and the result (out).
+
+    Of lines, tee gets every one that is not blank, malformed ones too.
+    """
     from ..plans.engine import Plan, parse, variables
+    from .json import records
 
+    lines = df.select(F.rtrim(F.col("value"), F.lit(" \t\r")).alias("_raw")).filter("_raw != ''") if "_raw" not in df.columns else df.select("_raw")
+    if "_raw" not in df.columns:
+        df = records(df).filter("_valid").drop("_valid")
     plan = Plan(df, parse(query, variables(args)))
     if tee:
-        df.select("_raw").write.mode("overwrite").text(tee)
+        lines.write.mode("overwrite").text(tee)
     if reject:
-        df.filter(~plan.passing()).select("_raw").write.mode("overwrite").text(reject)
+        plan.df.filter(~plan.passing()).select("_raw").write.mode("overwrite").text(reject)
     result = plan.frame()
     if out:
         to_ndjson(result).write.mode("overwrite").text(out)

@@ -27,14 +27,24 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = False, columns: list[str] | None = None, numbers: bool = True) -> DataFrame:
-    """RFC 4180 records; names f1.. unless given; a column whose unquoted cells are all numbers becomes double.
+    """RFC 4180 records and their number (_n); names f1.. unless given. Cells that are numbers become numbers.
 
-    An empty unquoted cell is null, an empty quoted one the empty string.
+    A column of numbers alone becomes double, one of numbers and other text a variant of
+    both. An empty unquoted cell is null, an empty quoted one the empty string; quoted
+    numbers cannot be told from others.
     """
     df = spark.read.csv(path, sep=delimiter, header=header, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False, emptyValue="")
     names = columns or (df.columns if header else [f"f{i + 1}" for i in range(len(df.columns))])
     df = df.toDF(*names)
     if numbers:
-        row = df.agg(*[F.bool_and(F.col(f"`{n}`").rlike(NUMERIC)).alias(f"c{i}") for i, n in enumerate(names)]).first()
-        df = df.select(*[(F.col(f"`{n}`").try_cast("double") if row[i] else F.col(f"`{n}`")).alias(n) for i, n in enumerate(names)])
-    return df
+        is_number = lambda n: F.col(f"`{n}`").rlike(NUMERIC)
+        row = df.agg(*[f(is_number(n)).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("all", F.bool_and), ("any", F.bool_or))]).first()
+
+        def typed(i: int, n: str):
+            c = F.col(f"`{n}`")
+            if row[f"all{i}"]:
+                return c.try_cast("double")
+            return F.when(is_number(n), c.try_cast("double").cast("variant")).otherwise(c.cast("variant")) if row[f"any{i}"] else c
+
+        df = df.select(*[typed(i, n).alias(n) for i, n in enumerate(names)])
+    return numbered(df)

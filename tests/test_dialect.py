@@ -23,7 +23,7 @@ def good(spark, *lines):
     return recs(spark, *lines).filter("_valid").drop("_valid")
 
 
-@pytest.mark.parametrize("text", ["", "select", "select a limit x", "select a where", "select a + 1", "select a having a > 1", "where a > 1 where b > 1", "select a where b between 1 and 2"])
+@pytest.mark.parametrize("text", ["", "select", "select a limit x", "select a where", "select a + 1", "where a > 1 where b > 1", "select a where b between 1 and 2", "select a order by 1.5"])
 def test_parse_errors(text):
     with pytest.raises(ParseError):
         parse(text)

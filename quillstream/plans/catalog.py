@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .engine import query
+from ..runtime import Scratch
+from .engine import flat_query, query, query_all
 
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
 LETTERS = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
@@ -117,8 +118,27 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "date_clock": ("events", "select event_id, date_part(ts, 'minute') as m, date_part(ts, 'second') as s, date_part(ts, 'epoch') as e", "select event_id, cast(minute(ts) as double) as m, cast(floor(second(ts)) as double) as s, floor(epoch(ts)) as e from events"),
     "epoch_arith": ("orders", "select o_orderkey, from_epoch(to_epoch(o_orderdate) + epoch_day(3) + epoch_hour(2) + epoch_min(1) + epoch_week(1)) as later", f"select o_orderkey, {ISO.format('o_orderdate + interval 10 day + interval 2 hour + interval 1 minute')} as later from orders"),
     # objects
-    "keys": ("nation", "select n_nationkey, len(keys()) as n, to_str(n_name) as s", "select n_nationkey, cast(3 as double) as n, n_name as s from nation"),
-    "entries": ("nation", "select n_nationkey, len(values()) as v, len(to_entries()) as e", "select n_nationkey, cast(3 as double) as v, cast(3 as double) as e from nation"),
+    "keys": (
+        "nation", "select n_nationkey, to_str(n_name) as s, len(keys()) as n, keys() as k",
+        "select n_nationkey, n_name as s, cast(3 as double) as n, ['n_nationkey', 'n_name', 'n_regionkey'] as k from nation",
+    ),
+    "values": ("nation", "select n_nationkey, values() as v", """select n_nationkey, [cast(n_nationkey as varchar), '"' || n_name || '"', cast(n_regionkey as varchar)] as v from nation"""),
+    "entries": (
+        "nation", "select n_nationkey, to_entries() as e",
+        """select n_nationkey, [{'key': 'n_nationkey', 'value': cast(n_nationkey as varchar)}, {'key': 'n_name', 'value': '"' || n_name || '"'}, {'key': 'n_regionkey', 'value': cast(n_regionkey as varchar)}] as e from nation""",
+    ),
+    # odd arguments
+    "substr_far": ("part", "select p_partkey, substr(p_name, 99999999999) as a, substr(p_name, 2, 99999999999) as b, substr(p_name, nothere) as c, substr(p_name, 1, nothere) as d, substr(p_name, 0 - 3, 2) as e", "select p_partkey, '' as a, substr(p_name, 3) as b, cast(null as varchar) as c, substr(p_name, 2) as d, substr(p_name, 1, 2) as e from part"),
+    "pad_far": ("part", "select p_partkey, lpad(p_brand, 99999999999, '*') as a, rpad(p_brand, 0 - 5, '*') as b", "select p_partkey, cast(null as varchar) as a, p_brand as b from part"),
+    "date_far": ("part", "select p_partkey, date_part(99999999999999999, 'year') as y, date_part(p_name, 'year') as n, date_part('1969-12-31T23:59:59Z', 'year') as b", "select p_partkey, cast(null as double) as y, cast(null as double) as n, cast(1969 as double) as b from part"),
+    "split_text": ("part", "select p_partkey, expand(split(p_type, 'A')) as w", "select p_partkey, unnest(string_split(p_type, 'A')) as w from part"),
+    "time_equal": ("orders", "select o_orderkey, o_orderdate as d where o_orderdate = '1996-01-02T00:00:00Z' or o_orderdate != '1996-01-02T00:00:00Z' and o_orderkey < 20", "select o_orderkey, o_orderdate as d from orders where o_orderdate = timestamp '1996-01-02' or o_orderkey < 20"),
+    "in_mixed": ("orders", "select o_orderkey where o_custkey in (3, 5.0, 7.5, 'x') or o_orderkey not in (1, 2, 3) and o_orderkey < 9", "select o_orderkey from orders where o_custkey in (3, 5) or (o_orderkey not in (1, 2, 3) and o_orderkey < 9)"),
+    "contains_numbers": ("embeddings", "select vec_id where embedding contains '0' or vec_id = 1", "select vec_id from embeddings where vec_id = 1"),
+    "unary_minus": ("part", "select p_partkey, p_size * -1 as neg where p_size > -5", "select p_partkey, cast(p_size * -1 as double) as neg from part"),
+    "having_alone": ("part", "select p_partkey having p_partkey > 3", "select p_partkey from part"),
+    "clause_order": ("part", "limit 3 order by p_partkey where p_size > 1 select p_partkey", "select p_partkey from part where p_size > 1 order by p_partkey limit 3"),
+    "now_parts": ("region", "select r_name, len(now()) as n, floor(now_ms() / 1000000000000) as ms, floor(now_epoch() / 1000000000) as s", "select r_name, cast(20 as double) as n, cast(1 as double) as ms, cast(1 as double) as s from region"),
 }
 
 
@@ -163,15 +183,17 @@ def _reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.values import Value, text
+    """Rows counted in the files that split_by writes, beside its summary."""
+    from ..sources.sinks import split_by
 
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(text(Value("string", F.col("o_orderstatus"))).alias("key")).agg(F.count("*").alias("n"))
+    path = f"{Scratch(spark, 'split').base}/out"
+    told = split_by(query(spark.read.parquet(f"{sf_dir}/orders.parquet"), "select o_orderkey, o_orderstatus"), "o_orderstatus", path)
+    lines = spark.read.text(f"{path}/*.jsonl").select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("file"))
+    held = lines.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.get_json_object("value", "$.o_orderkey").cast("long")).alias("keys"))
+    return told.withColumnRenamed("o_orderstatus", "key").join(held, "file").select("key", "file", F.col("count").alias("n"), (F.col("count") - F.col("n")).alias("lost"), "keys")
 
 
 def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .engine import query_all
-
     a, b = query_all(spark.read.parquet(f"{sf_dir}/customer.parquet"), "select c_custkey as k where c_acctbal < 0; select c_custkey as k where c_nationkey = 1")
     return a.unionByName(b)
 
@@ -181,7 +203,7 @@ def _rolling(by: list[str] | None):
         from ..streaming.tokens import rolling
 
         events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
-        return rounded(rolling(events, "event_id", {"n": F.count("*"), "s": F.sum("value")}, by))
+        return rounded(rolling(events, "event_id", {"n": ("count", None), "s": ("sum", "value"), "lo": ("min", "value"), "hi": ("max", "value")}, by))
 
     return run
 
@@ -192,6 +214,114 @@ def _flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten(json_events(spark, sf_dir)).select(F.col("_pos").alias("event_id"), "path", F.try_variant_get("value", "$", "double").alias("v"))
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one nested document: (_pos, _raw, _v)."""
+    from ..sources.json import allow_duplicates
+
+    allow_duplicates(spark)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    one = F.struct("turn", "role", (F.col("role") == "user").alias("asks"), F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("even"))
+    docs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    docs = docs.select(F.col("conv_id").alias("_pos"), F.to_json(F.struct("conv_id", "turns"), {"ignoreNullFields": "false"}).alias("_raw"))
+    return docs.withColumn("_v", F.parse_json("_raw"))
+
+
+def _scoped(text: str, columns: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = query(_nested(spark, sf_dir), text)
+        return out.select(*[F.try_variant_get(n, "$", t).alias(n) if dict(out.dtypes)[n] == "variant" else F.col(n).cast(t).alias(n) for n, t in columns.items()])
+
+    return run
+
+
+def _flat(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: flat_query(_nested(spark, sf_dir), text).select(F.col("_pos").alias("conv_id"), "path", F.to_json("value").alias("v"))
+
+
+def _written(form: str) -> Callable[[SparkSession, str], DataFrame]:
+    """customer through a sink and back through the source that reads its form."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..sources import json, sinks, text
+
+        path = f"{Scratch(spark, form).base}/out"
+        rows = query(spark.read.parquet(f"{sf_dir}/customer.parquet"), "select c_custkey, c_name, c_mktsegment as seg order by c_custkey")
+        if form == "raw":
+            sinks.write(rows.select("c_name"), path, "raw")
+            return text.read_lines(spark, path).select("line", F.col("_n").cast("long").alias("n"))
+        if form == "into":
+            return query(rows, f"select c_custkey, c_name, seg into '{path}'").select("value")
+        sinks.write(rows, path, form)
+        if form == "ndjson":
+            return _fields(query(json.read_ndjson(spark, path)[0], "select c_custkey, c_name, seg"))
+        if form == "json":
+            whole = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), "value").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("l"))
+            doc = whole.select(F.lit(0).cast("long").alias("_pos"), F.concat_ws("\n", F.transform("l", lambda x: x.value)).alias("_raw"))
+            return _fields(query(doc.withColumn("_v", F.parse_json("_raw")), "[*] select c_custkey, c_name, seg"))
+        back = text.read_delimited(spark, path, "," if form == "csv" else "\t", header=True)
+        return back.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "seg")
+
+    return run
+
+
+def _fields(out: DataFrame) -> DataFrame:
+    return out.select(F.try_variant_get("c_custkey", "$", "long").alias("c_custkey"), *[F.try_variant_get(c, "$", "string").alias(c) for c in ("c_name", "seg")])
+
+
+def _mixed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that are numbers become numbers, others stay text."""
+    from ..sources.text import read_delimited
+
+    path = f"{Scratch(spark, 'cells').base}/in"
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey")
+    cell = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_brand"))
+    parts.select(F.concat_ws(";", F.col("p_partkey").cast("string"), cell).alias("value")).write.text(path)
+    got = query(read_delimited(spark, path, ";", columns=["k", "c"]), "select k, _n, type(c) as t, c + 1 as more")
+    return got.select(F.col("k").cast("long").alias("k"), F.col("_n").cast("long").alias("n"), "t", "more")
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines counted in what tee, reject and out get; some lines are malformed."""
+    from ..sources.sinks import route
+
+    base = Scratch(spark, "route").base
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bad = F.when(F.col("event_id") % 10 == 0, F.concat("props", F.lit("}"))).when(F.col("event_id") % 10 == 1, F.lit(" ")).otherwise(F.col("props"))
+    route(events.select(bad.alias("value")), "select * where k > 50", *(f"{base}/{n}" for n in ("tee", "reject", "out")))
+    counts = [spark.read.text(f"{base}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("to"), "n") for n in ("tee", "reject", "out")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def _preset(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Turns as envelopes of a model's API, their fragments accumulated and checked."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..streaming.tokens import PRESETS, accumulate, expect, fragments, objects
+
+        turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+        body = F.to_json(F.struct("turn", "role"))
+        cut = turns.select("conv_id", F.posexplode(F.array(F.substring(body, 1, 7), body.substr(F.lit(8), F.length(body)))).alias("i", "f"), "turn")
+        wrap = {
+            "ollama": F.struct(F.lit("m").alias("model"), F.col("f").alias("response"), F.lit(False).alias("done")),
+            "openai": F.struct(F.array(F.struct(F.struct(F.col("f").alias("content")).alias("delta"))).alias("choices")),
+            "anthropic": F.struct(F.struct(F.col("f").alias("text")).alias("delta")),
+        }[name]
+        path, events = PRESETS[name]
+        line = F.concat(F.lit("data: "), F.to_json(wrap)) if events else F.to_json(wrap)
+        found = accumulate(fragments(cut.select("conv_id", (F.col("turn") * 2 + F.col("i")).alias("at"), line.alias("value")), path, events), "conv_id", "at")
+        kept = objects(found).select("_raw", "_v", "_pos").filter(expect("turn:number, role:enum(user, system)"))
+        return query(kept, "select role, count() as n group by role").select(F.try_variant_get("role", "$", "string").alias("role"), "n")
+
+    return run
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.tokens import rolling_tables
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
+    return rounded(rolling_tables(events, "event_id", "event_type", {"n": ("count", None), "s": ("sum", "value")}))
+
+
 def _llm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's turns as fragments of one stream that spells JSON objects."""
     from ..streaming.tokens import accumulate
@@ -202,16 +332,46 @@ def _llm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accumulate(cut.select("conv_id", (F.col("turn") * 2 + F.col("i")).alias("at"), "fragment"), "conv_id", "at").select("conv_id", "n", F.get_json_object("_raw", "$.role").alias("role"))
 
 
+_FLAT_TURNS = "with t as (select *, row_number() over (partition by conv_id order by turn, role) - 1 as i from conversations) "
 SPECIAL = {
     "json_path": (_dynamic_group, "select cast(json_extract(props, '$.k') as double) as k, count(*) as n, sum(cast(json_extract(props, '$.k') as double)) as s from events group by 1"),
     "json_where_raw": (_dynamic("where k > 50"), "select props as _raw from events where cast(json_extract(props, '$.k') as double) > 50"),
     "json_global": (_dynamic("select count() as n, min(k) as lo, max(k) as hi, count(nothere) as none where has(k)"), "select count(*) as n, min(cast(json_extract(props, '$.k') as double)) as lo, max(cast(json_extract(props, '$.k') as double)) as hi, 0 as none from events"),
     "flat_paths": (_flatten, "select event_id, 'k' as path, cast(json_extract(props, '$.k') as double) as v from events"),
     "reject_complement": (_reject, "select o_orderkey from orders where not (o_totalprice > 100000 and o_orderstatus = 'F')"),
-    "split_counts": (_split_counts, "select o_orderstatus as key, count(*) as n from orders group by 1"),
+    "split_counts": (_split_counts, "select o_orderstatus as key, o_orderstatus || '.jsonl' as file, count(*) as n, 0 as lost, sum(o_orderkey)::bigint as keys from orders group by 1, 2"),
     "multi_query_union": (_multi, "select c_custkey as k from customer where c_acctbal < 0 union all select c_custkey from customer where c_nationkey = 1"),
-    "rolling_global": (_rolling(None), "select event_id, count(*) over (order by event_id rows unbounded preceding) as n, round(sum(value) over (order by event_id rows unbounded preceding), 4) as s from events"),
-    "rolling_group": (_rolling(["user_id"]), "select user_id, event_id, count(*) over (partition by user_id order by event_id rows unbounded preceding) as n, round(sum(value) over (partition by user_id order by event_id rows unbounded preceding), 4) as s from events"),
+    "rolling_global": (_rolling(None), "select event_id, count(*) over (order by event_id rows unbounded preceding) as n, round(sum(value) over w, 4) as s, round(min(value) over w, 4) as lo, round(max(value) over w, 4) as hi from events window w as (order by event_id rows unbounded preceding)"),
+    "rolling_group": (_rolling(["user_id"]), "select user_id, event_id, count(*) over (partition by user_id order by event_id rows unbounded preceding) as n, round(sum(value) over w, 4) as s, round(min(value) over w, 4) as lo, round(max(value) over w, 4) as hi from events window w as (partition by user_id order by event_id rows unbounded preceding)"),
+    "rolling_tables": (
+        _tables,
+        "with r as (select *, row_number() over (order by event_id) as pos from events),"
+        " g as (select event_type, pos, count(*) over w as n, sum(value) over w as s, lead(pos) over (partition by event_type order by event_id) as nxt from r window w as (partition by event_type order by event_id rows unbounded preceding))"
+        ' select r.pos as "at", g.event_type, g.n, round(g.s, 4) as s from r join g on g.pos <= r.pos and coalesce(g.nxt, 9223372036854775807) > r.pos',
+    ),
+    "scope_array": (_scoped("[turns.*] select turn, role where turn > 0", {"turn": "long", "role": "string"}), "select turn, role from conversations where turn > 0"),
+    "scope_auto": (_scoped("[*] select count() as n group by _array", {"_array": "string", "n": "long"}), "select 'turns' as _array, count(*) as n from conversations"),
+    "equal_true": (_scoped("[turns.*] select turn, role where asks = true", {"turn": "long", "role": "string"}), "select turn, role from conversations where role = 'user'"),
+    "equal_false": (_scoped("[turns.*] select turn, role where asks = false", {"turn": "long", "role": "string"}), "select turn, role from conversations where role <> 'user'"),
+    "equal_null": (_scoped("[turns.*] select turn where even = null", {"turn": "long"}), "select turn from conversations where turn % 2 <> 0"),
+    "dynamic_order": (_scoped("[turns.*] select role, count() as n where has(even) and turn >= 0 group by role order by role", {"role": "string", "n": "long"}), "select role, count(*) as n from conversations group by 1"),
+    "flat_where": (_flat("where turns.*.turn >= 1"), _FLAT_TURNS + "select conv_id, 'turns.' || i || '.turn' as path, cast(turn as varchar) as v from t where turn >= 1"),
+    "flat_select": (_flat("select turns.*.role"), _FLAT_TURNS + "select conv_id, 'turns.' || i || '.role' as path, '\"' || role || '\"' as v from t"),
+    "flat_scope": (_flat("[turns.*] select role as who where turn >= 1 and role = 'user'"), _FLAT_TURNS + "select conv_id, 'turns.' || i || '.who' as path, '\"' || role || '\"' as v from t where turn >= 1 and role = 'user'"),
+    "flat_auto": (_flat("[*] select asks where role = 'user' or turn < 1"), _FLAT_TURNS + "select conv_id, 'turns.' || i || '.asks' as path, case when role = 'user' then 'true' else 'false' end as v from t where role = 'user' or turn < 1"),
+    "sink_csv": (_written("csv"), "select c_custkey, c_name, c_mktsegment as seg from customer"),
+    "sink_tsv": (_written("tsv"), "select c_custkey, c_name, c_mktsegment as seg from customer"),
+    "sink_ndjson": (_written("ndjson"), "select c_custkey, c_name, c_mktsegment as seg from customer"),
+    "sink_json_array": (_written("json"), "select c_custkey, c_name, c_mktsegment as seg from customer"),
+    "sink_raw": (_written("raw"), "select c_name as line, row_number() over (order by c_custkey) as n from customer"),
+    "into_path": (_written("into"), """select '{"c_custkey": ' || c_custkey || ', "c_name": "' || c_name || '", "seg": "' || c_mktsegment || '"}' as value from customer"""),
+    "delimited_cells": (_mixed_cells, "select p_partkey as k, row_number() over (order by p_partkey) as n, case when p_size % 2 = 0 then 'number' else 'string' end as t, case when p_size % 2 = 0 then cast(p_size + 1 as double) end as more from part"),
+    "route_lines": (
+        _routes,
+        """with e as (select event_id % 10 as d, cast(json_extract(props, '$.k') as double) as k from events)
+        select 'tee' as "to", count(*) as n from e where d <> 1 union all select 'reject', count(*) from e where d > 1 and k <= 50 union all select 'out', count(*) from e where d > 1 and k > 50""",
+    ),
+    **{f"preset_{n}": (_preset(n), "select role, count(*) as n from conversations where role in ('user', 'system') group by 1") for n in ("ollama", "openai", "anthropic")},
     "llm_accumulate": (_llm, "select conv_id, row_number() over (partition by conv_id order by turn) - 1 as n, role from conversations"),
 }
 

@@ -230,13 +230,8 @@ class Plan:
                     raise BindError(f"no column {key}")
                 key = Path((names[key - 1],))
             v = scope.value(key)
-            if v.kind == "variant":
-                n = numeric(v)
-                text = F.when(tag(v) == "string", F.try_variant_get(v.col, "$", "string"))
-                out += [(F.when(tag(v) == "number", n), down), (text, down)]
-            else:
-                native = scope.native(key.parts) if isinstance(key, Path) and key.parts[0] not in scope.aliases else None
-                out.append((native if native is not None else v.col, down))
+            native = scope.native(key.parts) if v.kind != "variant" and isinstance(key, Path) and key.parts[0] not in scope.aliases else None
+            out += _sort_keys(v, native if native is not None else v.col, down)
         return out
 
     def sort(self, df: DataFrame, columns: list[tuple[Column, bool]]) -> DataFrame:
@@ -285,7 +280,11 @@ class Plan:
         if q.having is not None:
             out = out.filter(predicates.tree(q.having, lambda e: _flat(inner, e, out.columns)))
         if q.order:
-            out = self.sort(out, [(F.col(f"`{_sort_name(k, out.columns)}`"), down) for k, down in q.order])
+            by = []
+            for k, down in q.order:
+                name = _sort_name(k, out.columns)
+                by += _sort_keys(column_value(F.col(f"`{name}`"), out.schema[name].dataType), F.col(f"`{name}`"), down)
+            out = self.sort(out, by)
         return self.limited(out)
 
     def projection(self, scope: Scope) -> tuple[dict[str, Column], Expand | None, str | None]:
@@ -362,6 +361,13 @@ def _flat(scope: Scope, e, columns: list[str]) -> Value:
     return scope.value(e)
 
 
+def _sort_keys(v: Value, col: Column, down: bool) -> list[tuple[Column, bool]]:
+    """A variant sorts by its number, then by its text."""
+    if v.kind != "variant":
+        return [(col, down)]
+    return [(F.when(tag(v) == "number", numeric(v)), down), (F.when(tag(v) == "string", F.try_variant_get(v.col, "$", "string")), down)]
+
+
 def _sort_name(key, columns: list[str]) -> str:
     if isinstance(key, int):
         return columns[key - 1]

@@ -24,10 +24,11 @@ def records(lines: DataFrame) -> DataFrame:
     """(_raw, _v, _valid[, _pos]) of the lines (`value`) that begin with an object; `_valid` is false for malformed ones."""
     allow_duplicates(lines.sparkSession)
     raw = F.trim(F.col("value"), F.lit(" \t\r\n"))
-    body = F.regexp_replace(raw, r",\s*$", "")
+    body = F.when(raw.endswith(","), F.rtrim(F.substring(raw, 1, F.length(raw) - 1), F.lit(" \t\r\n"))).otherwise(raw)
     both = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f', "{_MARK}"]')))
     keep = [c for c in lines.columns if c != "value"]
-    out = lines.filter(raw.startswith("{")).select(*keep, body.alias("_raw"), both.alias("__b"))
+    # as the one item of an array, so that filters on the parsed record do not move below the parser and parse again
+    out = lines.filter(raw.startswith("{")).select(*keep, body.alias("_raw"), F.explode(F.array(both)).alias("__b"))
     first = F.try_variant_get("__b", "$[0]", "variant")
     ok = (F.try_variant_get("__b", "$[1]", "string") == _MARK) & F.try_variant_get("__b", "$[2]", "variant").isNull() & F.schema_of_variant(first).startswith("OBJECT")
     return out.select(*keep, "_raw", first.alias("_v"), F.coalesce(ok, F.lit(False)).alias("_valid"))

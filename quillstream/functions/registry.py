@@ -118,9 +118,11 @@ def if_has(f: Value, then: Value, other: Value | None = None) -> Value:
 
 
 def seconds(v: Value) -> Column:
-    if v.time is not None:
-        return F.unix_seconds(v.time)
-    return _seconds(string(v))
+    if v.time is None:
+        return _seconds(string(v))
+    # a time without a zone is UTC
+    at = v.time if isinstance(v.type, T.TimestampType) else F.convert_timezone(F.lit("UTC"), F.current_timezone(), v.time).cast("timestamp")
+    return F.unix_seconds(at)
 
 
 def _seconds(s: Column) -> Column:

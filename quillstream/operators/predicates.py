@@ -68,7 +68,8 @@ def _same_second(v: Value, wanted: str) -> Column:
         return string(v) == F.lit(wanted)
     if at.strftime("%Y-%m-%dT%H:%M:%SZ") != wanted:  # fewer digits than the text of a time has
         return string(v) == F.lit(wanted)
-    first, after = (F.to_timestamp(F.lit(t.strftime("%Y-%m-%d %H:%M:%S"))) for t in (at, after))
+    read = F.to_timestamp if isinstance(v.type, T.TimestampType) else F.to_timestamp_ntz
+    first, after = (read(F.lit(t.strftime("%Y-%m-%d %H:%M:%S"))) for t in (at, after))
     return (v.time >= first) & (v.time < after)
 
 

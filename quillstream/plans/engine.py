@@ -259,11 +259,12 @@ class Plan:
                 keep.append(v.there)
             native = plain.native(e.parts) if isinstance(e, Path) and default is None else None
             if v.kind == "variant":
-                # whole numbers stand for themselves; others are written alike (1.0 as 1) if a double holds all their digits
+                # texts (after s) and whole numbers (after j) stand for themselves; other numbers are written
+                # alike (1.0 as 1) if a double holds all their digits; the rest is JSON
                 digits = F.length(F.regexp_replace(F.to_json(v.col), "[^0-9]", ""))
-                whole = F.try_variant_get(v.col, "$", "bigint").cast("string")
+                whole, words = (F.try_variant_get(v.col, "$", t) for t in ("bigint", "string"))
                 other = F.when((tag(v) == "number") & (digits <= 15), number_text(numeric(v))).otherwise(F.to_json(v.col))
-                col = F.when(schema(v) == "BIGINT", whole).otherwise(other)
+                col = F.when(schema(v) == "STRING", F.concat(F.lit("s"), words)).when(schema(v) == "BIGINT", F.concat(F.lit("j"), whole.cast("string"))).otherwise(F.concat(F.lit("j"), other))
             else:
                 col = native if native is not None else v.col
             keys.append((name, col, v.kind == "variant"))
@@ -274,7 +275,7 @@ class Plan:
         made = [aggregate(i.expr, self.scope).alias(n) for i, n in zip(items, names, strict=True)]
         marked = df.groupBy(*[c.alias(f"__k{i}") for i, (_, c, _) in enumerate(keys)])
         out = marked.agg(*made) if made else marked.agg(F.count(F.lit(1)).alias("__n"))
-        shown = [(F.try_parse_json(F.col(f"__k{i}")) if dyn else F.col(f"__k{i}")).alias(n) for i, (n, _, dyn) in enumerate(keys)]
+        shown = [(_grouped_value(F.col(f"__k{i}")) if dyn else F.col(f"__k{i}")).alias(n) for i, (n, _, dyn) in enumerate(keys)]
         out = out.select(*shown, *[F.col(f"`{n}`") for n in names])
         inner = Scope(out.schema, {})
         if q.having is not None:
@@ -361,6 +362,12 @@ def _flat(scope: Scope, e, columns: list[str]) -> Value:
     return scope.value(e)
 
 
+def _grouped_value(key: Column) -> Column:
+    """The variant that a group key's text stands for."""
+    rest = F.substring(key, 2, 2**31 - 1)
+    return F.when(key.startswith("s"), rest.cast("variant")).otherwise(F.try_parse_json(F.when(~key.startswith("s"), rest)))
+
+
 def _sort_keys(v: Value, col: Column, down: bool) -> list[tuple[Column, bool]]:
     """A variant sorts by its number, then by its text."""
     if v.kind != "variant":

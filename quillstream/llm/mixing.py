@@ -13,6 +13,7 @@ Repeated rows are separate documents. An empty table gives an empty mix.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -86,9 +87,9 @@ def min_cost_flow(supply: Sequence[float], quota: Sequence[float], edges: Sequen
         dist = [math.inf] * len(head)
         via = [-1] * len(head)
         dist[source] = 0.0
-        queue, queued = [source], {source}
+        queue, queued = deque([source]), {source}
         while queue:
-            x = queue.pop(0)
+            x = queue.popleft()
             queued.discard(x)
             for e in head[x]:
                 if cap[e] > tiny and dist[x] + cost[e] < dist[to[e]] - 1e-12:

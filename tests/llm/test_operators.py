@@ -197,6 +197,87 @@ def test_flow_and_targets():
     assert sum(flow.values()) == pytest.approx(18) and flow[(0, 0)] == pytest.approx(10)
 
 
+def test_flow_against_all_routings():
+    """Whole numbers of tokens, all ways to route them: the flow routes as many as any, at the least price."""
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        supply, quota = rng.integers(1, 4, 3).tolist(), rng.integers(0, 5, 2).tolist()
+        edges = [(p, s) for p in range(3) for s in range(2) if rng.random() < 0.7]
+        price = lambda used: sum(sum((k // size) ** 2 for k in range(n)) for n, size in zip(used, supply, strict=True))
+        best = (0, 0)
+        for amounts in product(*[range(min(2 * supply[p], quota[s]) + 1) for p, s in edges]):
+            used, got = [0] * 3, [0] * 2
+            for (p, s), n in zip(edges, amounts, strict=True):
+                used[p] += n
+                got[s] += n
+            if all(u <= 2 * c for u, c in zip(used, supply, strict=True)) and all(g <= q for g, q in zip(got, quota, strict=True)):
+                best = max(best, (sum(amounts), -price(used)))
+        flow = min_cost_flow(supply, quota, edges, 2)
+        used = [sum(f for (p, _), f in flow.items() if p == i) for i in range(3)]
+        assert sum(flow.values()) == pytest.approx(best[0])
+        assert price([round(u) for u in used]) == -best[1]
+
+
+def brute_targets(sizes):
+    """Targets of sources by the words of the contract."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, out = 1.5 * sum(sizes.values()), {}
+    while len(out) < len(names):
+        unit = left / sum(weight[s] for s in names if s not in out)
+        over = [s for s in names if s not in out and unit * weight[s] > 2 * sizes[s]]
+        if not over:
+            out |= {s: unit * weight[s] for s in names if s not in out}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+    return out
+
+
+def test_mixing_query_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    sources = [None, "a", "b", "é", "z", ""]
+    rows = [(int(i), " ".join(rng.choice(WORDS, int(rng.integers(0, 40)))), sources[int(x)]) for i, x in enumerate(rng.choice(6, 400, p=[0.05, 0.5, 0.2, 0.1, 0.1, 0.05]))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: len(t.split()) for i, t, _ in rows}
+    sizes = {s: sum(words[i] for i, _, x in rows if x == s) for s in sources}
+    wanted = brute_targets(sizes)
+    got, again = (sorted(map(tuple, queries.QUERIES["op8_mixing"](spark, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken").collect())) for _ in range(2))
+    assert got == again and len(got) == len(rows)
+    taken = dict.fromkeys(sources, 0)
+    for (i, size, source_size, target, n), (_, _, s) in zip(got, rows, strict=True):
+        assert (size, source_size) == (words[i], sizes[s]) and target == pytest.approx(wanted[s])
+        assert n in (0, size, 2 * size)
+        taken[s] += n
+    longest = max(words.values())
+    assert all(abs(taken[s] - wanted[s]) <= longest for s in sources)
+
+
+@pytest.mark.parametrize("rules", [300])
+def test_url_rules_of_any_shapes(spark, rules):
+    rng = np.random.default_rng(6)
+    labels = ["a", "b", "c", "co"]
+    host = lambda n: ".".join(rng.choice(labels, n))
+    path = lambda n: "/" + "".join(rng.choice(list("xy/"), n))
+    listed = sorted({(str(rng.choice(["block", "allow"])), host(int(rng.integers(1, 6))) + path(int(rng.integers(0, 8)))) for _ in range(rules)})
+    pages = [(i, f"http://{host(int(rng.integers(1, 7)))}{path(int(rng.integers(0, 12)))}") for i in range(400)]
+    rows = url_verdicts(spark.createDataFrame(pages, "page_id long, url string"), rules_frame(spark, listed)).collect()
+
+    def best(url):
+        rest = url.split("://")[1]
+        h, p = rest[: rest.index("/")], rest[rest.index("/") :]
+        hits = []
+        for action, rule in listed:
+            rh, rp = rule[: rule.index("/")], rule[rule.index("/") :]
+            if (h == rh or h.endswith("." + rh)) and p.startswith(rp):
+                hits.append((len(rule), len(rh), action == "block", rule, action))
+        return max(hits)[3:] if hits else (None, "allow")
+
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in rows} == {i: best(u) for i, u in pages}
+
+
 def test_mixing_meets_targets(spark):
     rows = {}
     for r in queries.QUERIES["op8_mixing"](spark, "/root/testdata/sf0.001").collect():

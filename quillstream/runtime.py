@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -42,6 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def trim() -> None:
+    """Give freed memory back, so that a Python process that waits holds little."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if give is not None:
+        give(0)
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and outlive a lost executor."""
 
@@ -57,6 +67,7 @@ class Scratch:
     def release(self) -> None:
         """Let Spark delete the shuffle files of plans that nothing refers to any more."""
         gc.collect()
+        trim()
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:

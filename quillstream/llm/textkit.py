@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ..runtime import trim  # noqa: F401
+
 U64 = np.uint64
 #: Bytes of text handled at once: bounds the numpy temporaries of a Python worker.
 CHUNK_BYTES = 2 << 20
@@ -184,16 +186,6 @@ def crc32_mod(ids, m: int) -> np.ndarray:
     return np.fromiter((-1 if i is None else zlib.crc32(str(i).encode()) % m for i in ids), np.int64, len(ids))
 
 
-def trim() -> None:
-    """Give freed memory back, so that a Python worker that waits for its next task holds little."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if give is not None:
-        give(0)
-
-
 class KeyIndex:
     """Open-addressing index of distinct 64-bit keys: find() gives each query's position or -1."""
 

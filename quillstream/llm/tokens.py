@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ END_ID = 2
 LANES, CHECK_STEPS, PRECISION, LOW = 64, 256, 20, 1 << 31
 #: Ids after which a block is closed; a document is never cut, so a very long one is a large block.
 BLOCK_IDS = 1 << 16
+U64_ALL = np.uint64(2**64 - 1)
 MAGIC = b"QSRANS1\0"
 HEADER = struct.Struct("<8sQIIIII")
 #: Distinct word pieces an executor's Python process remembers.
@@ -87,6 +89,13 @@ def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, other:
     return out
 
 
+def _heads(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Up to the first 8 bytes of each piece, as a number: all of it where it is no longer."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    return at[first] & (U64_ALL >> (np.uint64(8) * (8 - np.minimum(length, 8)).astype(np.uint64)))
+
+
 class WordEncoder:
     """Ids of whole texts through a memory of encoded pieces.
 
@@ -138,17 +147,23 @@ class WordEncoder:
         word_of = np.searchsorted(starts, first, "right") - 1
         return first, np.minimum(last, ends[word_of]), np.searchsorted(first, offsets)
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        flat, n = [], []
         # the library's results are large: only the ids of a few at a time are kept
-        return [np.array(e.ids, np.uint32) for a in range(0, len(texts), SOME) for e in self.tokenizer.encode_batch_fast(texts[a : a + SOME], add_special_tokens=False)]
+        for a in range(0, len(texts), SOME):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + SOME], add_special_tokens=False)]
+            n.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(n[-1].sum())))
+        return (np.concatenate(flat), np.concatenate(n)) if n else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
 
-    def _add(self, found: list[np.ndarray], data: list[bytes]) -> np.ndarray:
+    def _add(self, ids: np.ndarray, n: np.ndarray, data: list[bytes]) -> np.ndarray:
         """Slots for pieces with these ids and bytes."""
-        n, size = np.array([len(f) for f in found], np.int32), np.array([len(d) for d in data], np.int64)
-        slot = len(self.n) + np.arange(len(found), dtype=np.int32)
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        slot = len(self.n) + np.arange(len(n), dtype=np.int32)
         self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
         self.n = np.concatenate([self.n, n])
-        self.pool = np.concatenate([self.pool, *found])
+        self.pool = np.concatenate([self.pool, ids])
         self.b_at = np.concatenate([self.b_at, len(self.bytes) + np.cumsum(size) - size])
         self.b_n = np.concatenate([self.b_n, size])
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(data), np.uint8)])
@@ -158,9 +173,9 @@ class WordEncoder:
         """All ids, each text closed by END_ID, and each text's offsets."""
         if not self.piecewise:
             raw = buf.tobytes()
-            found = self._library([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-            found = [np.append(f, np.uint32(END_ID)) for f in found]
-            return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+            ids, n = self._library([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            ends = np.cumsum(n, dtype=np.int64)
+            return np.insert(ids, ends, END_ID), np.concatenate([[0], ends + np.arange(1, len(n) + 1)])
         first, last, at = self.pieces(buf, offsets)
         low = folded(buf)
         hashes = range_hashes(low, first, last, fold=False)
@@ -169,8 +184,9 @@ class WordEncoder:
             self._clear()
         # pieces whose bytes are not those of their hash's first are told apart by bytes
         length = last - first
-        same = length == length[example][which]
-        rows = np.flatnonzero(same)
+        heads = _heads(low, first, length)
+        same = (length == length[example][which]) & (heads == heads[example][which])
+        rows = np.flatnonzero(same & (length > 8))
         same[rows] = _alike(low, first[rows], first[example[which[rows]]], length[rows])
         spot = np.searchsorted(self.known, distinct)
         old = np.zeros(len(distinct), bool)
@@ -182,12 +198,15 @@ class WordEncoder:
         right = length[example[rows]] == self.b_n[slot[rows]]
         checked = rows[right]
         right[right] = _alike(low, first[example[checked]], self.b_at[slot[checked]], length[example[checked]], self.bytes)
-        same &= ~np.isin(which, rows[~right])
+        if not right.all():
+            wrong = np.zeros(len(distinct), bool)
+            wrong[rows[~right]] = True
+            same &= ~wrong[which]
         new = np.flatnonzero(~old)
         if len(new):
             raw, kept = buf.tobytes(), low.tobytes()
             spans = [(int(first[e]), int(last[e])) for e in example[new]]
-            slot[new] = self._add(self._library([raw[a:b].decode("utf-8", "replace") for a, b in spans]), [kept[a:b] for a, b in spans])
+            slot[new] = self._add(*self._library([raw[a:b].decode("utf-8", "replace") for a, b in spans]), [kept[a:b] for a, b in spans])
             self.known = np.insert(self.known, spot[new], distinct[new])
             self.slots = np.insert(self.slots, spot[new], slot[new])
         which = slot[which].astype(np.int64)
@@ -196,7 +215,7 @@ class WordEncoder:
             raw = buf.tobytes()
             texts = [raw[a:b] for a, b in zip(first[odd].tolist(), last[odd].tolist(), strict=True)]
             own = sorted(set(texts))
-            slots = dict(zip(own, self._add(self._library([t.decode("utf-8", "replace") for t in own]), own).tolist(), strict=True))
+            slots = dict(zip(own, self._add(*self._library([t.decode("utf-8", "replace") for t in own]), own).tolist(), strict=True))
             which[odd] = [slots[t] for t in texts]
         which = np.insert(which, at[1:], 0)  # slot 0 is the end
         n = self.n[which].astype(np.int64)

@@ -341,6 +341,6 @@ def test_empty_table(spark):
     assert digests(to_media(none)).count() == 0
     assert similar_components(spark, none).count() == 0
     assert dedup_substrings(spark, none).count() == 0
-    assert score(spark, none, *train(spark, none, scratch), scratch).count() == 0
+    assert score(spark, none, scratch).count() == 0
     write_tokens(spark, none, default_vocabulary(), f"{scratch.base}/d", scratch)
     assert read_tokens(spark, f"{scratch.base}/d").count() == 0

@@ -5,8 +5,9 @@ Shallow trees, boosted in cycles over the features, each see one feature's bins
 model is a list of tables and scoring is a sum of looked-up numbers per row.
 
 Fitted on at most `limit` labelled rows of the training fold (FIT_ROWS); every
-document is scored over its whole text. Null text scores as empty text. Without
-labels of both classes the score is the smoothed share of label 1.
+document is scored over its whole text. Null text scores as empty text; equal texts
+score alike, and rows that repeat an id are rows of their own. An empty table gives
+no rows. Without labels of both classes the score is the smoothed share of label 1.
 """
 
 from __future__ import annotations

@@ -5,23 +5,36 @@ toxic examples and on unlabelled text. The risk of the negative class is the
 unlabelled risk less the class prior times the positive risk, held at or above
 zero: where a step would make it negative, the step climbs back instead.
 
-Labels of the training fold only give the positives and the class prior. Bounds
-of the fit: POSITIVES and UNLABELLED rows. Every document is scored over its
-whole text; a null or empty text has no words and scores the intercept.
+Labels of the training fold only give the positives and the class prior. The
+penalty is picked by the same risk on a part of the sample that the candidates
+are not fitted on; rows outside the training fold have no say in it. Bounds of
+the fit: POSITIVES and UNLABELLED rows, of whose words the driver gets only those
+that tell the two apart.
+
+Every document is scored over its whole text; a null or empty text has no words
+and scores the intercept. Equal texts score alike, and rows that repeat an id are
+rows of their own. An empty table gives no rows; without positives or without
+unlabelled rows every text scores the class prior.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
+
 from .folds import fold, sample_ids
 from .textkit import chunks, crc32_mod, mix, range_hashes, text_buffer, words
 
 POSITIVES, UNLABELLED = 4_000, 12_000
-DIM_BITS, EPOCHS, BATCH, RATE, L1 = 22, 30, 512, 0.05, 2e-4
+DIM_BITS, EPOCHS, BATCH, RATE = 22, 30, 512, 0.05
+#: Penalties to pick from, one of PARTS parts of the sample that judges them, and its least number of positives and other rows (else the first penalty is taken).
+L1S, PARTS, MIN_JUDGES = (2e-4, 5e-5, 1e-3, 4e-3), 5, 20
 #: A feature is learnt if it is in this many positives and its rate there differs from the unlabelled rate by so many standard errors.
 MIN_POSITIVES, MIN_Z = 3, 4.0
 PREFIXES = (4, 5)
@@ -44,10 +57,30 @@ def word_features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(parts) if parts else ids[:0]), out_at
 
 
-def _rows(batches):
+def _judges(text: pa.Array) -> np.ndarray:
+    """Whether each text belongs to the part of the sample that judges penalties; equal texts fall alike."""
+    return np.array([zlib.crc32((t or "").encode()) % PARTS == 0 for t in text.to_pylist()], bool)
+
+
+def _counts(batches):
+    """(feature, rows that have it: all positives, all unlabelled, those of each that are no judges); feature -1 is had by all."""
     for batch in chunks(batches):
         ids, at = word_features(*text_buffer(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=["positive", "x"])
+        positive, judge = batch.column("positive").to_numpy(zero_copy_only=False), _judges(batch.column("text"))
+        rows = np.stack([positive, ~positive, positive & ~judge, ~positive & ~judge], axis=1).astype(np.int64)
+        feature, place = np.unique(np.concatenate([ids, np.full(len(rows), -1, ids.dtype)]), return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(rows)), np.diff(at)), np.arange(len(rows))])
+        sums = [pa.array(np.bincount(place, rows[row, k], len(feature)).astype(np.int64)) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(feature, pa.int32()), *sums], names=["feature", *"abcd"])
+
+
+def _telling(pos: Column, unl: Column, n_pos: int, n_unl: int) -> Column:
+    """What NonNegativePU.fit learns of these counts, and a little more."""
+    if not n_pos or not n_unl:
+        return F.lit(False)
+    rate = (unl + 1) / (n_unl + 2)
+    z = (pos / n_pos - rate) / F.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_unl))
+    return ((pos >= MIN_POSITIVES) & (z >= MIN_Z - 1e-3)) | (z <= 1e-3 - MIN_Z)
 
 
 class NonNegativePU:
@@ -57,7 +90,7 @@ class NonNegativePU:
         self.weight = np.zeros(1 << DIM_BITS, np.float32)
         self.bias = 0.0
 
-    def fit(self, pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> NonNegativePU:
+    def fit(self, pos: list[np.ndarray], unl: list[np.ndarray], prior: float, l1: float = L1S[0]) -> NonNegativePU:
         prior = float(np.clip(prior, 1e-4, 0.9))
         self.bias = float(np.log(prior / (1 - prior)))
         if not pos or not unl:
@@ -98,12 +131,17 @@ class NonNegativePU:
                 fix1, fix2 = 1 - 0.9**t, 1 - 0.99**t
                 scale = np.sqrt(v / fix2) + 1e-4
                 w -= RATE * (m / fix1) / scale
-                w = np.sign(w) * np.maximum(0, np.abs(w) - RATE * L1 / scale * prior)
+                w = np.sign(w) * np.maximum(0, np.abs(w) - RATE * l1 / scale * prior)
                 b -= RATE * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-4)
         self.weight[known] = w
         self.bias = float(b)
         return self
 
+    def risk(self, pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> float:
+        """The non-negative risk of rows, by the loss that is trained on."""
+        zp, zu = (_dot(self.weight, *_stack(rows)) + self.bias for rows in (pos, unl))
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_dot(self.weight, ids, at) + self.bias, -30, 30)))
 
@@ -118,6 +156,13 @@ def _dot(w: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
+def pick_penalty(pos: list[np.ndarray], unl: list[np.ndarray], pos_judges: list[np.ndarray], unl_judges: list[np.ndarray], prior: float) -> float:
+    """The penalty whose model, fitted on the first two, has the least risk on the judges."""
+    if min(len(pos), len(unl), len(pos_judges), len(unl_judges)) < MIN_JUDGES:
+        return L1S[0]
+    return min(L1S, key=lambda l1: NonNegativePU().fit(pos, unl, prior, l1).risk(pos_judges, unl_judges, prior))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> NonNegativePU:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     known = known.filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -126,13 +171,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> N
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).distinct()
     unl = sample_ids(ids, UNLABELLED, seed=14).withColumn("positive", F.lit(False))
     # at most POSITIVES + UNLABELLED rows of 9 bytes: a proven bound for the broadcast
-    rows = docs.join(F.broadcast(pos.unionByName(unl)), "doc_id").select("text", "positive").mapInArrow(_rows, "positive boolean, x array<int>").toArrow()
-    flag = rows.column("positive").to_numpy()
+    sample = docs.join(F.broadcast(pos.unionByName(unl)), "doc_id").select("text", "positive")
+    counts = sample.mapInArrow(_counts, "feature int, a long, b long, c long, d long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in "abcd"])
+    counts = Scratch(docs.sparkSession, "toxicity").save("counts", counts)
+    total = counts.filter("feature = -1").first()
+    if total is None:
+        return NonNegativePU().fit([], [], float(share))
+    telling = _telling(F.col("a"), F.col("b"), total["a"], total["b"]) | _telling(F.col("c"), F.col("d"), total["c"], total["d"])
+    kept = np.sort(counts.filter((F.col("feature") >= 0) & telling).select("feature").toArrow().column(0).to_numpy())
+
+    def short(batches):
+        for batch in chunks(batches):
+            ids, at = word_features(*text_buffer(batch.column("text")))
+            stay = np.isin(ids, kept)
+            at = np.concatenate([[0], np.cumsum(stay)])[at]
+            x = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids[stay], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(_judges(batch.column("text"))), x], names=["positive", "judge", "x"])
+
+    rows = sample.mapInArrow(short, "positive boolean, judge boolean, x array<int>").toArrow()
+    flag, judge = (rows.column(c).to_numpy() for c in ("positive", "judge"))
     x = rows.column("x").combine_chunks()
     at, ids_ = x.offsets.to_numpy(), x.values.to_numpy()
     every = [ids_[at[i] : at[i + 1]] for i in range(len(flag))]
-    every_key = sorted(range(len(flag)), key=lambda i: (len(every[i]), every[i].tobytes()))
-    return NonNegativePU().fit([every[i] for i in every_key if flag[i]], [every[i] for i in every_key if not flag[i]], float(share))
+    order = sorted(range(len(flag)), key=lambda i: (len(every[i]), every[i].tobytes(), judge[i]))
+    part = lambda positive, *judges: [every[i] for i in order if flag[i] == positive and judge[i] in judges]
+    prior = float(np.clip(share, 1e-4, 0.9))
+    l1 = pick_penalty(part(True, False), part(False, False), part(True, True), part(False, True), prior)
+    return NonNegativePU().fit(part(True, False, True), part(False, False, True), prior, l1)
 
 
 def score_toxicity(docs: DataFrame, model: NonNegativePU) -> DataFrame:

@@ -10,9 +10,10 @@ coefficients (byte - 128, in zigzag order) of a block of a grey 32x32 frame with
 unit quantisation, entropy coded with one restart interval a block; the length of
 the payload stands in the stream's `strd` chunk.
 
-Null, empty or undecodable media give no clips and an `error`. Frames must carry
-their Huffman tables. Files are decoded PIECE bytes at a time; one film is held in
-memory as a whole.
+Null, empty or undecodable media give no clips and an `error`. Frames without
+Huffman tables, as motion JPEG often has them, are read by the standard's typical
+ones. Rows that repeat are rows of their own with equal values; an empty table gives
+no rows. Files are decoded PIECE bytes at a time; one film is held in memory as a whole.
 """
 
 from __future__ import annotations
@@ -79,6 +80,30 @@ def _lookup(counts: list[int], symbols: list[int]) -> tuple[np.ndarray, np.ndarr
     return length, symbol
 
 
+def _typical(counts: str, first: str, symbols: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """(codes of each length, symbols): those listed come first, the others of the alphabet in ascending order."""
+    listed = tuple(bytes.fromhex(first))
+    return tuple(map(int, counts.split())), (*listed, *(s for s in symbols if s not in listed))
+
+
+_AC_ALPHABET = [EOB, ZRL] + [(run << 4) | size for run in range(16) for size in range(1, 11)]
+_AC_ALPHABET.sort()
+#: The typical Huffman tables of ITU-T T.81, Annex K.3, by (class << 4 | table).
+TYPICAL_TABLES = {
+    0x00: _typical("0 1 5 1 1 1 1 1 1 0 0 0 0 0 0 0", "", list(range(12))),
+    0x01: _typical("0 3 1 1 1 1 1 1 1 1 1 0 0 0 0 0", "", list(range(12))),
+    0x10: _typical(
+        "0 2 1 3 3 2 4 3 5 5 4 4 0 0 1 125",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+        _AC_ALPHABET,
+    ),
+    0x11: _typical(
+        "0 2 1 2 4 4 3 4 7 5 4 4 0 1 2 119",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+        _AC_ALPHABET,
+    ),
+}
+
 _DC, _AC = _canonical(_DC_LENGTHS), _canonical(_AC_LENGTHS)
 
 
@@ -299,7 +324,7 @@ class Layout:
 
 @cache
 def _layout(header: bytes) -> Layout:
-    quant, tables, restart, frame, scan = {}, {}, 0, None, None
+    quant, tables, restart, frame, scan = {}, dict(TYPICAL_TABLES), 0, None, None
     at = 2
     while at + 4 <= len(header):
         marker, size = header[at + 1], struct.unpack_from(">H", header, at + 2)[0]

@@ -85,7 +85,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("contamination", contamination), ("mixing", mixing), ("token_ids", token_ids)]
 
-#: The first stage is a fitted model, so no SQL gives the rows; near_duplicates is tested by row, run() as a whole against no plain version yet.
+#: The first stage is a fitted model, so no SQL gives the rows; run() is tested against a plain version of all stages.
 ORACLE_SQL = None
 
 

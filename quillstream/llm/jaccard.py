@@ -17,7 +17,7 @@ Jaccard similarity of their sets reaches num/den. Result: connected components.
 4. Then the rest: pairs of groups that share a prefix shingle and are not yet in one
    component are filtered, each at their first shared one, by size, position and (where
    both have one class) parity, and only what is left is expanded into pairs of their
-   classes. The parity of the hashes in each of PARITY bits differs between two sets in
+   classes. Shingles that the same groups share count as one, the first of them. The parity of the hashes in each of PARITY bits differs between two sets in
    at most as many bits as there are shingles in one set only. So no link between
    different components is lost, and no group is expanded into all its pairs.
 5. Candidates are verified on the whole sets of their texts.
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
@@ -48,6 +48,8 @@ BITS = 24
 PIECE, BUCKET = 4 << 20, 32 << 20
 #: A shingle in this many prefixes is frequent; the count is raised until 1/8 of the bitmap holds them all.
 FREQUENT = 4
+#: Of a group's postings before one, so many are kept to know the first that a pair shares; more repeats are removed after the join.
+BEFORE = 64
 #: Bits of a set's parity sketch.
 PARITY = 512
 _SKETCH = [f"p{i}" for i in range(PARITY // 64)]
@@ -231,6 +233,35 @@ def _postings(num: int, den: int):
     return run
 
 
+def _apart(posts: DataFrame, groups: DataFrame) -> DataFrame:
+    """The postings by which groups that are not in one component meet, with the columns of their groups.
+
+    Shingles that the same groups share (told by their number and two xors of 64-bit hashes) bring the same pairs
+    together; the first of them in the common order stays, so each pair keeps its first shared one. `before` holds
+    the last BEFORE of the group's postings before this one.
+    """
+    one_list = (F.count("*").alias("m"), F.bit_xor(F.xxhash64("grp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "grp")).alias("y"))
+    open_ = posts.join(groups.select("grp", "lo", "hi"), "grp").groupBy("h", "late").agg(F.min("lo").alias("l"), F.max("hi").alias("r"), *one_list).filter("l < r")
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    first = open_.groupBy("m", "x", "y").agg(F.min(F.struct("late", unsigned.alias("u"), "h")).alias("first")).select("first.h")
+    earlier = Window.partitionBy("grp").orderBy("pos").rowsBetween(-BEFORE, -1)
+    held = posts.join(first, "h").select("h", "grp", "n", "pos", F.collect_list("h").over(earlier).alias("before"))
+    return held.join(groups, "grp")
+
+
+def _group_pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (grp1, grp2) of groups that fit in size, position and parity, each at its first shared shingle (and again beyond BEFORE)."""
+    own = ("grp", "n", "pos", "before", "lo", "hi", "one", *_SKETCH)
+    x, y = (apart.select("h", *[F.col(c).alias(f"{c}{i}") for c in own]) for i in (1, 2))
+    need = F.ceil(F.lit(num) * (F.col("n1") + F.col("n2")) / F.lit(num + den))
+    pairs = x.hint("merge").join(y, "h").filter(  # broadcast, one task would join all of a small table
+        (F.col("grp1") < F.col("grp2")) & (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")) & (F.lit(num) * F.greatest("n1", "n2") <= F.lit(den) * F.least("n1", "n2"))
+        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need) & (F.col("one1").isNull() | F.col("one2").isNull() | _near(num, den))
+        & ~F.arrays_overlap("before1", "before2")
+    )
+    return pairs.select("grp1", "grp2")
+
+
 def similar_rows(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text_hash, n, comp) of every row of docs: the number of its shingles, and what names its component where that is not 0."""
     scratch = scratch or Scratch(spark, "jaccard")
@@ -285,32 +316,15 @@ def similar_rows(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85
     lone = F.when(F.count("*") == 1, F.first("cls")).alias("one")  # a group of one class is told apart by that class's parities
     groups = named.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lone, *[F.first(c).alias(c) for c in _SKETCH])
     groups = scratch.save("groups", groups)
-    held = posts.join(groups.select("grp", "lo", "hi"), "grp")
-    open_ = held.groupBy("h").agg(F.min("lo").alias("l"), F.max("hi").alias("r")).filter("l < r").select("h")
-    apart = posts.join(open_, "h")
-    # each posting of a frequent shingle with the group's frequent ones before it, by which a pair knows its first
-    none = F.lit(None).cast("array<bigint>")
-    late = apart.filter("late").groupBy("grp", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("l"))
-    late = late.select("grp", "n", F.expr("transform(l, x -> x.h)").alias("s"), F.posexplode("l").alias("i", "x"))
-    late = late.select(F.col("x.h").alias("h"), "grp", "n", F.col("x.pos").alias("pos"), F.expr("slice(s, 1, i)").alias("before"))
-    apart = apart.filter("not late").select("h", "grp", "n", "pos", none.alias("before")).unionByName(late)
-    apart = scratch.save("apart", apart.join(groups, "grp"))
-    own = ("grp", "n", "pos", "before", "lo", "hi", "one", *_SKETCH)
-    x, y = (apart.select("h", *[F.col(c).alias(f"{c}{i}") for c in own]) for i in (1, 2))
-    need = F.ceil(F.lit(num) * (F.col("n1") + F.col("n2")) / F.lit(num + den))
-    pairs = x.join(y, "h").filter(
-        (F.col("grp1") < F.col("grp2")) & (F.least("lo1", "lo2") < F.greatest("hi1", "hi2")) & (F.lit(num) * F.greatest("n1", "n2") <= F.lit(den) * F.least("n1", "n2"))
-        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need) & (F.col("one1").isNull() | F.col("one2").isNull() | _near(num, den))
-        & F.coalesce(~F.arrays_overlap("before1", "before2"), F.lit(True))
-    )
-    pairs = scratch.save("pairs", pairs.select("grp1", "grp2").distinct())
+    apart = scratch.save("apart", _apart(posts, groups))
+    pairs = scratch.save("pairs", _group_pairs(apart, num, den).distinct())
     scratch.drop("postings", "apart")
     mixed = groups.filter("lo < hi").select(F.col("grp").alias("grp1"), F.col("grp").alias("grp2"))
     of = lambda i, name: side(named, i, name).join(named.select(F.col("cls").alias(name), F.col("grp").alias(f"grp{i}")), name)
     rest = pairs.unionByName(mixed).join(of(1, "a"), "grp1").join(of(2, "b"), "grp2")
     rest = rest.filter(((F.col("grp1") != F.col("grp2")) | (F.col("a") < F.col("b"))) & (F.col("comp1") != F.col("comp2")) & fits)
     rest = scratch.save("rest", rest.select("a", "b"))
-    del apart, late, x, y, held, open_, posts
+    del apart, posts
     scratch.release()
     if not rest.isEmpty():
         more = scratch.save("more", _verify(spark, docs, classes, rest, k, num, den, scratch, "rest"))

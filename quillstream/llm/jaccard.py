@@ -9,9 +9,9 @@ Jaccard similarity of their sets reaches num/den. Result: connected components.
 2. The common order is by hash, but shingles that many documents have in their
    prefixes come last; they are known from an exact count, kept as a bitmap of
    fixed size (BITS). Any bitmap gives a valid order, so false hits cost nothing.
-3. Stars first: every group is paired with one group (by a hash that changes each round)
-   of each prefix shingle it shares, and every class with one class of its group, if
-   they are not yet in one component. Verified stars join copies of one text into
+3. Stars first: every group is paired with one group (by a hash that changes each round,
+   and after the first round with the shingle) of each prefix shingle it shares, and every
+   class with one class of its group, if they are not yet in one component. Verified stars join copies of one text into
    components, in a number of pairs linear in the postings. Rounds go on while they
    find links in number.
 4. Then the rest: pairs of groups that share a prefix shingle and are not yet in one
@@ -293,7 +293,8 @@ def similar_rows(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85
         groups = named.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(step)), "cls")).alias("c"))
         groups = scratch.save(f"groups-{step}", groups.select("grp", "lo", "hi", F.col("c.cls").alias("rep")))
         held = posts.select("h", "grp").join(groups, "grp")
-        centre = held.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct(F.xxhash64("grp", F.lit(step)), "rep")).alias("c"))
+        seed = ["h"] if step else []  # first one centre for all shingles of a group of copies, then one of each shingle's own
+        centre = held.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct(F.xxhash64("grp", F.lit(step), *seed), "rep")).alias("c"))
         centre = centre.filter("lo < hi").select("h", F.col("c.rep").alias("b"))
         stars = held.select("h", F.col("rep").alias("a")).join(centre, "h").filter("a != b").select("a", "b").distinct()
         inside = named.select("grp", F.col("cls").alias("a")).join(groups.filter("lo < hi").select("grp", F.col("rep").alias("b")), "grp").filter("a != b").select("a", "b")
@@ -310,7 +311,7 @@ def similar_rows(spark: SparkSession, docs: DataFrame, k: int = 4, num: int = 85
         scratch.drop(f"texts-{step}", f"stars-{step}", f"groups-{step}")
         scratch.release()
         step += 1
-        if merged[-1] <= merged[0] // 10:  # another round would cost more than the pairs that it spares
+        if step > 1 and merged[-1] <= max(merged) // 10:  # another round would cost more than the pairs that it spares
             break
     # what stars left apart: pairs of groups that fit, then of their classes
     lone = F.when(F.count("*") == 1, F.first("cls")).alias("one")  # a group of one class is told apart by that class's parities

@@ -42,3 +42,9 @@ def test_each_pair_of_groups_is_made_once(spark):
     posts = kept.tables["postings"].select("h", "grp")
     shared = posts.join(posts.withColumnRenamed("grp", "grp2"), "h").filter("grp < grp2").groupBy("grp", "grp2").count()
     assert rows.join(shared.toDF("grp1", "grp2", "times"), ["grp1", "grp2"]).filter("times > 1").count() > 0
+
+
+def test_stars_leave_few_pairs_of_near_copies(spark):
+    kept = Kept(spark)
+    similar_components(spark, near_copies(spark, 250), 4, 85, 100, kept).collect()
+    assert kept.tables["pairs"].count() <= 2 * kept.tables["classes"].count()

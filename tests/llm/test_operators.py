@@ -86,6 +86,18 @@ def test_url_precedence(spark):
     assert got == {(0, None, "allow"), (1, None, "allow"), (2, "example.com/en/7", "allow"), (3, "com/en/", "block"), (4, None, "allow"), (5, None, "allow"), (6, "example.net/de/8", "block")}
 
 
+def test_url_rules_of_the_contract(spark):
+    want = {
+        "x://a.com/en/8": ("com/en/", "block"), "x://www.example.com/en/7": ("example.com/en/7", "allow"), "x://a.NET/de/1?q": ("net/de/", "allow"), "x://net/de/": ("net/de/", "allow"),
+        "x://example.net/de/7": ("net/de/", "allow"), "x://a.example.net/de/8": ("example.net/de/8", "block"), "x://b.org/es/": ("org/es/", "block"), "x://b.org/e": (None, "allow"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = {list(want)[r["page_id"]]: (r["rule"], r["verdict"]) for r in url_verdicts(pages, rules_frame(spark)).collect()}
+    assert got == want
+    other = {r["rule"]: r["verdict"] for r in url_verdicts(pages, rules_frame(spark), default="block").collect()}
+    assert other == {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block", None: "block"}
+
+
 def test_url_query_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -11,6 +11,7 @@ from quillstream.plans.engine import query, query_all
 from quillstream.plans.syntax import ParseError, parse, split_queries
 from quillstream.sources.json import flatten, glob_regex, read_document, records
 from quillstream.sources.sinks import split_by, to_ndjson, write
+from quillstream.sources.text import read_delimited
 from quillstream.streaming.tokens import PRESETS, Cutter, accumulate, cut_objects, expect, fragments, objects, rolling, truncated
 
 SF = "/root/testdata/sf0.001"
@@ -177,6 +178,41 @@ def test_split_by_keeps_columns_and_leaves_nested_out(spark, tmp_path):
     assert split_by(nested, "a", str(tmp_path / "b")).count() == 0
 
 
+def parts(folder, sizes, line):
+    """Text files of these numbers of lines, in the order of their names; Spark reads the largest first."""
+    folder.mkdir()
+    at = 0
+    for i, n in enumerate(sizes):
+        (folder / f"part-{i}.txt").write_text("".join(line(at + j) + "\n" for j in range(n)))
+        at += n
+    return at
+
+
+def test_delimited_numbers_follow_the_files(spark, tmp_path):
+    n = parts(tmp_path / "d", [3, 0, 900, 1, 40_000, 2, 9, 5, 700, 4, 80_000, 6], lambda i: f"{i};{i if i % 2 else 'x'}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = read_delimited(spark, str(tmp_path / "d"), ";", columns=["__file", "a.b"]).selectExpr("__file as k", "_n", "schema_of_variant(`a.b`) as t").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["_n"], r["k"], r["t"] == "DOUBLE") for r in rows) == [(i + 1, float(i), i % 2 == 1) for i in range(n)]
+
+
+def test_numbers_are_not_given_to_blocks_packed_anew(spark, tmp_path):
+    parts(tmp_path / "d", [30_000, 10, 50_000], lambda i: f"{i};x")
+    rows = read_delimited(spark, str(tmp_path / "d"), ";")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000000")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        with pytest.raises(Exception, match="packed anew"):
+            rows.agg(F.sum("_n")).collect()
+    finally:
+        for k in ("openCostInBytes", "maxPartitionBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{k}")
+    assert rows.agg(F.max("_n")).first()[0] == 80_010
+
+
 def test_empty_json_array(spark, tmp_path):
     write(spark.range(0), str(tmp_path / "x"), "json")
     assert [r[0] for r in spark.read.text(str(tmp_path / "x")).collect()] == ["[", "]"]

@@ -23,8 +23,8 @@ def located(df: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, _n) of the lines that are not blank."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line")).filter(F.trim("line") != "")
-    return numbered(lines)
+    lines = located(spark.read.text(path)).select(F.regexp_replace("value", r"\r$", "").alias("line"), *_PLACE)
+    return numbered(lines.filter(F.trim("line") != ""))
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from quillstream.plans.engine import query, query_all
 from quillstream.plans.syntax import ParseError, parse, split_queries
 from quillstream.sources.json import flatten, glob_regex, read_document, records
 from quillstream.sources.sinks import split_by, to_ndjson, write
-from quillstream.sources.text import read_delimited
+from quillstream.sources.text import read_delimited, read_lines
 from quillstream.streaming.tokens import PRESETS, Cutter, accumulate, cut_objects, expect, fragments, objects, rolling, truncated
 
 SF = "/root/testdata/sf0.001"
@@ -198,6 +198,16 @@ def test_delimited_numbers_follow_the_files(spark, tmp_path):
     assert sorted((r["_n"], r["k"], r["t"] == "DOUBLE") for r in rows) == [(i + 1, float(i), i % 2 == 1) for i in range(n)]
 
 
+def test_line_numbers_follow_the_files(spark, tmp_path):
+    n = parts(tmp_path / "d", [3, 0, 900, 1, 40_000, 2, 9, 5, 700, 4, 80_000, 6], lambda i: f" {i}\r\n \r")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = read_lines(spark, str(tmp_path / "d")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["_n"], r["line"]) for r in rows) == [(i + 1, f" {i}") for i in range(n)]
+
+
 def test_numbers_are_not_given_to_blocks_packed_anew(spark, tmp_path):
     parts(tmp_path / "d", [30_000, 10, 50_000], lambda i: f"{i};x")
     rows = read_delimited(spark, str(tmp_path / "d"), ";")

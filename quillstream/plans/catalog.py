@@ -255,9 +255,7 @@ def _written(form: str) -> Callable[[SparkSession, str], DataFrame]:
         if form == "ndjson":
             return _fields(query(json.read_ndjson(spark, path)[0], "select c_custkey, c_name, seg"))
         if form == "json":
-            whole = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), "value").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("l"))
-            doc = whole.select(F.lit(0).cast("long").alias("_pos"), F.concat_ws("\n", F.transform("l", lambda x: x.value)).alias("_raw"))
-            return _fields(query(doc.withColumn("_v", F.parse_json("_raw")), "[*] select c_custkey, c_name, seg"))
+            return _fields(query(json.read_array(spark, path), "select c_custkey, c_name, seg"))
         back = text.read_delimited(spark, path, "," if form == "csv" else "\t", header=True)
         return back.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "seg")
 

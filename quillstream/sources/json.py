@@ -10,9 +10,11 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import read_lines
+
 _MARK = "quillstream-end-6f1c0d6e5b7a4a0c"
 
 
@@ -25,13 +27,20 @@ def records(lines: DataFrame) -> DataFrame:
     allow_duplicates(lines.sparkSession)
     raw = F.trim(F.col("value"), F.lit(" \t\r\n"))
     body = F.when(raw.endswith(","), F.rtrim(F.substring(raw, 1, F.length(raw) - 1), F.lit(" \t\r\n"))).otherwise(raw)
-    both = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f', "{_MARK}"]')))
+    both = _marked(body)
     keep = [c for c in lines.columns if c != "value"]
     # as the one item of an array, so that filters on the parsed record do not move below the parser and parse again
     out = lines.filter(raw.startswith("{")).select(*keep, body.alias("_raw"), F.explode(F.array(both)).alias("__b"))
     first = F.try_variant_get("__b", "$[0]", "variant")
-    ok = F.try_variant_get("__b", "$[1]", "string") == _MARK  # what begins with a brace and parses is an object
-    return out.select(*keep, "_raw", first.alias("_v"), F.coalesce(ok, F.lit(False)).alias("_valid"))
+    return out.select(*keep, "_raw", first.alias("_v"), _strict(F.col("__b")).alias("_valid"))  # what begins with a brace and parses is an object
+
+
+def _marked(body: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit(f', "{_MARK}"]')))
+
+
+def _strict(both: Column) -> Column:
+    return F.coalesce(F.try_variant_get(both, "$[1]", "string") == _MARK, F.lit(False))
 
 
 def read_ndjson(spark: SparkSession, path: str, ordered: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +59,26 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return out.filter(F.col("_v").isNotNull()).withColumn("_pos", F.monotonically_increasing_id())
 
 
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """The objects of one JSON array that has `[`, `]` and each element on a line: (_raw, _v, _pos).
+
+    No row holds the whole array, so its size is not bounded. Elements that are not objects are skipped.
+    An error is raised where brackets, commas or elements are not as in such an array; `read_document` reads other forms.
+    """
+    allow_duplicates(spark)
+    lines = read_lines(spark, path).select(F.trim("line", F.lit(" \t\r\n")).alias("value"), F.col("_n").alias("_pos"))
+    value, place = F.col("value"), F.col("_pos")
+    bare, body = ~value.endswith(","), F.regexp_replace("value", ",$", "")
+    no_json = F.when(value.startswith("{"), False).otherwise(~_strict(_marked(body)))
+    told = lines.agg(F.max(place), F.min_by(value, place), F.max_by(value, place), F.count_if(no_json), F.count_if(bare), F.sum(F.when(bare, place))).first()
+    n = told[0] or 0
+    ends = (3, 2 * n) if n > 2 else (2, 3)  # the brackets and the last element have no comma after them
+    if tuple(told)[1:] != ("[", "]", 2, *ends):
+        raise ValueError(f"{path} is not one JSON array with an element a line")
+    found = records(lines)
+    return found.withColumn("_v", F.when(F.col("_valid"), F.col("_v")).otherwise(F.raise_error(F.concat(F.lit("malformed element: "), F.substring("_raw", 1, 200))))).drop("_valid")
+
+
 def descend(df: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """Rows of a scope `[a.b.*]`: each `*` opens an array; elements that are not objects are skipped.
 

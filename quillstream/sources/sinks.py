@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import Value, kind_of, number_text, text
-from .text import numbered
+from ..runtime import Scratch
 
 
 def json_text(col: Column, t: T.DataType) -> Column:
@@ -38,14 +38,19 @@ def cells(df: DataFrame) -> list[Column]:
     return [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), json_text(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
 
 
-def to_json_array(df: DataFrame) -> DataFrame:
-    """Lines of one JSON array: `[`, an indented object a line, `]`; in the rows' order, without moving them."""
-    lines = numbered(to_ndjson(df))
-    n = lines.count()
-    if n == 0:
+def to_json_array(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Lines of one JSON array: `[`, an indented object a line, `]`; in the rows' order.
+
+    The lines and their places are written to a scratch table (`lines`) at once: a plan that is run
+    twice may deal its rows in other ways, and then the ends would be put at other rows.
+    """
+    at = to_ndjson(df).withColumn("__i", F.monotonically_increasing_id())
+    lines = (scratch or Scratch(df.sparkSession, "array")).save("lines", at)
+    start, end = lines.agg(F.min("__i"), F.max("__i")).first()
+    if start is None:
         return lines.sparkSession.createDataFrame([("[",), ("]",)], "value string").coalesce(1)
-    first, last = F.when(F.col("_n") == 1, F.lit("[\n")).otherwise(F.lit("")), F.when(F.col("_n") == n, F.lit("\n]")).otherwise(F.lit(","))
-    return lines.select(F.concat(first, F.lit("  "), "value", last).alias("value"))
+    first, last = F.when(F.col("__i") == start, F.lit("[\n")).otherwise(F.lit("")), F.when(F.col("__i") == end, F.lit("\n]")).otherwise(F.lit(","))
+    return lines.orderBy("__i").select(F.concat(first, F.lit("  "), "value", last).alias("value"))
 
 
 def to_raw(df: DataFrame) -> DataFrame:
@@ -56,7 +61,9 @@ def to_raw(df: DataFrame) -> DataFrame:
 
 def write(df: DataFrame, path: str, form: str = "ndjson") -> None:
     if form == "json":
-        to_json_array(df).write.mode("overwrite").text(path)
+        scratch = Scratch(df.sparkSession, "array")
+        to_json_array(df, scratch).write.mode("overwrite").text(path)
+        scratch.drop("lines")
     elif form == "ndjson":
         to_ndjson(df).write.mode("overwrite").text(path)
     elif form == "raw":

@@ -28,14 +28,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds _n, from 1 in input order: of located rows by the files' names, then by the place in the file.
+    """Adds _n to located rows, from 1 in input order: by the files' names, then by the place in the file.
 
     Spark packs the largest blocks first into partitions, so these do not follow the files. The rows of each
     block are counted first, and no row moves. Where Spark then packs the blocks in another way than it did for
     the count, as after a change of the cluster's cores, an error is raised.
     """
-    if not set(_PLACE) <= set(df.columns):
-        df = df.select("*", F.lit("").alias("__file"), F.spark_partition_id().cast("long").alias("__block"))
     at = df.withColumn("__i", F.monotonically_increasing_id())
     blocks = at.groupBy(*_PLACE).agg(F.min("__i").alias("first"), F.count("*").alias("rows")).collect()  # a few numbers a block
     starts, before = [], 0

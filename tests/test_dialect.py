@@ -9,7 +9,7 @@ from quillstream.operators.predicates import regex
 from quillstream.plans import catalog
 from quillstream.plans.engine import query, query_all
 from quillstream.plans.syntax import ParseError, parse, split_queries
-from quillstream.sources.json import flatten, glob_regex, read_document, records
+from quillstream.sources.json import flatten, glob_regex, read_array, read_document, records
 from quillstream.sources.sinks import split_by, to_ndjson, write
 from quillstream.sources.text import read_delimited, read_lines
 from quillstream.streaming.tokens import PRESETS, Cutter, accumulate, cut_objects, expect, fragments, objects, rolling, truncated
@@ -178,6 +178,38 @@ def test_split_by_keeps_columns_and_leaves_nested_out(spark, tmp_path):
     assert split_by(nested, "a", str(tmp_path / "b")).count() == 0
 
 
+def test_json_array_of_many_tasks(spark, tmp_path):
+    n, kept = 40_000, {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes")}
+    df = spark.range(0, n, 1, 5).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else these few rows meet in one task
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        write(df.orderBy("k"), str(tmp_path / "x"), "json")
+        rows = query(read_array(spark, str(tmp_path / "x")), "select k, v").selectExpr("cast(k as long) as k", "cast(v as string) as v").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = sorted((tmp_path / "x").glob("part-*"))
+    assert len(files) > 1
+    doc = json.loads("".join(f.read_text() for f in files))
+    assert [r["k"] for r in doc] == list(range(n)) and sorted((r["k"], r["v"]) for r in rows) == [(r["k"], r["v"]) for r in doc]
+
+
+@pytest.mark.parametrize("bad", ["", "[", "]", "[]", '{"a":1}', '[\n{"a":1},\n]', '[\n{"a":1}\n{"a":2}\n]', '[\n{"a":1}', '{"a":1}\n]', '[\n[\n]', "[\nx,\n1\n]", '[\n{"a":1}\n]\n]', '[\n{"a":1}},\n1\n]', '[\n{"a":1,},\n{"a":1}\n]', "[\n,\n1\n]"])
+def test_no_array_of_lines(spark, tmp_path, bad):
+    (tmp_path / "a.json").write_text(bad)
+    with pytest.raises(Exception, match="not one JSON array|malformed element"):
+        read_array(spark, str(tmp_path)).select(F.to_json("_v")).collect()
+
+
+def test_array_of_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n  {"a":1},\n\n  7,\n"]",\n [1, 2],\n {"a":","}\t\n]\n')
+    (tmp_path / "empty").mkdir()
+    write(spark.range(0), str(tmp_path / "empty"), "json")
+    assert [(r["_pos"], r["_raw"]) for r in read_array(spark, str(tmp_path / "a.json")).collect()] == [(2, '{"a":1}'), (6, '{"a":","}')]
+    assert read_array(spark, str(tmp_path / "empty")).count() == 0
+
+
 def parts(folder, sizes, line):
     """Text files of these numbers of lines, in the order of their names; Spark reads the largest first."""
     folder.mkdir()
